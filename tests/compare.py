@@ -72,7 +72,7 @@ if __name__ == "__main__":
         try:
             out = check(session, con, n, sf, queries, oracle)
         except Exception as e:  # noqa: BLE001
-            out = f"FAIL {type(e).__name__}: {str(e)[:1500]}"
+            out = f"FAIL {type(e).__name__}: {str(e)[:600]}"
         failed += out.startswith("FAIL")
         print(n, out, flush=True)
     print("failed", failed, "of", len(names))

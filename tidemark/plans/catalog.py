@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.plans import analytics_queries, market_queries, snapshot_queries  # noqa: F401
+from tidemark.plans import (  # noqa: F401
+    analytics_queries,
+    backtest_queries,
+    feature_queries,
+    market_queries,
+    snapshot_queries,
+    workbench_queries,
+)
 from tidemark.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

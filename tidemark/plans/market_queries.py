@@ -70,11 +70,11 @@ def _scan_csv(spark, sf_dir):
 
 
 @query("s04_scan_raw_bars", statement(
-    f"SELECT ticker, CAST(date AS VARCHAR) AS _date, {RP}, cap_category AS cap_tier, 'us_equities' AS asset_class FROM bars",
+    f"SELECT ticker, CAST(date AS VARCHAR) AS _date, {RP}, cap_category AS cap_tier, 'equities' AS asset_class FROM bars",
     "bars"))
 def _scan_raw(spark, sf_dir):
     path = new_path(spark, "raw")
-    raw.bar_payloads(src.bars(spark, sf_dir), "us_equities").write.json(path, compression="gzip")
+    raw.bar_payloads(src.bars(spark, sf_dir), "equities").write.json(path, compression="gzip")
     return rounded(raw.scan_raw_bars(spark, path, multi_line=False).drop("source"))
 
 
@@ -114,15 +114,15 @@ def _scan_user(spark, sf_dir):
 
 
 def _curated(spark, sf_dir):
-    kind = (F.when(F.col("cap_category") == "LARGE", "us_equities").when(F.col("cap_category") == "MID", "us_etf")
-            .otherwise("us_fixed_income_proxies"))
+    kind = (F.when(F.col("cap_category") == "LARGE", "equities").when(F.col("cap_category") == "MID", "etf")
+            .otherwise("fixed_income"))
     return src.bars(spark, sf_dir).select(
         F.col("date").alias("trade_date"), F.col("ticker").alias("symbol"), kind.alias("asset_class"), *PRICE_COLUMNS,
         F.col("cap_category").alias("cap_tier"))
 
 
-block("curated", ["bars"], """SELECT date AS trade_date, ticker AS symbol, CASE cap_category WHEN 'LARGE' THEN 'us_equities'
-  WHEN 'MID' THEN 'us_etf' ELSE 'us_fixed_income_proxies' END AS asset_class, open, high, low, close, adj_close, volume,
+block("curated", ["bars"], """SELECT date AS trade_date, ticker AS symbol, CASE cap_category WHEN 'LARGE' THEN 'equities'
+  WHEN 'MID' THEN 'etf' ELSE 'fixed_income' END AS asset_class, open, high, low, close, adj_close, volume,
   cap_category AS cap_tier FROM bars""")
 
 
@@ -139,7 +139,7 @@ def _build_market(spark, sf_dir):
     once = _curated(spark, sf_dir).withColumn("run_id", F.lit("b"))
     # An older run of the same bars, with other prices, must lose.
     older = once.withColumn("run_id", F.lit("a")).withColumn("close", F.col("close") * 2)
-    return rounded(up.build_market(older.unionByName(once), ["us_equities", "us_etf"], ["run_id"]))
+    return rounded(up.build_market(older.unionByName(once), ["equities", "etf"], ["run_id"]))
 
 
 block("old_metrics", ["bars_m_returns"], """SELECT ticker, 'US_EQ' AS market, date, ret_1d, ret_5d FROM bars_m_returns
@@ -278,11 +278,11 @@ def _clean(spark, sf_dir):
     return rounded(prep.clean_bars(text))
 
 
-@query("f02_normalize_bars", statement(f"""SELECT date AS trade_date, upper(ticker) AS symbol, 'us_equities' AS asset_class,
+@query("f02_normalize_bars", statement(f"""SELECT date AS trade_date, upper(ticker) AS symbol, 'equities' AS asset_class,
   {RP}, 'USD' AS currency, 'NYSE' AS exchange, 'yfinance' AS source, 'run-1' AS run_id FROM bars""", "bars"))
 def _normalize(spark, sf_dir):
     rows = src.bars(spark, sf_dir).withColumn("_date", F.col("date").cast("string"))
-    return rounded(prep.normalize_bars(rows, "us_equities", "run-1", exchange="NYSE").drop("ingested_at_utc"))
+    return rounded(prep.normalize_bars(rows, "equities", "run-1", exchange="NYSE").drop("ingested_at_utc"))
 
 
 @query("f03_normalise_for_store", f"""SELECT upper(trim(p_name)) AS ticker, CAST(l_shipdate AS DATE) AS date,
