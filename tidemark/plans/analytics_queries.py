@@ -27,6 +27,8 @@ def _pick(name: str, module: str, columns: list[str], exact: list[str] | None =
 
     def run(spark, sf_dir):
         prices = (src.dense_bars if dense else src.bars)(spark, sf_dir)
+        if module in ("risk", "momentum", "zscore"):
+            prices = src.stored(prices)
         return rounded(an.MODULES[module](prices, MARKET, **kw).select("ticker", "date", *columns))
 
     query(name, sql)(run)
@@ -65,12 +67,12 @@ _pick("w27_obv", "technical", ["obv"])
 
 @query("a37_bench_mean_return", statement(f"SELECT date, {r('b')} FROM bars_m_bret", "bars_m_bret"))
 def _bench_return(spark, sf_dir):
-    return rounded(an.mean_return_benchmark(src.bars(spark, sf_dir)).withColumnRenamed("bench_ret", "b"))
+    return rounded(an.mean_return_benchmark(src.stored(src.bars(spark, sf_dir))).withColumnRenamed("bench_ret", "b"))
 
 
 @query("a38_bench_mean_price", statement(f"SELECT date, {r('px', 'chg')} FROM bars_m_bpx", "bars_m_bpx"))
 def _bench_price(spark, sf_dir):
-    df = an.mean_price_benchmark(src.bars(spark, sf_dir), 252)
+    df = an.mean_price_benchmark(src.stored(src.bars(spark, sf_dir)), 252)
     return rounded(df.select("date", F.col("bench_price").alias("px"), F.col("bench_change").alias("chg")))
 
 
@@ -78,7 +80,7 @@ def _bench_price(spark, sf_dir):
     f"SELECT ticker, x.date, {r('ret', 'b')} FROM bars_m_ret x LEFT JOIN bars_m_bret USING (date)",
     "bars_m_ret", "bars_m_bret"))
 def _bench_align(spark, sf_dir):
-    prices = src.bars(spark, sf_dir)
+    prices = src.stored(src.bars(spark, sf_dir))
     rets = prices.select("ticker", "date", win.change(F.col("close"), 1, win.series()).alias("ret"))
     bench = an.mean_return_benchmark(prices).withColumnRenamed("bench_ret", "b")
     return rounded(an.align_benchmark(rets, bench).select("ticker", "date", "ret", "b"))
@@ -87,7 +89,7 @@ def _bench_align(spark, sf_dir):
 @query("j06_cross_section_back", statement(
     f"SELECT ticker, date, {r('z_price_21d', 'z_cs_ret_1d', 'pct_ret_1d')} FROM dense_m_zscore", "dense_m_zscore"))
 def _cross_back(spark, sf_dir):
-    df = an.zscore(src.dense_bars(spark, sf_dir), MARKET)
+    df = an.zscore(src.stored(src.dense_bars(spark, sf_dir)), MARKET)
     return rounded(df.select("ticker", "date", "z_price_21d", "z_cs_ret_1d", "pct_ret_1d"))
 
 

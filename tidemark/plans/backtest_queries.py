@@ -28,14 +28,14 @@ def _values(rows) -> str:
 def _blocks(p: str, rows) -> None:
     """Holdings, filled prices and common returns of one set of holdings."""
     block(f"{p}_hold", [], f"SELECT * FROM {_values(rows)}")
-    block(f"{p}_days", ["dense", f"{p}_hold"], f"""SELECT DISTINCT date FROM dense
+    block(f"{p}_days", ["calm", f"{p}_hold"], f"""SELECT DISTINCT date FROM calm
       WHERE ticker IN (SELECT ticker FROM {p}_hold)""")
     block(f"{p}_fill", [f"{p}_days"], f"""SELECT ticker, date, close FROM (SELECT t.ticker, d.date,
       last_value(close IGNORE NULLS) OVER (PARTITION BY t.ticker ORDER BY d.date) AS close FROM {p}_days d
-      CROSS JOIN (SELECT DISTINCT ticker FROM {p}_hold) t LEFT JOIN dense b ON b.ticker = t.ticker AND b.date = d.date)
+      CROSS JOIN (SELECT DISTINCT ticker FROM {p}_hold) t LEFT JOIN calm b ON b.ticker = t.ticker AND b.date = d.date)
       WHERE close IS NOT NULL""")
-    block(f"{p}_wt", [f"{p}_hold"], f"""SELECT fund, ticker, weight / sum(weight) OVER (PARTITION BY fund) AS weight
-      FROM {p}_hold WHERE weight > 0 AND ticker IN (SELECT ticker FROM dense)""")
+    block(f"{p}_wt", [f"{p}_hold", "calm"], f"""SELECT fund, ticker, weight / sum(weight) OVER (PARTITION BY fund) AS weight
+      FROM {p}_hold WHERE weight > 0 AND ticker IN (SELECT ticker FROM calm)""")
     block(f"{p}_common", [f"{p}_fill", f"{p}_wt"], f"""SELECT * FROM (SELECT fund, ticker, date, weight, ret,
       count(ret) OVER (PARTITION BY fund, date) AS c FROM {p}_wt JOIN (SELECT ticker, date,
       close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS ret FROM {p}_fill) USING (ticker))
@@ -73,7 +73,7 @@ def _holdings(spark, rows=HOLDINGS):
 
 
 def _path(spark, sf_dir, rebalance="Annual", fee=FEE):
-    prices, hold = src.dense_bars(spark, sf_dir), _holdings(spark)
+    prices, hold = src.stored(src.calm_bars(spark, sf_dir)), _holdings(spark)
     filled = bt.held_prices(prices, hold)
     return bt.portfolio_path(bt.held_returns(filled), bt.renormalised(hold, prices), rebalance, fee)
 
@@ -83,7 +83,7 @@ def _equity(spark, sf_dir):
 
 
 def _benches(spark, sf_dir):
-    prices, hold = src.dense_bars(spark, sf_dir), _holdings(spark, BENCHES)
+    prices, hold = src.stored(src.calm_bars(spark, sf_dir)), _holdings(spark, BENCHES)
     return bt.bench_equity(bt.held_returns(bt.held_prices(prices, hold)), bt.renormalised(hold, prices))
 
 
@@ -93,17 +93,17 @@ def _bench_on(spark, sf_dir, equity):
 
 @query("w44_price_ffill", statement(f"SELECT ticker, date, {r('close')} FROM fh_fill", "fh_fill"))
 def _ffill(spark, sf_dir):
-    return rounded(bt.held_prices(src.dense_bars(spark, sf_dir), _holdings(spark)))
+    return rounded(bt.held_prices(src.calm_bars(spark, sf_dir), _holdings(spark)))
 
 
 @query("j10_weighted_holdings", statement(f"SELECT fund, ticker, {r('weight')} FROM fh_wt", "fh_wt"))
 def _weights(spark, sf_dir):
-    return rounded(bt.renormalised(_holdings(spark), src.dense_bars(spark, sf_dir)))
+    return rounded(bt.renormalised(_holdings(spark), src.calm_bars(spark, sf_dir)))
 
 
 @query("j09_common_dates", statement(f"SELECT fund, ticker, date, {r('ret', 'weight')} FROM fh_common", "fh_common"))
 def _common(spark, sf_dir):
-    prices, hold = src.dense_bars(spark, sf_dir), _holdings(spark)
+    prices, hold = src.stored(src.calm_bars(spark, sf_dir)), _holdings(spark)
     rets = bt.held_returns(bt.held_prices(prices, hold))
     return rounded(bt.common_returns(rets, bt.renormalised(hold, prices)).select("fund", "ticker", "date", "ret", "weight"))
 
@@ -118,9 +118,9 @@ def _portfolio_held(spark, sf_dir):
     return rounded(_path(spark, sf_dir, "None", 0.0))
 
 
-@query("w40_bench_equity", statement("SELECT fund, date, round(ln(equity) + 1e-9, 6) AS log_equity FROM beq", "beq"))
+@query("w40_bench_equity", statement(f"SELECT fund, date, {r('equity')} FROM beq", "beq"))
 def _bench_equity(spark, sf_dir):
-    return rounded(_benches(spark, sf_dir).select("fund", "date", F.ln("equity").alias("log_equity")))
+    return rounded(_benches(spark, sf_dir))
 
 
 @query("w41_drawdown_series", statement(f"""SELECT fund, date, {r('drawdown')} FROM (SELECT fund, date, equity /
@@ -236,15 +236,15 @@ def _calmar(spark, sf_dir):
 
 
 @query("u03_missing_holdings", statement(
-    "SELECT fund, ticker, weight FROM fh_hold WHERE ticker NOT IN (SELECT ticker FROM dense)", "fh_hold", "dense"))
+    "SELECT fund, ticker, weight FROM fh_hold WHERE ticker NOT IN (SELECT ticker FROM calm)", "fh_hold", "calm"))
 def _missing(spark, sf_dir):
-    return up.missing_holdings(_holdings(spark), src.dense_bars(spark, sf_dir))
+    return up.missing_holdings(_holdings(spark), src.calm_bars(spark, sf_dir))
 
 
 @query("u04_present_holdings", statement(
-    "SELECT fund, ticker, weight FROM fh_hold WHERE ticker IN (SELECT ticker FROM dense)", "fh_hold", "dense"))
+    "SELECT fund, ticker, weight FROM fh_hold WHERE ticker IN (SELECT ticker FROM calm)", "fh_hold", "calm"))
 def _present(spark, sf_dir):
-    return up.present_holdings(_holdings(spark), src.dense_bars(spark, sf_dir))
+    return up.present_holdings(_holdings(spark), src.calm_bars(spark, sf_dir))
 
 
 # -- outcome paths and investors ------------------------------------------------------------------------------------------

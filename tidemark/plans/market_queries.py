@@ -30,7 +30,7 @@ _W = modules("weekly")
 def _flagship(spark, sf_dir):
     from tidemark.operators.snapshot import latest_rows
 
-    mom = an.momentum(src.bars(spark, sf_dir), "US_EQ").select("ticker", "date", "mom_1m")
+    mom = an.momentum(src.stored(src.bars(spark, sf_dir)), "US_EQ").select("ticker", "date", "mom_1m")
     top = latest_rows(mom).where(F.col("mom_1m").isNotNull()).orderBy(F.col("mom_1m").desc(), "ticker").limit(3)
     return rounded(top)
 
@@ -214,7 +214,7 @@ def _history_sql() -> str:
 
 @query("s16_analytics_history", _history_sql())
 def _history(spark, sf_dir):
-    bars = src.bars(spark, sf_dir)
+    bars = src.stored(src.bars(spark, sf_dir))
     made = {name: fn(bars, "US_EQ") for name, fn in an.MODULES.items()}
     return rounded(prices.long_history(prices.analytics_history(made, "brand#7", "US_EQ", AS_OF)))
 
@@ -507,7 +507,7 @@ def _melt(spark, sf_dir):
     f"SELECT count(*) AS rows FROM {_M[m]}" for m in ("returns", "momentum")) + " UNION ALL SELECT -1)",
     _M["returns"], _M["momentum"]))
 def _summary(spark, sf_dir):
-    bars = src.bars(spark, sf_dir)
+    bars = src.stored(src.bars(spark, sf_dir))
     made = {m: an.MODULES[m](bars, "US_EQ") for m in ("returns", "momentum")}
     rows = up.module_rows(made, "US_EQ", AS_OF, "run-1")
     failed = rows.limit(1).select("run_date", "run_id", "market", F.lit("risk").alias("module"),

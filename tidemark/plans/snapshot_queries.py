@@ -34,7 +34,7 @@ block("snap", ["weekly", *_W.values()], _snapshot_sql())
 
 
 def _snapshot(spark, sf_dir, cap=None):
-    prices = src.weekly_bars(spark, sf_dir)
+    prices = src.stored(src.weekly_bars(spark, sf_dir))
     made = {name: fn(prices, "US_EQ") for name, fn in an.MODULES.items()}
     return sn.snapshot(made, prices, cap)
 
@@ -56,14 +56,14 @@ def _last_price(spark, sf_dir):
     f"""SELECT ticker, date, {r('mom_1m', 'mom_12m')}, rank_universe FROM {_W['momentum']}
     WHERE date = (SELECT max(date) FROM {_W['momentum']})""", _W["momentum"]))
 def _latest(spark, sf_dir):
-    mom = an.momentum(src.weekly_bars(spark, sf_dir), "US_EQ")
+    mom = an.momentum(src.stored(src.weekly_bars(spark, sf_dir)), "US_EQ")
     return rounded(sn.latest_rows(mom).select("ticker", "date", "mom_1m", "mom_12m", "rank_universe"))
 
 
 @query("j04_cap_filter", statement(f"""SELECT ticker, as_of, {r(*SNAPSHOT_COLUMNS['returns'], 'last_price')} FROM snap
   WHERE ticker IN (SELECT ticker FROM weekly WHERE cap_category = 'MID')""", "snap"))
 def _cap(spark, sf_dir):
-    prices = src.weekly_bars(spark, sf_dir)
+    prices = src.stored(src.weekly_bars(spark, sf_dir))
     df = sn.snapshot({"returns": an.returns(prices, "US_EQ")}, prices, "mid")
     return rounded(df)
 

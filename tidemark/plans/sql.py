@@ -60,6 +60,7 @@ block("bars", [], _bars("p_brand", _DAY, _BRAND_TIER))
 block("weekly", [], _bars("p_brand", FRIDAY.format(_DAY), _BRAND_TIER))
 block("dense", [], _bars("p_type", _DAY, """CASE WHEN ticker IN ('ECONOMY', 'LARGE') THEN 'LARGE'
   WHEN ticker IN ('MEDIUM', 'PROMO') THEN 'MID' ELSE 'SMALL' END"""))
+block("calm", ["dense"], "SELECT * REPLACE (100 + sqrt(close) / 30 AS close) FROM dense")
 block("macro", [], """SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS observation_date,
   avg(o_totalprice) AS value FROM orders GROUP BY 1, 2""")
 block("monthly", [], """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS observation_date,

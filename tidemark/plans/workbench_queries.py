@@ -207,8 +207,8 @@ def _top_corr(spark, sf_dir):
 
 
 @query("a22_chart_heatmap", " UNION ALL ".join(
-    f"SELECT '{a}' AS col1, '{b}' AS col2, " + ("1.0::DOUBLE" if a == b else f"round(round(corr({a}, {b}), 2) + 1e-9, 6) + 0.0")
-    + " AS corr FROM lineitem" + (" GROUP BY ALL" if a == b else "") for a in _LI for b in _LI))
+    f"SELECT '{a}' AS col1, '{b}' AS col2, 1.0::DOUBLE AS corr" if a == b else
+    f"SELECT '{a}', '{b}', round(round(corr({a}, {b}), 2) + 1e-9, 6) + 0.0 FROM lineitem" for a in _LI for b in _LI))
 def _heatmap(spark, sf_dir):
     return rounded(pf.correlation_heatmap(src.table(spark, sf_dir, "lineitem"), _LI))
 

@@ -7,6 +7,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import new_path
+
 # First and last price of a day need a total order of its trades.
 _TRADE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 
@@ -58,6 +60,18 @@ def dense_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _to_bars(_trades(spark, sf_dir, "p_type", day)).withColumn("cap_category", tier)
 
 
+def calm_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense bars with closes squeezed into a narrow range, so that compounded returns stay finite."""
+    return dense_bars(spark, sf_dir).withColumn("close", 100 + F.sqrt("close") / 30)
+
+
+def stored(df: DataFrame, name: str = "market") -> DataFrame:
+    """Write a derived table to the shared folder and read it back, for queries that use it more than once."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def macro_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series_id, observation_date, value): mean order total per priority and day."""
     return table(spark, sf_dir, "orders").groupBy(
