@@ -14,7 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-Agg = Callable[[Column], Column]
+_LONG_FRAME = 50
+_AGGREGATES: dict[str, Callable[..., Column]] = {
+    "avg": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min, "count": F.count, "cov": F.covar_samp,
+}
 
 
 def series(*keys: str, order: str = "date") -> WindowSpec:
@@ -25,10 +28,76 @@ def running(*keys: str, order: str = "date") -> WindowSpec:
     return series(*keys, order=order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def rolling(agg: Agg, x: Column, n: int, w: WindowSpec, need: int | None = None) -> Column:
-    """``agg`` of the last n rows, null until ``need`` (default n) of them are non-null."""
-    frame = w.rowsBetween(-(n - 1), 0)
-    return F.when(F.count(x).over(frame) >= (n if need is None else need), agg(x).over(frame))
+def with_rolling(df: DataFrame, n: int, stats: dict[str, tuple[str, str]], keys: tuple[str, ...] = ("ticker",),
+                 order: str = "date", need: int | None = None) -> DataFrame:
+    """Add statistics of the last n rows, null until ``need`` (default n) of them hold a value.
+
+    ``stats`` maps an output to (kind, column), kind being avg, std, max, min, count, or cov with a pair "x,y" of
+    columns that are null together. Short frames use plain sliding windows. Long ones are cut into blocks of n rows:
+    each frame is the tail of one block and the head of the next, so running aggregates taken forward and backward
+    and one merge per row replace n updates per row.
+    """
+    need = n if need is None else need
+    kept = df.columns
+    inputs = sorted({x for _, x in stats.values()})
+    first = {x: x.split(",")[0] for x in inputs}
+    if n < _LONG_FRAME:
+        frame = series(*keys, order=order).rowsBetween(-(n - 1), 0)
+        df = df.withColumns({
+            **{f"_c_{x}": F.count(first[x]).over(frame) for x in inputs},
+            **{f"_r_{out}": _AGGREGATES[kind](*x.split(",")).over(frame) for out, (kind, x) in stats.items()},
+        })
+        return df.select(*kept, *[F.when(F.col(f"_c_{x}") >= need, F.col(f"_r_{out}")).alias(out)
+                                  for out, (_, x) in stats.items()])
+    w = series(*keys, order=order)
+    df = df.withColumn("_pos", F.row_number().over(w) - 1).withColumn("_blk", F.floor(F.col("_pos") / n))
+    grown = Window.unboundedPreceding
+    head = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(grown, 0)
+    tail = Window.partitionBy(*keys, "_blk").orderBy(F.col(order).desc()).rowsBetween(grown, 0)
+    parts = {}
+    for x in inputs:
+        cols = x.split(",")
+        kinds = {kind for kind, y in stats.values() if y == x}
+        parts[f"c_{x}"] = F.count(cols[0])
+        if kinds & {"avg", "std"}:
+            parts[f"m_{x}"] = F.avg(cols[0])
+        if "std" in kinds:
+            parts[f"v_{x}"] = F.var_pop(cols[0])
+        if "cov" in kinds:
+            parts |= {f"m_{x}": F.avg(cols[0]), f"m2_{x}": F.avg(cols[1]), f"v_{x}": F.covar_pop(*cols)}
+        parts |= {f"{k}_{x}": _AGGREGATES[k](x) for k in kinds & {"max", "min"}}
+    df = df.withColumns({f"_h_{k}": a.over(head) for k, a in parts.items()})
+    df = df.withColumns({f"_t_{k}": a.over(tail) for k, a in parts.items()})
+    # A frame that ends with its block has no tail from the block before.
+    inside = F.col("_pos") - F.col("_blk") * n < n - 1
+    df = df.withColumns({f"_o_{k}": F.lag(f"_t_{k}", n - 1).over(w) for k in parts})
+    df = df.withColumns({f"_o_{k}": F.when(inside, F.col(f"_o_{k}")) for k in parts})
+
+    def pair(k: str) -> tuple[Column, Column]:
+        return F.col(f"_h_{k}"), F.col(f"_o_{k}")
+
+    def merged(kind: str, x: str) -> Column:
+        zero = F.lit(0.0)
+        if kind in ("max", "min"):
+            return (F.greatest if kind == "max" else F.least)(*pair(f"{kind}_{x}"))
+        a, b = (F.coalesce(c, F.lit(0)) for c in pair(f"c_{x}"))
+        total = F.nullif(a + b, F.lit(0))
+        if kind == "count":
+            return a + b
+        ma, mb = (F.coalesce(c, zero) for c in pair(f"m_{x}"))
+        mean = (a * ma + b * mb) / total
+        if kind == "avg":
+            return mean
+        va, vb = (F.coalesce(c, zero) for c in pair(f"v_{x}"))
+        if kind == "cov":
+            na, nb = (F.coalesce(c, zero) for c in pair(f"m2_{x}"))
+            return F.try_divide(a * va + b * vb + (ma - mb) * (na - nb) * a * b / total, total - 1)
+        spread = a * va + b * vb + (ma - mb) * (ma - mb) * a * b / total
+        # Merging leaves rounding dust where all values are equal; such a frame has no spread.
+        return F.when(spread <= total * mean * mean * 1e-26, zero).otherwise(F.sqrt(F.try_divide(spread, total - 1)))
+
+    counts = {x: sum((F.coalesce(c, F.lit(0)) for c in pair(f"c_{x}")), F.lit(0)) for x in inputs}
+    return df.select(*kept, *[F.when(counts[x] >= need, merged(kind, x)).alias(out) for out, (kind, x) in stats.items()])
 
 
 def change(x: Column, k: int, w: WindowSpec) -> Column:
@@ -36,10 +105,15 @@ def change(x: Column, k: int, w: WindowSpec) -> Column:
     return F.try_divide(x, F.lag(x, k).over(w)) - 1
 
 
-def zscore(x: Column, n: int, w: WindowSpec, need: int | None = None) -> Column:
-    mean = rolling(F.avg, x, n, w, need)
-    std = rolling(F.stddev_samp, x, n, w, need)
-    return F.try_divide(x - mean, std)
+def with_zscores(df: DataFrame, n: int, values: dict[str, str], keys: tuple[str, ...] = ("ticker",),
+                 order: str = "date", need: int | None = None) -> DataFrame:
+    """Add (value - mean) / std of the last n rows for each column -> output of ``values``."""
+    kept = df.columns
+    stats = {f"_{k}_{x}": (k, x) for x in values for k in ("avg", "std")}
+    df = with_rolling(df, n, stats, keys, order, need)
+    return df.select(*kept, *[
+        F.try_divide(F.col(x) - F.col(f"_avg_{x}"), F.col(f"_std_{x}")).alias(out) for x, out in values.items()
+    ])
 
 
 def with_calendar_index(df: DataFrame, dates: DataFrame | None = None) -> DataFrame:
@@ -66,41 +140,38 @@ def calendar_mean(x: Column, n: int, *keys: str) -> Column:
     return F.when(F.count(x).over(frame) == n, F.avg(x).over(frame))
 
 
-def with_ema(df: DataFrame, specs: list[tuple[str, str, float]], key: str = "ticker", order: str = "date") -> DataFrame:
+def with_ema(df: DataFrame, groups: dict[str, list[tuple[str, str, float]]], key: str = "ticker", order: str = "date") -> DataFrame:
     """Exponential means ``(out, input column, alpha)`` seeded with the first non-null input.
 
+    The inputs of one group are null on the same rows as the column the group is named after.
+
     y_n = (1-alpha) y_(n-1) + alpha x_n is written as a sum of weighted inputs. The rows of a series are cut into
     blocks so long that inputs two blocks back weigh less than e^-80; a running sum inside the block plus the total
     of the block before it gives the mean with two windows and no fold over the rows.
     """
     kept = df.columns
-    names = []
-    for out, x, alpha in specs:
-        decay = 1.0 - alpha
-        size = math.ceil(80 / -math.log(decay))
-        n, b, w, here, before = (f"_{out}_{s}" for s in ("n", "b", "w", "here", "before"))
-        place = F.col(n) - F.col(b) * size
-        df = (
-            df.withColumn(n, F.count(x).over(running(key, order=order)) - 1)
-            .withColumn(b, F.floor(F.col(n) / size))
-            .withColumn(
-                w,
-                F.when(F.col(n) == 0, F.col(x)).otherwise(F.col(x) * alpha) * F.pow(F.lit(decay), -place),
-            )
-            .withColumn(here, F.sum(w).over(Window.partitionBy(key, b).orderBy(order).rowsBetween(
-                Window.unboundedPreceding, 0)))
-            .withColumn(before, F.sum(w).over(Window.partitionBy(key).orderBy(b).rangeBetween(-1, -1)))
-            .withColumn(
-                out,
-                F.when(
-                    F.col(n) >= 0,
-                    F.pow(F.lit(decay), place)
-                    * (F.coalesce(here, F.lit(0.0)) + F.coalesce(before, F.lit(0.0)) * math.pow(decay, size)),
-                ),
-            )
-        )
-        names.append(out)
-    return df.select(*kept, *names)
+    df = df.withColumns({f"_n_{g}": F.count(g).over(running(key, order=order)) - 1 for g in groups})
+    made = []
+    for g, specs in groups.items():
+        size = max(math.ceil(80 / -math.log1p(-alpha)) for _, _, alpha in specs)
+        if any(size * -math.log1p(-alpha) > 600 for _, _, alpha in specs):
+            raise ValueError("smoothing factors of one group differ too much for a common block")
+        n, b = F.col(f"_n_{g}"), f"_b_{g}"
+        df = df.withColumn(b, F.floor(n / size))
+        place = n - F.col(b) * size
+        df = df.withColumns({
+            f"_w_{out}": F.when(n == 0, F.col(x)).otherwise(F.col(x) * alpha) * F.pow(F.lit(1 - alpha), -place)
+            for out, x, alpha in specs
+        })
+        inside = Window.partitionBy(key, b).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumns({f"_here_{out}": F.sum(f"_w_{out}").over(inside) for out, _, _ in specs})
+        before = Window.partitionBy(key).orderBy(b).rangeBetween(-1, -1)
+        df = df.withColumns({f"_before_{out}": F.sum(f"_w_{out}").over(before) for out, _, _ in specs})
+        for out, _, alpha in specs:
+            here, old = (F.coalesce(f"_{s}_{out}", F.lit(0.0)) for s in ("here", "before"))
+            value = F.pow(F.lit(1 - alpha), place) * (here + old * math.pow(1 - alpha, size))
+            made.append((out, F.when(n >= 0, value)))
+    return df.select(*kept, *[value.alias(out) for out, value in made])
 
 
 def with_window_drawdown(df: DataFrame, price: str, n: int, out: str, key: str = "ticker", order: str = "date") -> DataFrame:

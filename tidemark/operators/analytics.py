@@ -91,39 +91,45 @@ def align_benchmark(prices: DataFrame, bench: DataFrame) -> DataFrame:
 
 def risk(prices: DataFrame, market: str, bench_ticker: str | None = None) -> DataFrame:
     o = win.series()
-    r, b = F.col("ret"), F.col("bench_ret")
+    r = F.col("ret")
     df = prices.select("ticker", "date", "close", win.change(F.col("close"), 1, o).alias("ret"))
-    df = df.withColumn("_ok", _enough(r, 22)).where("_ok")
+    df = df.withColumn("_ok", _enough(r, 22)).where("_ok").drop("_ok").withColumn("_neg", F.when(r < 0, r))
     df = win.with_window_drawdown(df, "close", TRADING_DAYS, "max_dd_252d")
-    std = {n: win.rolling(F.stddev_samp, r, n, o) for n in (21, 63, 252)}
-    mean = {n: win.rolling(F.avg, r, n, o) for n in (21, 63, 252)}
-    full = F.count(r).over(o.rowsBetween(-251, 0)) == 252
-    down = F.when(full, F.stddev_samp(F.when(r < 0, r)).over(o.rowsBetween(-251, 0)))
-    df = df.select(
-        "ticker", "date", "ret", "max_dd_252d",
-        *[(std[n] * ANNUAL).alias(f"vol_{n}d") for n in (21, 63, 252)],
-        *[(F.try_divide(mean[n], std[n]) * ANNUAL).alias(f"sharpe_{n}d") for n in (63, 252)],
-        (F.try_divide(mean[252], down) * ANNUAL).alias("sortino_252d"),
-        (mean[21] - 1.645 * std[21]).alias("var_95_21d"),
-        (mean[21] - 2.063 * std[21]).alias("cvar_95_21d"),
-    )
+    df = win.with_rolling(df, 21, {"m21": ("avg", "ret"), "s21": ("std", "ret")})
+    df = win.with_rolling(df, 63, {"m63": ("avg", "ret"), "s63": ("std", "ret")})
+    df = win.with_rolling(df, 252, {"m252": ("avg", "ret"), "s252": ("std", "ret")})
+    df = win.with_rolling(df, 252, {"down": ("std", "_neg")}, need=2)
     df = align_benchmark(df, mean_return_benchmark(prices, bench_ticker))
-    # The regression frame counts aligned pairs only, and ends before the current row.
-    paired = r.isNotNull() & b.isNotNull()
-    f = Window.partitionBy("ticker", "_pair").orderBy("date").rowsBetween(-TRADING_DAYS, -1)
-    df = df.withColumn("_pair", paired)
-    var = F.var_samp(b).over(f)
-    usable = F.col("_pair") & (F.count(b).over(f) == TRADING_DAYS) & (var >= 1e-12)
-    beta = F.when(usable, F.covar_samp(r, b).over(f) / F.when(usable, var))
-    df = df.withColumn("beta_252d", beta).withColumn(
-        "alpha_252d", (F.avg(r).over(f) - F.col("beta_252d") * F.avg(b).over(f)) * TRADING_DAYS
-    )
+    df = with_beta(df)
+    m, s = (lambda n: F.col(f"m{n}")), (lambda n: F.col(f"s{n}"))
+    down = F.when(m(252).isNotNull(), F.col("down"))
     return df.select(
-        "ticker", F.lit(market).alias("market"), "date", "vol_21d", "vol_63d", "vol_252d", "sharpe_63d",
-        "sharpe_252d", "sortino_252d", "max_dd_252d", "beta_252d", "alpha_252d", "var_95_21d", "cvar_95_21d",
+        "ticker", F.lit(market).alias("market"), "date", *[(s(n) * ANNUAL).alias(f"vol_{n}d") for n in (21, 63, 252)],
+        *[(F.try_divide(m(n), s(n)) * ANNUAL).alias(f"sharpe_{n}d") for n in (63, 252)],
+        (F.try_divide(m(252), down) * ANNUAL).alias("sortino_252d"), "max_dd_252d", "beta_252d", "alpha_252d",
+        (m(21) - 1.645 * s(21)).alias("var_95_21d"), (m(21) - 2.063 * s(21)).alias("cvar_95_21d"),
     )
 
 
+def with_beta(df: DataFrame, n: int = TRADING_DAYS) -> DataFrame:
+    """Beta and yearly alpha of ``ret`` on ``bench_ret`` over the n aligned pairs before the current row.
+
+    Rows without both returns do not count, so they form their own series; the frame ends one row back.
+    """
+    kept = df.columns
+    df = df.withColumn("_pair", F.col("ret").isNotNull() & F.col("bench_ret").isNotNull())
+    keys = ("ticker", "_pair")
+    df = win.with_rolling(df, n, {
+        "_mr": ("avg", "ret"), "_mb": ("avg", "bench_ret"), "_sb": ("std", "bench_ret"), "_cov": ("cov", "ret,bench_ret"),
+    }, keys)
+    o = win.series(*keys)
+    df = df.withColumns({c: F.lag(c, 1).over(o) for c in ("_mr", "_mb", "_sb", "_cov")})
+    var = F.col("_sb") * F.col("_sb")
+    df = df.withColumn("beta_252d", F.when(F.col("_pair") & (var >= 1e-12), F.try_divide(F.col("_cov"), var)))
+    alpha = (F.col("_mr") - F.col("beta_252d") * F.col("_mb")) * TRADING_DAYS
+    return df.select(*kept, "beta_252d", alpha.alias("alpha_252d"))
+
+
 # -- momentum -----------------------------------------------------------------------------------------------------------
 
 def momentum(prices: DataFrame, market: str, bench_ticker: str | None = None) -> DataFrame:
@@ -134,10 +140,12 @@ def momentum(prices: DataFrame, market: str, bench_ticker: str | None = None) ->
         (F.try_divide(F.lag(close, 21).over(o), F.lag(close, 252).over(o)) - 1).alias("mom_12m_skip1m"),
         (win.change(close, 20, o) * 100).alias("roc_20d"),
         (win.change(close, 60, o) * 100).alias("roc_60d"),
-        ((F.try_divide(close, win.rolling(F.max, close, 252, o)) - 1) * 100).alias("hi_52w_pct"),
-        ((F.try_divide(close, win.rolling(F.min, close, 252, o)) - 1) * 100).alias("lo_52w_pct"),
-        F.count(F.lit(1)).over(Window.partitionBy("ticker")).alias("_bars"),
+        "close", F.count(F.lit(1)).over(Window.partitionBy("ticker")).alias("_bars"),
     ).where("_bars >= 22")
+    df = win.with_rolling(df, 252, {"_hi": ("max", "close"), "_lo": ("min", "close")}).withColumns({
+        "hi_52w_pct": (F.try_divide(close, F.col("_hi")) - 1) * 100,
+        "lo_52w_pct": (F.try_divide(close, F.col("_lo")) - 1) * 100,
+    })
     bench = mean_price_benchmark(prices, TRADING_DAYS, bench_ticker).select("date", "bench_change")
     df = align_benchmark(df, bench).withColumn(
         "rs_vs_bench", F.try_divide(1 + F.col("mom_12m"), 1 + _nonzero(F.col("bench_change")))
@@ -199,15 +207,9 @@ def calendar_signals(prices: DataFrame) -> DataFrame:
 
 
 def zscore_series(prices: DataFrame) -> DataFrame:
-    o, close, volume = win.series(), F.col("close"), F.col("volume")
-    df = prices.select("ticker", "date", close, volume, win.change(close, 1, o).alias("_ret"))
-    return df.select(
-        "ticker", "date",
-        win.zscore(close, 21, o).alias("z_price_21d"),
-        win.zscore(close, 63, o).alias("z_price_63d"),
-        win.zscore(volume, 21, o).alias("z_volume_21d"),
-        win.zscore(F.col("_ret"), 21, o).alias("z_ret_21d"),
-    )
+    df = prices.select("ticker", "date", "close", "volume", win.change(F.col("close"), 1, win.series()).alias("_ret"))
+    df = win.with_zscores(df, 21, {"close": "z_price_21d", "volume": "z_volume_21d", "_ret": "z_ret_21d"})
+    return win.with_zscores(df, 63, {"close": "z_price_63d"})
 
 
 def zscore(prices: DataFrame, market: str) -> DataFrame:
@@ -232,10 +234,12 @@ def true_range(high: Column, low: Column, close: Column) -> Column:
     return F.greatest(high - low, F.abs(high - prev), F.abs(low - prev))
 
 
-def bands(close: Column, n: int = 20, width: float = 2.0) -> tuple[Column, Column, Column]:
-    mid = win.rolling(F.avg, close, n, win.series())
-    std = win.rolling(F.stddev_samp, close, n, win.series())
-    return mid + width * std, mid, mid - width * std
+def with_bands(df: DataFrame, price: str, n: int = 20, width: float = 2.0) -> DataFrame:
+    """Add bb_upper, bb_mid and bb_lower."""
+    kept = df.columns
+    df = win.with_rolling(df, n, {"bb_mid": ("avg", price), "_std": ("std", price)})
+    mid, std = F.col("bb_mid"), F.col("_std") * width
+    return df.select(*kept, (mid + std).alias("bb_upper"), "bb_mid", (mid - std).alias("bb_lower"))
 
 
 def with_ema_indicators(df: DataFrame, price: str, wilder_guard: bool, period: int = 14) -> DataFrame:
@@ -248,12 +252,13 @@ def with_ema_indicators(df: DataFrame, price: str, wilder_guard: bool, period: i
         "_loss": F.greatest(-delta, F.when(delta.isNotNull(), F.lit(0.0))),
         "_tr": true_range(F.col("high"), F.col("low"), c),
     })
-    df = win.with_ema(df, [
-        ("_up", "_gain", 1 / period), ("_dn", "_loss", 1 / period), ("_atr", "_tr", 1 / period),
-        ("_fast", price, 2 / 13), ("_slow", price, 2 / 27),
-    ])
+    df = win.with_ema(df, {
+        "_gain": [("_up", "_gain", 1 / period), ("_dn", "_loss", 1 / period)],
+        "_tr": [("_atr", "_tr", 1 / period)],
+        price: [("_fast", price, 2 / 13), ("_slow", price, 2 / 27)],
+    })
     df = df.withColumn("macd_line", F.col("_fast") - F.col("_slow"))
-    df = win.with_ema(df, [("macd_signal", "macd_line", 2 / 10)])
+    df = win.with_ema(df, {"macd_line": [("macd_signal", "macd_line", 2 / 10)]})
     rsi = 100 - F.try_divide(F.lit(100.0), 1 + F.try_divide(F.col("_up"), _nonzero(F.col("_dn"))))
     atr = F.try_divide(F.col("_atr"), c)
     if wilder_guard:
@@ -272,13 +277,11 @@ def technical(prices: DataFrame, market: str) -> DataFrame:
     )
     df = df.withColumn("_ok", _enough(close, 21)).where("_ok").drop("_ok")
     df = with_ema_indicators(df, "close", wilder_guard=True)
-    up, mid, low = bands(close)
+    df = with_bands(df, "close")
+    for n in (50, 200):
+        df = win.with_rolling(df, n, {f"ma_{n}": ("avg", "close")})
     step = F.signum(F.coalesce(close - F.lag(close, 1).over(o), F.lit(0.0)))
-    df = df.withColumns({
-        "bb_upper": up, "bb_mid": mid, "bb_lower": low,
-        "ma_50": win.rolling(F.avg, close, 50, o), "ma_200": win.rolling(F.avg, close, 200, o),
-        "_flow": step * F.col("volume"),
-    })
+    df = df.withColumn("_flow", step * F.col("volume"))
     spread = _nonzero(F.col("bb_upper") - F.col("bb_lower"))
     return df.select(
         "ticker", F.lit(market).alias("market"), "date", "rsi_14", "bb_upper", "bb_mid", "bb_lower",

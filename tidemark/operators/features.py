@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as win
-from tidemark.operators.analytics import ANNUAL, bands, with_ema_indicators
+from tidemark.operators.analytics import ANNUAL, with_bands, with_ema_indicators
 from tidemark.operators.upsert import union_all
 from tidemark.schemas import FEATURE_COLUMNS
 
@@ -38,13 +38,12 @@ def technical_features(bars: DataFrame) -> DataFrame:
     )
     df = df.withColumn("_ret", win.change(F.col("_pad"), 1, o))
     df = with_ema_indicators(df, "adj_close", wilder_guard=False)
-    up, mid, low = bands(c)
-    df = df.withColumns({
-        **{f"returns_{k}d": win.change(F.col("_pad"), k, o) for k in (1, 5, 21, 63, 252)},
-        **{f"vol_{n}d": win.rolling(F.stddev_samp, F.col("_ret"), n, o) * ANNUAL for n in (21, 63)},
-        "bb_upper": up, "bb_mid": mid, "bb_lower": low, "ma_20": mid,
-        "ma_50": win.rolling(F.avg, c, 50, o), "ma_200": win.rolling(F.avg, c, 200, o),
-    })
+    df = with_bands(df, "adj_close").withColumn("ma_20", F.col("bb_mid"))
+    for n in (50, 200):
+        df = win.with_rolling(df, n, {f"ma_{n}": ("avg", "adj_close")})
+    for n in (21, 63):
+        df = win.with_rolling(df, n, {f"_s{n}": ("std", "_ret")}).withColumn(f"vol_{n}d", F.col(f"_s{n}") * ANNUAL)
+    df = df.withColumns({f"returns_{k}d": win.change(F.col("_pad"), k, o) for k in (1, 5, 21, 63, 252)})
     spread = F.col("bb_upper") - F.col("bb_lower")
     return df.withColumns({
         "bb_width": F.try_divide(spread, F.col("bb_mid")),
@@ -78,11 +77,12 @@ def wide_to_long(wide: DataFrame, windows: dict[str, str], feature_set: str, ass
 def macro_features(macro: DataFrame) -> DataFrame:
     """Differences and rolling z-scores per series; a series has one value per date."""
     o, v = win.series("series_id", order="observation_date"), F.col("value")
-    return macro.select(
-        "series_id", "observation_date", "value",
-        *[(v - F.lag(v, k).over(o)).alias(f"mom_{k}m") for k in (1, 3, 12)],
-        win.zscore(v, 252, o, need=30).alias("zscore_1y"), win.zscore(v, 756, o, need=63).alias("zscore_3y"),
+    df = macro.select(
+        "series_id", "observation_date", "value", *[(v - F.lag(v, k).over(o)).alias(f"mom_{k}m") for k in (1, 3, 12)]
     )
+    for n, need, out in ((252, 30, "zscore_1y"), (756, 63, "zscore_3y")):
+        df = win.with_zscores(df, n, {"value": out}, ("series_id",), "observation_date", need)
+    return df
 
 
 def align_series(macro: DataFrame, roles: dict[str, str], base: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as win
-from tidemark.operators.analytics import bands, mean_per_bar, true_range
+from tidemark.operators.analytics import mean_per_bar, true_range, with_bands
 from tidemark.schemas import PRICE_COLUMNS
 
 EPSILON = 2.220446049250313e-16  # fixed value: spacing of doubles at one
@@ -156,22 +156,18 @@ def rsi_sma(prices: DataFrame, period: int = 14) -> DataFrame:
         "ticker", "date", F.when(delta.isNotNull(), F.greatest(delta, F.lit(0.0))).alias("gain"),
         F.when(delta.isNotNull(), F.greatest(-delta, F.lit(0.0))).alias("loss"),
     )
-    gain = win.rolling(F.avg, F.col("gain"), period, o)
-    loss = win.rolling(F.avg, F.col("loss"), period, o)
-    safe = F.when(loss == 0, EPSILON).otherwise(loss)
-    return df.select("ticker", "date", (100 - 100 / (1 + gain / safe)).alias("rsi"))
+    df = win.with_rolling(df, period, {"mg": ("avg", "gain"), "ml": ("avg", "loss")})
+    safe = F.when(F.col("ml") == 0, EPSILON).otherwise(F.col("ml"))
+    return df.select("ticker", "date", (100 - 100 / (1 + F.col("mg") / safe)).alias("rsi"))
 
 
 def chart_indicators(prices: DataFrame) -> DataFrame:
     """Bands, MACD and the plain 14-bar mean of the true range, as drawn on the price chart."""
-    up, mid, low = bands(F.col("close"))
-    df = prices.select(
-        "ticker", "date", "close", up.alias("bb_upper"), mid.alias("bb_mid"), low.alias("bb_lower"),
-        true_range(F.col("high"), F.col("low"), F.col("close")).alias("tr"),
-    )
-    df = df.withColumn("atr", win.rolling(F.avg, F.col("tr"), 14, win.series()))
-    df = win.with_ema(df, [("_fast", "close", 2 / 13), ("_slow", "close", 2 / 27)])
-    df = win.with_ema(df.withColumn("macd", F.col("_fast") - F.col("_slow")), [("signal", "macd", 2 / 10)])
+    df = with_bands(prices.select("ticker", "date", "high", "low", "close"), "close")
+    df = df.withColumn("tr", true_range(F.col("high"), F.col("low"), F.col("close")))
+    df = win.with_rolling(df, 14, {"atr": ("avg", "tr")})
+    df = win.with_ema(df, {"close": [("_fast", "close", 2 / 13), ("_slow", "close", 2 / 27)]})
+    df = win.with_ema(df.withColumn("macd", F.col("_fast") - F.col("_slow")), {"macd": [("signal", "macd", 2 / 10)]})
     return df.select(
         "ticker", "date", "bb_upper", "bb_mid", "bb_lower", "macd", "signal",
         (F.col("macd") - F.col("signal")).alias("histogram"), "atr",

@@ -42,57 +42,69 @@ def ranks_within(df: DataFrame, by: str, value: str, descending: bool) -> DataFr
     )
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], cuts: int = 128) -> DataFrame:
+DIRECT_ROWS = 100_000  # a group up to this size may be held by one task
+BROADCAST_ROWS = 100_000  # a table of ranges up to this size is broadcast
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], direct: int = DIRECT_ROWS,
+                    bins: int = 1024) -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` per group, one column per entry of ``probs``.
 
-    Approximate quantiles of the distinct values cut every group into buckets; only the buckets that hold a wanted
-    rank are sorted. The cut points are pinned, because two evaluations of an approximate aggregate may differ.
+    While every group is small the built-in exact percentile does it. Larger groups are narrowed down: rows are
+    counted in equal bins between two bounds, with map-side combine, and the bounds move to the bin that holds the
+    wanted rank, until what is left between them is one value or a small group. No pass shuffles or sorts the rows.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    steps = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
-    groups = pin(
-        counts.groupBy(*by).agg(
-            F.percentile_approx(value, steps, cuts * 20).alias("_cuts"), F.sum("_c").alias("_n")
-        )
-    )
-    if by:
-        keyed = counts.join(groups, by)
-    else:
-        whole = groups.first()
-        points = F.array(*[F.lit(c) for c in whole["_cuts"] or []]).cast("array<double>")
-        keyed = counts.select("*", points.alias("_cuts"), F.lit(whole["_n"]).cast("bigint").alias("_n"))
-    placed = keyed.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    sizes = placed.groupBy(*by, "_n", "_bucket").agg(F.sum("_c").alias("_rows"))
-    upto = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    spans = sizes.withColumn("_start", F.sum("_rows").over(upto) - F.col("_rows"))
-
-    def rank_of(p: float, up: bool) -> Column:
-        pos = F.lit(p) * (F.col("_n") - 1)
-        return (F.ceil(pos) if up else F.floor(pos)).cast("bigint")
-
-    wanted = F.lit(False)
-    for p in probs.values():
-        for up in (False, True):
-            k = rank_of(p, up)
-            wanted = wanted | ((k >= F.col("_start")) & (k < F.col("_start") + F.col("_rows")))
-    picked = spans.where(wanted).select(*by, "_bucket", "_start")
-    inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        placed.join(picked, [*by, "_bucket"])
-        .withColumn("_end", F.col("_start") + F.sum("_c").over(inside))
-        .withColumn("_from", F.col("_end") - F.col("_c"))
-    )
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    largest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if largest is None or largest <= direct:
+        found = rows.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q"))
+        return found.select(*by, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
+    rows = rows.withColumn("_all", F.lit(1))
+    keys = [*by, "_all"]
+
+    def ranks(p: float) -> tuple[Column, Column]:
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        return F.floor(pos).cast("bigint"), F.ceil(pos).cast("bigint")
+
+    wanted = F.explode(F.array_distinct(F.array(*[k for p in probs.values() for k in ranks(p)])))
+    groups = pin(rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    state = groups.select(*keys, wanted.alias("_k"), "_lo", "_hi", F.lit(0).cast("bigint").alias("_base"),
+                          F.col("_n").alias("_size"))
+    unsettled = (F.col("_lo") < F.col("_hi")) & (F.col("_size") > direct)
+
+    def within(ranges: DataFrame) -> DataFrame:
+        ranges = pin(ranges.select(*keys, "_lo", "_hi", "_base").distinct())
+        small = F.broadcast(ranges) if ranges.count() <= BROADCAST_ROWS else ranges
+        return rows.join(small, keys).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+
+    spans = [*keys, "_lo", "_hi"]
+    while not state.where(unsettled).isEmpty():
+        place = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
+        counted = within(state.where(unsettled)).groupBy(*spans, "_base", F.least(place, F.lit(bins - 1)).alias("_bin")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+        # At most ``bins`` rows per range.
+        upto = Window.partitionBy(*spans).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        ends = counted.withColumn("_end", F.col("_base") + F.sum("_c").over(upto)).drop("_base")
+        hit = (F.col("_k") >= F.col("_end") - F.col("_c")) & (F.col("_k") < F.col("_end"))
+        moved = state.where(unsettled).join(ends, spans).where(hit).select(
+            *keys, "_k", F.col("_from").alias("_lo"), F.col("_to").alias("_hi"), (F.col("_end") - F.col("_c")).alias("_base"),
+            F.col("_c").alias("_size"))
+        state = pin(state.where(~unsettled).unionByName(moved))
+    left = within(state.where("_lo < _hi")).groupBy(*spans).agg(F.sort_array(F.collect_list("_v")).alias("_sorted"))
+    values = state.join(left, spans, "left").select(
+        *keys, "_k", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
+            F.get("_sorted", (F.col("_k") - F.col("_base")).cast("int"))).alias("_x"))
+    placed = values.join(groups.select(*keys, "_n"), keys)
     ends = []
     for name, p in probs.items():
-        for up in (False, True):
-            k = rank_of(p, up)
-            hit = (k >= F.col("_from")) & (k < F.col("_end"))
-            ends.append(F.max(F.when(hit, F.col(value))).alias(f"_{name}_{int(up)}"))
-    found = ranked.groupBy(*by, "_n").agg(*ends)
+        for side, k in zip(("lo", "hi"), ranks(p)):
+            ends.append(F.max(F.when(F.col("_k") == k, F.col("_x"))).alias(f"_{name}_{side}"))
+    found = placed.groupBy(*keys, "_n").agg(*ends)
     out = []
     for name, p in probs.items():
-        pos = F.lit(p) * (F.col("_n") - 1)
-        lo, hi = F.col(f"_{name}_0"), F.col(f"_{name}_1")
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
     return found.select(*by, *out)
 

@@ -46,7 +46,7 @@ SELECT ticker, date, open, high, low, close, close AS adj_close, volume, {tier}
   SELECT ticker, date, arg_min(px, k) AS open, max(px) AS high, min(px) AS low, arg_max(px, k) AS close,
          sum(qty) AS volume
   FROM (SELECT {ticker} AS ticker, {date} AS date, l_extendedprice / l_quantity AS px, l_quantity AS qty,
-               ROW(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS k
+               ROW(l_orderkey, l_linenumber, l_extendedprice, l_quantity) AS k
         FROM lineitem JOIN part ON l_partkey = p_partkey)
   GROUP BY ticker, date)"""
 
