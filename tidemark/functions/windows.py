@@ -9,15 +9,11 @@ rolling means over a whole table, have no such bound and go through ``operators.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 _LONG_FRAME = 50
-_AGGREGATES: dict[str, Callable[..., Column]] = {
-    "avg": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min, "count": F.count, "cov": F.covar_samp,
-}
+_AGGREGATES = {"avg": "avg", "std": "stddev_samp", "max": "max", "min": "min", "count": "count", "cov": "covar_samp"}
 
 
 def series(*keys: str, order: str = "date") -> WindowSpec:
@@ -28,6 +24,13 @@ def running(*keys: str, order: str = "date") -> WindowSpec:
     return series(*keys, order=order).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def _over(keys: tuple[str, ...], order: str, frame: str = "") -> str:
+    return f"OVER (PARTITION BY {', '.join(keys)} ORDER BY {order} {frame})"
+
+
+_GROWING = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+
 def with_rolling(df: DataFrame, n: int, stats: dict[str, tuple[str, str]], keys: tuple[str, ...] = ("ticker",),
                  order: str = "date", need: int | None = None) -> DataFrame:
     """Add statistics of the last n rows, null until ``need`` (default n) of them hold a value.
@@ -38,66 +41,62 @@ def with_rolling(df: DataFrame, n: int, stats: dict[str, tuple[str, str]], keys:
     and one merge per row replace n updates per row.
     """
     need = n if need is None else need
-    kept = df.columns
-    inputs = sorted({x for _, x in stats.values()})
-    first = {x: x.split(",")[0] for x in inputs}
+    names = {x: x.replace(",", "_") for _, x in stats.values()}
+    first = {x: x.split(",")[0] for x in names}
     if n < _LONG_FRAME:
-        frame = series(*keys, order=order).rowsBetween(-(n - 1), 0)
-        df = df.withColumns({
-            **{f"_c_{x}": F.count(first[x]).over(frame) for x in inputs},
-            **{f"_r_{out}": _AGGREGATES[kind](*x.split(",")).over(frame) for out, (kind, x) in stats.items()},
-        })
-        return df.select(*kept, *[F.when(F.col(f"_c_{x}") >= need, F.col(f"_r_{out}")).alias(out)
-                                  for out, (_, x) in stats.items()])
-    w = series(*keys, order=order)
-    df = df.withColumn("_pos", F.row_number().over(w) - 1).withColumn("_blk", F.floor(F.col("_pos") / n))
-    grown = Window.unboundedPreceding
-    head = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(grown, 0)
-    tail = Window.partitionBy(*keys, "_blk").orderBy(F.col(order).desc()).rowsBetween(grown, 0)
+        frame = _over(keys, order, f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW")
+        inner = df.selectExpr(
+            "*", *[f"count({first[x]}) {frame} AS _c_{v}" for x, v in names.items()],
+            *[f"{_AGGREGATES[kind]}({x}) {frame} AS _r_{out}" for out, (kind, x) in stats.items()])
+        return inner.selectExpr(
+            *df.columns, *[f"CASE WHEN _c_{names[x]} >= {need} THEN _r_{out} END AS {out}" for out, (_, x) in stats.items()])
     parts = {}
-    for x in inputs:
+    for x, v in names.items():
         cols = x.split(",")
         kinds = {kind for kind, y in stats.values() if y == x}
-        parts[f"c_{x}"] = F.count(cols[0])
-        if kinds & {"avg", "std"}:
-            parts[f"m_{x}"] = F.avg(cols[0])
+        parts[f"c_{v}"] = f"count({cols[0]})"
+        if kinds & {"avg", "std", "cov"}:
+            parts[f"m_{v}"] = f"avg({cols[0]})"
         if "std" in kinds:
-            parts[f"v_{x}"] = F.var_pop(cols[0])
+            parts[f"v_{v}"] = f"var_pop({x})"
         if "cov" in kinds:
-            parts |= {f"m_{x}": F.avg(cols[0]), f"m2_{x}": F.avg(cols[1]), f"v_{x}": F.covar_pop(*cols)}
-        parts |= {f"{k}_{x}": _AGGREGATES[k](x) for k in kinds & {"max", "min"}}
-    df = df.withColumns({f"_h_{k}": a.over(head) for k, a in parts.items()})
-    df = df.withColumns({f"_t_{k}": a.over(tail) for k, a in parts.items()})
+            parts |= {f"m2_{v}": f"avg({cols[1]})", f"v_{v}": f"covar_pop({x})"}
+        parts |= {f"{k}_{v}": f"{k}({x})" for k in kinds & {"max", "min"}}
+    row = _over(keys, order)
+    head, tail = (_over((*keys, "_blk"), o, _GROWING) for o in (order, f"{order} DESC"))
     # A frame that ends with its block has no tail from the block before.
-    inside = F.col("_pos") - F.col("_blk") * n < n - 1
-    df = df.withColumns({f"_o_{k}": F.lag(f"_t_{k}", n - 1).over(w) for k in parts})
-    df = df.withColumns({f"_o_{k}": F.when(inside, F.col(f"_o_{k}")) for k in parts})
-
-    def pair(k: str) -> tuple[Column, Column]:
-        return F.col(f"_h_{k}"), F.col(f"_o_{k}")
+    inner = (
+        df.selectExpr("*", f"row_number() {row} - 1 AS _pos")
+        .selectExpr("*", f"_pos div {n} AS _blk")
+        .selectExpr("*", *[f"{agg} {head} AS _h_{k}" for k, agg in parts.items()])
+        .selectExpr("*", *[f"{agg} {tail} AS _t_{k}" for k, agg in parts.items()])
+        .selectExpr("*", *[f"lag(_t_{k}, {n - 1}) {row} AS _l_{k}" for k in parts])
+        .selectExpr("*", *[f"CASE WHEN _pos - _blk * {n} < {n - 1} THEN _l_{k} END AS _o_{k}" for k in parts])
+        .selectExpr("*", *[f"_h_c_{v} + coalesce(_o_c_{v}, 0) AS _n_{v}" for v in names.values()])
+    )
 
-    def merged(kind: str, x: str) -> Column:
-        zero = F.lit(0.0)
+    def merged(kind: str, x: str) -> str:
+        v = names[x]
         if kind in ("max", "min"):
-            return (F.greatest if kind == "max" else F.least)(*pair(f"{kind}_{x}"))
-        a, b = (F.coalesce(c, F.lit(0)) for c in pair(f"c_{x}"))
-        total = F.nullif(a + b, F.lit(0))
+            return f"{'greatest' if kind == 'max' else 'least'}(_h_{kind}_{v}, _o_{kind}_{v})"
         if kind == "count":
-            return a + b
-        ma, mb = (F.coalesce(c, zero) for c in pair(f"m_{x}"))
-        mean = (a * ma + b * mb) / total
+            return f"_n_{v}"
+        a, b, total = f"_h_c_{v}", f"coalesce(_o_c_{v}, 0)", f"nullif(_n_{v}, 0)"
+        part = lambda k: (f"coalesce(_h_{k}_{v}, 0D)", f"coalesce(_o_{k}_{v}, 0D)")
+        (ma, mb) = part("m")
+        mean = f"(({a} * {ma} + {b} * {mb}) / {total})"
         if kind == "avg":
             return mean
-        va, vb = (F.coalesce(c, zero) for c in pair(f"v_{x}"))
+        va, vb = part("v")
         if kind == "cov":
-            na, nb = (F.coalesce(c, zero) for c in pair(f"m2_{x}"))
-            return F.try_divide(a * va + b * vb + (ma - mb) * (na - nb) * a * b / total, total - 1)
-        spread = a * va + b * vb + (ma - mb) * (ma - mb) * a * b / total
+            na, nb = part("m2")
+            return f"try_divide({a} * {va} + {b} * {vb} + ({ma} - {mb}) * ({na} - {nb}) * {a} * {b} / {total}, _n_{v} - 1)"
+        spread = f"({a} * {va} + {b} * {vb} + ({ma} - {mb}) * ({ma} - {mb}) * {a} * {b} / {total})"
         # Merging leaves rounding dust where all values are equal; such a frame has no spread.
-        return F.when(spread <= total * mean * mean * 1e-26, zero).otherwise(F.sqrt(F.try_divide(spread, total - 1)))
+        return f"CASE WHEN {spread} <= {total} * {mean} * {mean} * 1e-26 THEN 0D ELSE sqrt(try_divide({spread}, _n_{v} - 1)) END"
 
-    counts = {x: sum((F.coalesce(c, F.lit(0)) for c in pair(f"c_{x}")), F.lit(0)) for x in inputs}
-    return df.select(*kept, *[F.when(counts[x] >= need, merged(kind, x)).alias(out) for out, (kind, x) in stats.items()])
+    return inner.selectExpr(
+        *df.columns, *[f"CASE WHEN _n_{names[x]} >= {need} THEN {merged(kind, x)} END AS {out}" for out, (kind, x) in stats.items()])
 
 
 def change(x: Column, k: int, w: WindowSpec) -> Column:
@@ -108,12 +107,9 @@ def change(x: Column, k: int, w: WindowSpec) -> Column:
 def with_zscores(df: DataFrame, n: int, values: dict[str, str], keys: tuple[str, ...] = ("ticker",),
                  order: str = "date", need: int | None = None) -> DataFrame:
     """Add (value - mean) / std of the last n rows for each column -> output of ``values``."""
-    kept = df.columns
     stats = {f"_{k}_{x}": (k, x) for x in values for k in ("avg", "std")}
-    df = with_rolling(df, n, stats, keys, order, need)
-    return df.select(*kept, *[
-        F.try_divide(F.col(x) - F.col(f"_avg_{x}"), F.col(f"_std_{x}")).alias(out) for x, out in values.items()
-    ])
+    return with_rolling(df, n, stats, keys, order, need).selectExpr(
+        *df.columns, *[f"try_divide({x} - _avg_{x}, _std_{x}) AS {out}" for x, out in values.items()])
 
 
 def with_calendar_index(df: DataFrame, dates: DataFrame | None = None) -> DataFrame:
@@ -149,29 +145,28 @@ def with_ema(df: DataFrame, groups: dict[str, list[tuple[str, str, float]]], key
     blocks so long that inputs two blocks back weigh less than e^-80; a running sum inside the block plus the total
     of the block before it gives the mean with two windows and no fold over the rows.
     """
-    kept = df.columns
-    df = df.withColumns({f"_n_{g}": F.count(g).over(running(key, order=order)) - 1 for g in groups})
-    made = []
+    out_columns = df.columns
+    df = df.selectExpr("*", *[f"count({g}) {_over((key,), order, _GROWING)} - 1 AS _n_{g}" for g in groups])
     for g, specs in groups.items():
         size = max(math.ceil(80 / -math.log1p(-alpha)) for _, _, alpha in specs)
         if any(size * -math.log1p(-alpha) > 600 for _, _, alpha in specs):
             raise ValueError("smoothing factors of one group differ too much for a common block")
-        n, b = F.col(f"_n_{g}"), f"_b_{g}"
-        df = df.withColumn(b, F.floor(n / size))
-        place = n - F.col(b) * size
-        df = df.withColumns({
-            f"_w_{out}": F.when(n == 0, F.col(x)).otherwise(F.col(x) * alpha) * F.pow(F.lit(1 - alpha), -place)
-            for out, x, alpha in specs
-        })
-        inside = Window.partitionBy(key, b).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        df = df.withColumns({f"_here_{out}": F.sum(f"_w_{out}").over(inside) for out, _, _ in specs})
-        before = Window.partitionBy(key).orderBy(b).rangeBetween(-1, -1)
-        df = df.withColumns({f"_before_{out}": F.sum(f"_w_{out}").over(before) for out, _, _ in specs})
-        for out, _, alpha in specs:
-            here, old = (F.coalesce(f"_{s}_{out}", F.lit(0.0)) for s in ("here", "before"))
-            value = F.pow(F.lit(1 - alpha), place) * (here + old * math.pow(1 - alpha, size))
-            made.append((out, F.when(n >= 0, value)))
-    return df.select(*kept, *[value.alias(out) for out, value in made])
+        n, b = f"_n_{g}", f"_b_{g}"
+        place = f"({n} - {b} * {size})"
+        inside = _over((key, b), order, _GROWING)
+        before = _over((key,), b, "RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING")
+        df = (
+            df.selectExpr("*", f"CAST(floor({n} / {size}) AS BIGINT) AS {b}")
+            .selectExpr("*", *[
+                f"CASE WHEN {n} = 0 THEN {x} ELSE {x} * {alpha!r}D END * pow({(1 - alpha)!r}D, -{place}) AS _w_{out}"
+                for out, x, alpha in specs])
+            .selectExpr("*", *[f"sum(_w_{out}) {inside} AS _in_{out}" for out, _, _ in specs])
+            .selectExpr("*", *[f"sum(_w_{out}) {before} AS _before_{out}" for out, _, _ in specs])
+        )
+        out_columns += [
+            f"CASE WHEN {n} >= 0 THEN pow({(1 - alpha)!r}D, {place}) * (coalesce(_in_{out}, 0D) + "
+            f"coalesce(_before_{out}, 0D) * {math.pow(1 - alpha, size)!r}D) END AS {out}" for out, _, alpha in specs]
+    return df.selectExpr(*out_columns)
 
 
 def with_window_drawdown(df: DataFrame, price: str, n: int, out: str, key: str = "ticker", order: str = "date") -> DataFrame:
@@ -180,24 +175,18 @@ def with_window_drawdown(df: DataFrame, price: str, n: int, out: str, key: str =
     The series is cut into blocks of n+1 rows. Every frame is the tail of one block followed by the head of the
     next, so running extremes taken forward and backward inside the blocks give each frame in constant time.
     """
-    kept = df.columns
     size = n + 1
-    w = series(key, order=order)
-    df = df.withColumn("_pos", F.row_number().over(w) - 1).withColumn("_blk", F.floor(F.col("_pos") / size))
-    p = F.col(price)
-    head = Window.partitionBy(key, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    tail = Window.partitionBy(key, "_blk").orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    df = (
-        df.withColumn("_peak", F.max(p).over(head))
-        .withColumn("_low", F.min(p).over(head))
-        .withColumn("_head", F.min(F.try_divide(p, F.col("_peak")) - 1).over(head))
-        .withColumn("_next_low", F.min(p).over(tail))
-        .withColumn("_top", F.max(p).over(tail))
-        .withColumn("_tail", F.min(F.try_divide(F.col("_next_low"), p) - 1).over(tail))
-        .withColumn("_old_tail", F.lag("_tail", n).over(w))
-        .withColumn("_old_top", F.lag("_top", n).over(w))
+    row = _over((key,), order)
+    head, tail = (_over((key, "_blk"), o, _GROWING) for o in (order, f"{order} DESC"))
+    p = price
+    return (
+        df.selectExpr("*", f"row_number() {row} - 1 AS _pos")
+        .selectExpr("*", f"_pos div {size} AS _blk")
+        .selectExpr("*", f"max({p}) {head} AS _peak", f"min({p}) {head} AS _low")
+        .selectExpr("*", f"min(try_divide({p}, _peak) - 1) {head} AS _head")
+        .selectExpr("*", f"min({p}) {tail} AS _next_low", f"max({p}) {tail} AS _top")
+        .selectExpr("*", f"min(try_divide(_next_low, {p}) - 1) {tail} AS _tail")
+        .selectExpr("*", f"lag(_tail, {n}) {row} AS _old_tail", f"lag(_top, {n}) {row} AS _old_top")
+        .selectExpr(*df.columns, f"""CASE WHEN _pos < {n} THEN NULL WHEN _pos - _blk * {size} = {n} THEN _head
+            ELSE least(_head, _old_tail, try_divide(_low, _old_top) - 1) END AS {out}""")
     )
-    across = F.try_divide(F.col("_low"), F.col("_old_top")) - 1
-    whole = F.col("_pos") - F.col("_blk") * size == n
-    value = F.when(whole, F.col("_head")).otherwise(F.least("_head", "_old_tail", across))
-    return df.select(*kept, F.when(F.col("_pos") >= n, value).alias(out))

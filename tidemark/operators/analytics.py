@@ -100,14 +100,11 @@ def risk(prices: DataFrame, market: str, bench_ticker: str | None = None) -> Dat
     df = win.with_rolling(df, 252, {"m252": ("avg", "ret"), "s252": ("std", "ret")})
     df = win.with_rolling(df, 252, {"down": ("std", "_neg")}, need=2)
     df = align_benchmark(df, mean_return_benchmark(prices, bench_ticker))
-    df = with_beta(df)
-    m, s = (lambda n: F.col(f"m{n}")), (lambda n: F.col(f"s{n}"))
-    down = F.when(m(252).isNotNull(), F.col("down"))
-    return df.select(
-        "ticker", F.lit(market).alias("market"), "date", *[(s(n) * ANNUAL).alias(f"vol_{n}d") for n in (21, 63, 252)],
-        *[(F.try_divide(m(n), s(n)) * ANNUAL).alias(f"sharpe_{n}d") for n in (63, 252)],
-        (F.try_divide(m(252), down) * ANNUAL).alias("sortino_252d"), "max_dd_252d", "beta_252d", "alpha_252d",
-        (m(21) - 1.645 * s(21)).alias("var_95_21d"), (m(21) - 2.063 * s(21)).alias("cvar_95_21d"),
+    return with_beta(df).selectExpr(
+        "ticker", f"'{market}' AS market", "date", *[f"s{n} * {ANNUAL!r}D AS vol_{n}d" for n in (21, 63, 252)],
+        *[f"try_divide(m{n}, s{n}) * {ANNUAL!r}D AS sharpe_{n}d" for n in (63, 252)],
+        f"CASE WHEN m252 IS NOT NULL THEN try_divide(m252, down) * {ANNUAL!r}D END AS sortino_252d", "max_dd_252d",
+        "beta_252d", "alpha_252d", "m21 - 1.645D * s21 AS var_95_21d", "m21 - 2.063D * s21 AS cvar_95_21d",
     )
 
 
@@ -116,18 +113,14 @@ def with_beta(df: DataFrame, n: int = TRADING_DAYS) -> DataFrame:
 
     Rows without both returns do not count, so they form their own series; the frame ends one row back.
     """
-    kept = df.columns
-    df = df.withColumn("_pair", F.col("ret").isNotNull() & F.col("bench_ret").isNotNull())
     keys = ("ticker", "_pair")
-    df = win.with_rolling(df, n, {
-        "_mr": ("avg", "ret"), "_mb": ("avg", "bench_ret"), "_sb": ("std", "bench_ret"), "_cov": ("cov", "ret,bench_ret"),
-    }, keys)
-    o = win.series(*keys)
-    df = df.withColumns({c: F.lag(c, 1).over(o) for c in ("_mr", "_mb", "_sb", "_cov")})
-    var = F.col("_sb") * F.col("_sb")
-    df = df.withColumn("beta_252d", F.when(F.col("_pair") & (var >= 1e-12), F.try_divide(F.col("_cov"), var)))
-    alpha = (F.col("_mr") - F.col("beta_252d") * F.col("_mb")) * TRADING_DAYS
-    return df.select(*kept, "beta_252d", alpha.alias("alpha_252d"))
+    stats = {"_mr": ("avg", "ret"), "_mb": ("avg", "bench_ret"), "_sb": ("std", "bench_ret"), "_cov": ("cov", "ret,bench_ret")}
+    paired = df.selectExpr("*", "ret IS NOT NULL AND bench_ret IS NOT NULL AS _pair")
+    rolled = win.with_rolling(paired, n, stats, keys)
+    before = [f"lag({c}) OVER (PARTITION BY ticker, _pair ORDER BY date) AS p{c}" for c in stats]
+    beta = "CASE WHEN _pair AND p_sb * p_sb >= 1e-12D THEN try_divide(p_cov, p_sb * p_sb) END AS beta_252d"
+    return rolled.selectExpr("*", *before).selectExpr("*", beta).selectExpr(
+        *df.columns, "beta_252d", f"(p_mr - beta_252d * p_mb) * {TRADING_DAYS} AS alpha_252d")
 
 
 # -- momentum -----------------------------------------------------------------------------------------------------------
