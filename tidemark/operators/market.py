@@ -83,20 +83,24 @@ def rebase_100(prices: DataFrame) -> DataFrame:
     return bars.select("ticker", "date", (F.try_divide(F.col("close"), first) * 100).alias("index"))
 
 
+def _corr(x: str, y: str) -> str:
+    """Pearson correlation of the rows where both hold a value; null without spread (the built-in one raises)."""
+    sx, sy = f"stddev_pop(CASE WHEN {y} IS NOT NULL THEN {x} END)", f"stddev_pop(CASE WHEN {x} IS NOT NULL THEN {y} END)"
+    return f"try_divide(covar_pop({x}, {y}), {sx} * {sy})"
+
+
 def pairwise_corr(df: DataFrame, columns: list[str]) -> DataFrame:
     """(col1, col2, corr) for every pair of the given columns, pairwise complete, from one aggregation."""
     pairs = list(combinations(range(len(columns)), 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "col1 string, col2 string, corr double")
-    sums = df.agg(*[
-        F.corr(F.col(f"`{columns[i]}`").cast("double"), F.col(f"`{columns[j]}`").cast("double")).alias(f"p{i}_{j}")
-        for i, j in pairs
-    ])
-    rows = F.array(*[
-        F.struct(F.lit(columns[i]).alias("col1"), F.lit(columns[j]).alias("col2"), F.col(f"p{i}_{j}").alias("corr"))
-        for i, j in pairs
-    ])
-    return sums.select(F.explode(rows).alias("r")).select("r.*")
+    values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    values = values.selectExpr(*[f"CASE WHEN NOT isnan(c{i}) THEN c{i} END AS c{i}" for i in range(len(columns))])
+    names = F.array(*[F.lit(c) for c in columns])
+    sums = values.selectExpr(*[f"{_corr(f'c{i}', f'c{j}')} AS p{i}_{j}" for i, j in pairs])
+    rows = sums.selectExpr("explode(array(" + ", ".join(
+        f"named_struct('i', {i}, 'j', {j}, 'corr', p{i}_{j})" for i, j in pairs) + ")) AS r")
+    return rows.select(names[F.col("r.i")].alias("col1"), names[F.col("r.j")].alias("col2"), F.col("r.corr").alias("corr"))
 
 
 def symmetric(pairs: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.schemas import MACRO_COLUMNS, PRICE_COLUMNS, RAW_BAR_SCHEMA, RAW_MACRO_SCHEMA
 
 
-def explode_bars(payloads: DataFrame) -> DataFrame:
+def explode_bars(payloads: DataFrame, *keep: str) -> DataFrame:
     return payloads.select(
-        "ticker", "asset_class", "source", F.col("cap").alias("cap_tier"), F.explode("records").alias("b")
-    ).select("ticker", "asset_class", "source", "cap_tier", "b._date", *[f"b.{c}" for c in PRICE_COLUMNS])
+        *keep, "ticker", "asset_class", "source", F.col("cap").alias("cap_tier"), F.explode("records").alias("b")
+    ).select(*keep, "ticker", "asset_class", "source", "cap_tier", "b._date", *[f"b.{c}" for c in PRICE_COLUMNS])
 
 
 def scan_raw_bars(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

@@ -18,22 +18,20 @@ KEYS = ["asset_class", "symbol", "trade_date"]
 
 def curated_rows(payloads: DataFrame) -> DataFrame:
     """Curated bars of a batch of payloads, with the file time as the order among repeats."""
-    rows = explode_bars(payloads.select("*")) if "_seen" not in payloads.columns else payloads.select(
-        "_seen", "ticker", "asset_class", "source", F.col("cap").alias("cap_tier"), F.explode("records").alias("b")
-    ).select("_seen", "ticker", "asset_class", "source", "cap_tier", "b._date", *[f"b.{c}" for c in PRICE_COLUMNS])
-    seen = F.col("_seen") if "_seen" in rows.columns else F.lit(None).cast("timestamp")
+    rows = explode_bars(payloads, "_seen")
     return rows.where(F.col("close").isNotNull()).select(
         F.to_date("_date").alias("trade_date"), F.upper("ticker").alias("symbol"), "asset_class", *PRICE_COLUMNS,
-        "source", "cap_tier", seen.alias("_seen"),
+        "source", "cap_tier", "_seen",
     )
 
 
 def upsert_curated(spark: SparkSession, batch: DataFrame, path: str) -> None:
     """Merge a batch into the curated table, rewriting only the symbols the batch holds.
 
-    The merged rows are pinned before the write, because the partitions they are read from are replaced.
+    The batch is pinned, so that its files are parsed once; the merged rows are pinned before the write, because the
+    partitions they are read from are replaced.
     """
-    new = newest_per_key(batch, KEYS, ["_seen"]).drop("_seen")
+    new = pin(newest_per_key(batch, KEYS, ["_seen"]).drop("_seen"))
     try:
         stored = spark.read.parquet(path)
     except AnalysisException:
