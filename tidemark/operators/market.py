@@ -83,24 +83,26 @@ def rebase_100(prices: DataFrame) -> DataFrame:
     return bars.select("ticker", "date", (F.try_divide(F.col("close"), first) * 100).alias("index"))
 
 
-def _corr(x: str, y: str) -> str:
-    """Pearson correlation of the rows where both hold a value; null without spread (the built-in one raises)."""
-    sx, sy = f"stddev_pop(CASE WHEN {y} IS NOT NULL THEN {x} END)", f"stddev_pop(CASE WHEN {x} IS NOT NULL THEN {y} END)"
-    return f"try_divide(covar_pop({x}, {y}), {sx} * {sy})"
-
-
 def pairwise_corr(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(col1, col2, corr) for every pair of the given columns, pairwise complete, from one aggregation."""
+    """(col1, col2, corr) for every pair of the given columns, over the rows where both hold a value.
+
+    Each row is repeated once per pair of columns and folded into one running aggregate per pair before any shuffle;
+    that stays compiled code however many columns there are. Null without spread (the built-in one raises).
+    """
     pairs = list(combinations(range(len(columns)), 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "col1 string, col2 string, corr double")
-    values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    values = values.selectExpr(*[f"CASE WHEN NOT isnan(c{i}) THEN c{i} END AS c{i}" for i in range(len(columns))])
-    names = F.array(*[F.lit(c) for c in columns])
-    sums = values.selectExpr(*[f"{_corr(f'c{i}', f'c{j}')} AS p{i}_{j}" for i, j in pairs])
-    rows = sums.selectExpr("explode(array(" + ", ".join(
-        f"named_struct('i', {i}, 'j', {j}, 'corr', p{i}_{j})" for i, j in pairs) + ")) AS r")
-    return rows.select(names[F.col("r.i")].alias("col1"), names[F.col("r.j")].alias("col2"), F.col("r.corr").alias("corr"))
+    width = len(columns)
+    values = ", ".join(f"CASE WHEN NOT isnan(CAST(`{c}` AS DOUBLE)) THEN CAST(`{c}` AS DOUBLE) END" for c in columns)
+    codes = ", ".join(str(i * width + j) for i, j in pairs)
+    sums = (
+        df.selectExpr(f"array({values}) AS a", f"explode(array({codes})) AS k")
+        .selectExpr("k", f"a[k div {width}] AS x", f"a[k % {width}] AS y")
+        .selectExpr("k", "CASE WHEN y IS NOT NULL THEN x END AS x", "CASE WHEN x IS NOT NULL THEN y END AS y").groupBy("k")
+        .agg(F.expr("try_divide(covar_pop(x, y), stddev_pop(x) * stddev_pop(y))").alias("corr"))
+    )
+    names = "array(" + ", ".join(f"'{c}'" for c in columns) + ")"
+    return sums.selectExpr(f"{names}[k div {width}] AS col1", f"{names}[k % {width}] AS col2", "corr")
 
 
 def symmetric(pairs: DataFrame, columns: list[str]) -> DataFrame:

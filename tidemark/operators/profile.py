@@ -1,6 +1,6 @@
 """Dataset profile: column names, types, statistics, duplicates and correlations.
 
-Pass one is a single aggregation over all columns. Distinct values are counted per (column, value) with map-side
+Pass one is an aggregation over all columns. Distinct values are counted per (column, value) with map-side
 combine; quantiles come from ``ordering.exact_quantiles``. Only facts whose number is set by the schema reach the driver.
 """
 
@@ -85,11 +85,20 @@ def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _text(field: T.StructField) -> Column:
-    c = _col(field.name)
+def _sql_value(field: T.StructField) -> str:
+    """The value as double, text, or itself for dates and booleans; NaN is missing."""
+    c, kind = f"`{field.name}`", _kind(field.dataType)
+    if kind == "numeric":
+        return f"CAST({c} AS DOUBLE)" if isinstance(field.dataType, (T.IntegralType, T.DecimalType)) else (
+            f"CASE WHEN NOT isnan({c}) THEN CAST({c} AS DOUBLE) END")
     if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-        return F.when(c.isNotNull(), F.to_json(F.struct(c)))
-    return c.cast("string")
+        return f"CASE WHEN {c} IS NOT NULL THEN to_json(struct({c})) END"
+    return f"CAST({c} AS STRING)" if kind == "string" else c
+
+
+def _sql_dates(c: str, i: int) -> list[str]:
+    return [f"CAST(CAST(min({c}) AS DATE) AS STRING) AS lo{i}", f"CAST(CAST(max({c}) AS DATE) AS STRING) AS hi{i}",
+            f"timestampdiff(DAY, min({c}), max({c})) AS span{i}"]
 
 
 def _number(name: str) -> Column:
@@ -109,33 +118,36 @@ class Facts:
 
 
 def column_facts(df: DataFrame) -> Facts:
-    """Counts, extremes, moments and inferred types in one aggregation.
+    """Counts, extremes, moments and inferred types, from two aggregations without any large group.
 
     A string column is a datetime when all its values parse, text when its mean length passes 80, else categorical
     (few distinct short values are categorical as well, so the distinct ratio never changes the answer).
     """
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, f in enumerate(df.schema.fields):
-        kind = _kind(f.dataType)
-        c = _number(f.name) if kind == "numeric" else _col(f.name)
-        aggs.append(F.count(c).alias(f"n{i}"))
-        if kind == "numeric":
-            aggs += [F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), F.avg(c).alias(f"mean{i}"),
-                     F.stddev_samp(c).alias(f"std{i}"), F.skewness(c).alias(f"skew{i}"), F.kurtosis(c).alias(f"kurt{i}")]
-        elif kind == "datetime":
-            aggs += [F.min(c).cast("date").cast("string").alias(f"lo{i}"), F.max(c).cast("date").cast("string").alias(f"hi{i}"),
-                     F.timestamp_diff("DAY", F.min(c), F.max(c)).alias(f"span{i}")]
+    fields = list(enumerate(df.schema.fields))
+    numeric = [(i, f) for i, f in fields if _kind(f.dataType) == "numeric"]
+    aggs = ["count(1) AS rows"]
+    for i, f in fields:
+        kind, c = _kind(f.dataType), _sql_value(f)
+        if kind == "datetime":
+            aggs += [f"count({c}) AS n{i}", *_sql_dates(c, i)]
         elif kind == "string":
-            s = _text(f)
-            ts = s.try_cast("timestamp_ntz")
-            aggs += [F.avg(F.length(s)).alias(f"len{i}"), F.count(ts).alias(f"ts{i}"), F.min(s).alias(f"lo{i}"),
-                     F.max(s).alias(f"hi{i}"), F.min(ts).cast("date").cast("string").alias(f"tlo{i}"),
-                     F.max(ts).cast("date").cast("string").alias(f"thi{i}"),
-                     F.timestamp_diff("DAY", F.min(ts), F.max(ts)).alias(f"span{i}")]
-    row = df.agg(*aggs).first().asDict()
+            stamp = f"try_cast({c} AS TIMESTAMP_NTZ)"
+            aggs += [f"count({c}) AS n{i}", f"avg(length({c})) AS len{i}", f"count({stamp}) AS ts{i}", *_sql_dates(stamp, i)]
+        elif kind == "boolean":
+            aggs.append(f"count({c}) AS n{i}")
+    row = df.selectExpr(*aggs).first().asDict()
+    moments = {}
+    if numeric:
+        # One row per value and a handful of aggregates compile to tight code; hundreds of aggregates per row do not.
+        values = ", ".join(f"named_struct('k', {i}, 'v', {_sql_value(f)})" for i, f in numeric)
+        per_column = df.selectExpr(f"inline(array({values}))").where("v IS NOT NULL").groupBy("k").agg(*[
+            F.expr(f"{fn}(v) AS {fn}") for fn in ("count", "min", "max", "avg", "stddev_samp", "skewness", "kurtosis")])
+        moments = {r["k"]: r.asDict() for r in per_column.collect()}
     out = {}
-    for i, f in enumerate(df.schema.fields):
-        kind, n = _kind(f.dataType), row[f"n{i}"]
+    for i, f in fields:
+        kind = _kind(f.dataType)
+        m = moments.get(i, {})
+        n = m.get("count", 0) if kind == "numeric" else row[f"n{i}"]
         c = {"string": kind == "string", "non_null": n}
         if n == 0:
             c["inferred_type"] = "mixed"
@@ -146,13 +158,10 @@ def column_facts(df: DataFrame) -> Facts:
         else:
             c["inferred_type"] = "text" if row[f"len{i}"] > 80 else "categorical"
         if c["inferred_type"] == "numeric":
-            c |= {"min_number": row[f"lo{i}"], "max_number": row[f"hi{i}"], "mean_value": row[f"mean{i}"],
-                  "std_value": row[f"std{i}"], **sample_shape(n, row[f"skew{i}"], row[f"kurt{i}"])}
-        elif c["inferred_type"] == "categorical":
-            c |= {"min_value": row[f"lo{i}"], "max_value": row[f"hi{i}"]}
+            c |= {"min_number": m["min"], "max_number": m["max"], "mean_value": m["avg"], "std_value": m["stddev_samp"],
+                  **sample_shape(n, m["skewness"], m["kurtosis"])}
         elif c["inferred_type"] == "datetime":
-            pre = "t" if kind == "string" else ""
-            c |= {"min_value": row[f"{pre}lo{i}"], "max_value": row[f"{pre}hi{i}"], "date_range_days": row[f"span{i}"]}
+            c |= {"min_value": row[f"lo{i}"], "max_value": row[f"hi{i}"], "date_range_days": row[f"span{i}"]}
         out[f.name] = c
     return Facts(row["rows"], out)
 
@@ -168,14 +177,15 @@ def sample_shape(n: int, g1: float | None, g2: float | None) -> dict:
 
 def value_counts(df: DataFrame, facts: Facts, columns: list[str] | None = None) -> DataFrame:
     """(column_name, value, n) over all non-null values. Long texts are counted by digest, marked with #."""
-    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     entries = []
-    for f in fields:
-        v = _number(f.name).cast("string") if _kind(f.dataType) == "numeric" else _text(f)
+    for f in df.schema.fields:
+        if columns is not None and f.name not in columns:
+            continue
+        v = f"CAST({_sql_value(f)} AS STRING)"
         if facts.columns[f.name]["inferred_type"] not in ("categorical", "numeric", "boolean"):
-            v = F.when(F.length(v) <= 64, v).otherwise(F.concat(F.lit("#"), F.sha2(v, 256)))
-        entries.append(F.struct(F.lit(f.name).alias("column_name"), v.alias("value")))
-    long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where(F.col("value").isNotNull())
+            v = f"CASE WHEN length({v}) <= 64 THEN {v} ELSE concat('#', sha2({v}, 256)) END"
+        entries.append(f"named_struct('column_name', '{f.name}', 'value', {v})")
+    long = df.selectExpr(f"inline(array({', '.join(entries)}))").where("value IS NOT NULL")
     return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -188,11 +198,12 @@ def top_values(df: DataFrame, facts: Facts, k: int = 10) -> DataFrame:
 
 
 def null_profile(df: DataFrame, facts: Facts) -> DataFrame:
-    """(column_name, null_count, null_pct, distinct_count, unique_pct)."""
+    """(column_name, null_count, null_pct, distinct_count, unique_pct, first_value, last_value)."""
     spark = df.sparkSession
     known = spark.createDataFrame(
         [(n, facts.rows - c["non_null"]) for n, c in facts.columns.items()], "column_name string, null_count bigint")
-    distinct = value_counts(df, facts).groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
+    distinct = value_counts(df, facts).groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("distinct_count"), F.min("value").alias("first_value"), F.max("value").alias("last_value"))
     share = lambda c: F.coalesce(F.round(F.try_divide(F.col(c), F.lit(float(facts.rows))), 4), F.lit(0.0))
     return (
         known.join(distinct, "column_name", "left")
@@ -242,7 +253,11 @@ def column_profile(df: DataFrame, facts: Facts | None = None, quantiles: bool =
     facts = facts or column_facts(df)
     columns = fact_table(df, facts, by_token).join(null_profile(df, facts), "column_name")
     columns = columns.withColumn("unique_share", F.col("distinct_count") / F.lit(float(max(facts.rows, 1))))
-    columns = with_labels(columns).drop("unique_share", "name_label", "is_string")
+    named = F.col("inferred_type") == "categorical"
+    columns = with_labels(columns).withColumns({
+        "min_value": F.when(named, F.col("first_value")).otherwise(F.col("min_value")),
+        "max_value": F.when(named, F.col("last_value")).otherwise(F.col("max_value")),
+    }).drop("unique_share", "name_label", "is_string", "first_value", "last_value")
     if quantiles and facts.of_type("numeric"):
         return columns.join(numeric_quantiles(df, facts), "column_name", "left")
     return columns.withColumns({q: F.lit(None).cast("double") for q in QUANTILES})

@@ -99,7 +99,7 @@ def _types(spark, sf_dir):
 @query("a09_profile_nulls", statement(
     f"SELECT tbl, column_name, null_count, {r('null_pct')}, distinct_count, {r('unique_pct')} FROM prof", "prof"))
 def _nulls(spark, sf_dir):
-    return rounded(_each(spark, sf_dir, pf.null_profile))
+    return rounded(_each(spark, sf_dir, lambda df, facts: pf.null_profile(df, facts).drop("first_value", "last_value")))
 
 
 @query("f18_semantic_label", statement("SELECT tbl, column_name, semantic_label FROM prof", "prof"))
@@ -155,7 +155,8 @@ def _categorical(spark, sf_dir):
     f"SELECT '{t}' AS tbl, '{c}' AS column_name, min({c}) AS min_value, max({c}) AS max_value FROM {t}"
     for t, c in _CATEGORICAL if t != "orders"))
 def _categorical_ends(spark, sf_dir):
-    df = _each(spark, sf_dir, lambda d, f: pf.fact_table(d, f).where("inferred_type = 'categorical'"), ["customer", "part", "events"])
+    df = _each(spark, sf_dir, lambda d, f: pf.column_profile(d, f, quantiles=False).where("inferred_type = 'categorical'"),
+               ["customer", "part", "events"])
     return df.select("tbl", "column_name", "min_value", "max_value")
 
 

@@ -33,7 +33,7 @@ def upsert_curated(spark: SparkSession, batch: DataFrame, path: str) -> None:
     """
     new = pin(newest_per_key(batch, KEYS, ["_seen"]).drop("_seen"))
     try:
-        stored = spark.read.parquet(path)
+        stored = spark.read.schema(new.schema).parquet(path)
     except AnalysisException:
         write_curated(new, path)
         return
