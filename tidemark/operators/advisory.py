@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import exact_quantiles
 
-# Funds as (id, name, lowest and highest fitting risk score, expected return), in order of preference.
+# Funds as (id, lowest and highest fitting risk score, expected return), in order of preference.
 FUNDS = [
-    ("F1", "Fund 1 — Core Income", 1, 2, "4-6% annualised"),
-    ("F2", "Fund 2 — Pro Core", 2, 3, "8-12% annualised"),
-    ("F3", "Fund 3 — Pro Growth 17", 3, 4, "12-17% annualised"),
-    ("F5", "Fund 5 — Bridge Growth 26", 4, 4, "17-26% annualised"),
-    ("F4", "Fund 4 — Redeem Surge 31", 5, 5, "25-35%+ annualised"),
+    ("F1", 1, 2, "4-6% annualised"),
+    ("F2", 2, 3, "8-12% annualised"),
+    ("F3", 3, 4, "12-17% annualised"),
+    ("F5", 4, 4, "17-26% annualised"),
+    ("F4", 5, 5, "25-35%+ annualised"),
 ]
 # Names of the risk scores.
 RISK_LABELS = {1: "Very Conservative", 2: "Conservative", 3: "Moderate", 4: "Aggressive", 5: "Very Aggressive"}
@@ -99,8 +99,8 @@ def recommend_funds(df: DataFrame, score: str, funds: list[tuple] = FUNDS) -> Da
     """
     s = F.col(score)
     listed = F.array(*[
-        F.struct(F.lit(i).alias("place"), F.lit(f[0]).alias("fund"), F.lit(f[1]).alias("fund_name"),
-                 F.lit(f[2]).alias("lo"), F.lit(f[3]).alias("hi"), F.lit(f[4]).alias("expected_return"))
+        F.struct(F.lit(i).alias("place"), F.lit(f[0]).alias("fund"), F.lit(f[1]).alias("lo"), F.lit(f[2]).alias("hi"),
+                 F.lit(f[3]).alias("expected_return"))
         for i, f in enumerate(funds)
     ])
     fitting = F.filter(listed, lambda f: (f["lo"] <= s) & (s <= f["hi"]))
@@ -109,8 +109,7 @@ def recommend_funds(df: DataFrame, score: str, funds: list[tuple] = FUNDS) -> Da
     nearest = F.array(F.array_min(ranked)["f"])
     chosen = F.when(F.size(fitting) > 0, fitting).otherwise(nearest)
     return df.withColumn("_f", F.explode(chosen)).select(
-        *df.columns, F.col("_f.fund").alias("fund"), F.col("_f.fund_name").alias("fund_name"),
-        F.col("_f.expected_return").alias("expected_return"),
+        *df.columns, F.col("_f.fund").alias("fund"), F.col("_f.expected_return").alias("expected_return"),
     )
 
 

@@ -13,7 +13,10 @@ def _issues(df: DataFrame, rule: Column, severity: Column, columns: Column, mess
 
 
 def quality_issues(columns: DataFrame, dataset: DataFrame, correlations: DataFrame) -> DataFrame:
-    """(rule, severity, columns, message), one row per finding. All inputs are profile tables of schema size."""
+    """(rule, severity, columns, message), one row per finding. All inputs are profile tables of schema size.
+
+    Rule names, bounds and message formats are fixed values.
+    """
     name, lit = F.col("column_name"), F.lit
     own = F.array("column_name")
     pct, dup, corr = F.col("null_pct"), F.col("duplicate_pct"), F.col("abs_corr")

@@ -110,12 +110,3 @@ def run_summary(rows: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("rows") > 0, F.col("rows")).otherwise(0)).alias("rows_written"),
         F.when(failed == 0, "done").when(good == 0, "failed").otherwise("partial").alias("status"),
     )
-
-
-def module_rows(tables: dict[str, DataFrame], market: str, run_date: dt.date, run_id: str) -> DataFrame:
-    """Rows per module of one run."""
-    parts = [
-        df.groupBy(F.lit(market).alias("market"), F.lit(name).alias("module")).agg(F.count(F.lit(1)).alias("rows"))
-        for name, df in tables.items()
-    ]
-    return union_all(*parts).select(F.lit(run_date).alias("run_date"), F.lit(run_id).alias("run_id"), "*")

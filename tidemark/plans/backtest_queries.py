@@ -185,7 +185,7 @@ def _var(spark, sf_dir):
   m.ret AS fund_ret, b.ret AS bench_ret FROM monthly_ret m JOIN bench_month b USING (fund, period))""",
     "monthly_ret", "bench_month"))
 def _pairs(spark, sf_dir):
-    eq = _equity(spark, sf_dir)
+    eq = src.stored(_equity(spark, sf_dir), "equity")
     bench = bt.period_returns(_bench_on(spark, sf_dir, eq), "month", "bench")
     return rounded(bt.fund_bench_pairs(bt.period_returns(eq, "month"), bench))
 
@@ -195,7 +195,7 @@ def _pairs(spark, sf_dir):
   avg(m.ret) FILTER (b.ret < 0) / nullif(avg(b.ret) FILTER (b.ret < 0), 0) AS down_capture
   FROM monthly_ret m JOIN bench_month b USING (fund, period) GROUP BY m.fund)""", "monthly_ret", "bench_month"))
 def _capture(spark, sf_dir):
-    eq = _equity(spark, sf_dir)
+    eq = src.stored(_equity(spark, sf_dir), "equity")
     bench = bt.period_returns(_bench_on(spark, sf_dir, eq), "month", "bench")
     return rounded(bt.capture_ratios(bt.fund_bench_pairs(bt.period_returns(eq, "month"), bench)))
 
@@ -219,7 +219,7 @@ def _kpis(spark, sf_dir):
   FROM beq_on) USING (fund, date) WHERE ret IS NOT NULL AND b IS NOT NULL GROUP BY fund HAVING count(*) >= 20))""",
     "eqret", "beq_on"))
 def _beta(spark, sf_dir):
-    eq = _equity(spark, sf_dir)
+    eq = src.stored(_equity(spark, sf_dir), "equity")
     return rounded(bt.beta_alpha(eq, _bench_on(spark, sf_dir, eq), RF))
 
 
@@ -317,7 +317,7 @@ def _rollup(spark, sf_dir):
     return rounded(ad.allocation_rollup(weights))
 
 
-_FUND_VALUES = "(VALUES " + ", ".join(f"({i}, '{f[0]}', {f[2]}, {f[3]})" for i, f in enumerate(ad.FUNDS)) + ") f(place, fund, lo, hi)"
+_FUND_VALUES = "(VALUES " + ", ".join(f"({i}, '{f[0]}', {f[1]}, {f[2]})" for i, f in enumerate(ad.FUNDS)) + ") f(place, fund, lo, hi)"
 
 
 @query("j11_recommend_funds", statement(f"""WITH asked AS (SELECT c_custkey, points AS score FROM points),

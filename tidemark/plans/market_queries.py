@@ -10,6 +10,7 @@ from tidemark.operators import analytics as an
 from tidemark.operators import market as mk
 from tidemark.operators import prep
 from tidemark.operators import upsert as up
+from tidemark.operators.batch import run_analytics, run_log, stored_modules
 from tidemark.plans.registry import query, rounded
 from tidemark.plans.sql import FRIDAY, block, changed, modules, r, rolled, statement
 from tidemark.schemas import HISTORY_COLUMNS, PRICE_COLUMNS
@@ -152,12 +153,22 @@ block("new_metrics", ["bars_m_returns"], """SELECT ticker, 'US_EQ' AS market, da
     f"""SELECT ticker, market, date, {r('ret_1d', 'ret_5d')} FROM (SELECT * FROM new_metrics UNION ALL
     SELECT o.* FROM old_metrics o ANTI JOIN new_metrics n USING (ticker, market, date))""", "old_metrics", "new_metrics"))
 def _merge_analytics(spark, sf_dir):
-    rets = an.returns(src.bars(spark, sf_dir), "US_EQ").select("ticker", "market", "date", "ret_1d", "ret_5d")
+    rets = an.returns(src.stored(src.bars(spark, sf_dir)), "US_EQ").select("ticker", "market", "date", "ret_1d", "ret_5d")
     old = rets.where(F.col("date") < dt.date(2000, 7, 1))
     new = rets.where(F.col("date") >= dt.date(2000, 1, 1)).withColumn("ret_1d", F.col("ret_1d") + 1)
     return rounded(up.merge_upsert(old, new, ["ticker", "market", "date"]))
 
 
+@query("s10_incremental_metrics", statement(f"SELECT ticker, market, date, {r('ret_1d', 'ret_252d')} FROM (SELECT *, 'US_EQ' AS "
+                                            "market FROM bars_m_returns)", "bars_m_returns"))
+def _incremental(spark, sf_dir):
+    bars = src.stored(src.bars(spark, sf_dir))
+    columns = ["ticker", "market", "date", "ret_1d", "ret_252d"]
+    kept = an.returns(bars.where(F.col("date") < dt.date(2000, 7, 1)), "US_EQ").select(*columns)
+    recent = an.returns(up.warmup_slice(bars, kept, 253), "US_EQ").select(*columns)
+    return rounded(up.merge_incremental(kept, recent))
+
+
 @query("s11_upsert_prices", f"""WITH px AS (SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date,
   l_orderkey, l_extendedprice / l_quantity AS close, l_quantity AS volume, ROW(l_orderkey, l_linenumber, l_partkey,
   l_suppkey, l_extendedprice, l_quantity) AS k FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -214,8 +225,9 @@ def _history_sql() -> str:
 
 @query("s16_analytics_history", _history_sql())
 def _history(spark, sf_dir):
-    bars = src.stored(src.bars(spark, sf_dir))
-    made = {name: fn(bars, "US_EQ") for name, fn in an.MODULES.items()}
+    root = new_path(spark, "analytics")
+    run_analytics(src.stored(src.bars(spark, sf_dir)), "US_EQ", root)
+    made = stored_modules(spark, root)
     return rounded(prices.long_history(prices.analytics_history(made, "brand#7", "US_EQ", AS_OF)))
 
 
@@ -507,12 +519,9 @@ def _melt(spark, sf_dir):
     f"SELECT count(*) AS rows FROM {_M[m]}" for m in ("returns", "momentum")) + " UNION ALL SELECT -1)",
     _M["returns"], _M["momentum"]))
 def _summary(spark, sf_dir):
-    bars = src.stored(src.bars(spark, sf_dir))
-    made = {m: an.MODULES[m](bars, "US_EQ") for m in ("returns", "momentum")}
-    rows = up.module_rows(made, "US_EQ", AS_OF, "run-1")
-    failed = rows.limit(1).select("run_date", "run_id", "market", F.lit("risk").alias("module"),
-                                  F.lit(-1).cast("bigint").alias("rows"))
-    return up.run_summary(rows.unionByName(failed))
+    root = new_path(spark, "analytics")
+    rows = run_analytics(src.stored(src.bars(spark, sf_dir)), "US_EQ", root, ["returns", "momentum"])
+    return up.run_summary(run_log(spark, {**rows, "risk": -1}, "US_EQ", AS_OF, "run-1"))
 
 
 # -- set operations ----------------------------------------------------------------------------------------------------------

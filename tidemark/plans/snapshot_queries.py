@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import analytics as an
 from tidemark.operators import snapshot as sn
+from tidemark.operators.batch import run_analytics, stored_modules
 from tidemark.plans.registry import query, rounded
 from tidemark.plans.sql import block, modules, r, statement
 from tidemark.schemas import SNAPSHOT_COLUMNS
+from tidemark.session import new_path
 from tidemark.sources import tables as src
 
 _W = modules("weekly")
@@ -35,7 +37,9 @@ block("snap", ["weekly", *_W.values()], _snapshot_sql())
 
 def _snapshot(spark, sf_dir, cap=None):
     prices = src.stored(src.weekly_bars(spark, sf_dir))
-    made = {name: fn(prices, "US_EQ") for name, fn in an.MODULES.items()}
+    root = new_path(spark, "analytics")
+    run_analytics(prices, "US_EQ", root)
+    made = stored_modules(spark, root)
     return sn.snapshot(made, prices, cap)
 
 
@@ -85,7 +89,8 @@ def _presets(spark, sf_dir):
     return snap.select(F.explode(met).alias("preset"), "ticker")
 
 
-_BOUNDS = {"ret_21d_min": -50.0, "vol_max": 600.0, "mom_12m_min": -95.0, "rsi_min": 40.0, "rsi_max": 70.0, "max_dd_min": -100.0}
+_BOUNDS = {"ret_21d_min": -99.0, "mom_12m_min": -95.0, "rsi_min": 40.0, "rsi_max": 70.0,
+           "vol_max": 100000.0, "beta_max": 50.0}
 
 
 def _manual_sql() -> str:

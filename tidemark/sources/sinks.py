@@ -27,7 +27,8 @@ def write_features(df: DataFrame, path: str) -> None:
 
 
 def write_analytics(df: DataFrame, path: str) -> None:
-    _write_parts(df, path, ["market"], ["ticker", "date"])
+    df.hint("rebalance", "market", "ticker").sortWithinPartitions("market", "ticker", "date").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("market").parquet(path)
 
 
 def write_market(df: DataFrame, path: str) -> None:

@@ -14,6 +14,7 @@ from tidemark.sources.raw import explode_bars
 from tidemark.sources.sinks import write_curated
 
 KEYS = ["asset_class", "symbol", "trade_date"]
+PRUNED_SYMBOLS = 5000  # up to this many symbols per batch are named in the partition filter
 
 
 def curated_rows(payloads: DataFrame) -> DataFrame:
@@ -38,6 +39,9 @@ def upsert_curated(spark: SparkSession, batch: DataFrame, path: str) -> None:
         write_curated(new, path)
         return
     touched = new.select("asset_class", "symbol").distinct()
+    if touched.count() <= PRUNED_SYMBOLS:
+        # Named partitions are pruned before the scan; the semi join alone would read the whole table.
+        stored = stored.where(F.col("symbol").isin([r["symbol"] for r in touched.select("symbol").distinct().collect()]))
     affected = stored.join(touched, ["asset_class", "symbol"], "left_semi").select(*new.columns)
     write_curated(pin(merge_upsert(affected, new, KEYS)), path)
 
