@@ -320,11 +320,11 @@ def _rollup(spark, sf_dir):
 _FUND_VALUES = "(VALUES " + ", ".join(f"({i}, '{f[0]}', {f[1]}, {f[2]})" for i, f in enumerate(ad.FUNDS)) + ") f(place, fund, lo, hi)"
 
 
-@query("j11_recommend_funds", statement(f"""WITH asked AS (SELECT c_custkey, points AS score FROM points),
+@query("j11_recommend_funds", statement(f"""SELECT * FROM (WITH asked AS (SELECT c_custkey, points AS score FROM points),
   fit AS (SELECT c_custkey, score, fund FROM asked JOIN {_FUND_VALUES} ON score BETWEEN lo AND hi)
   SELECT c_custkey, round(score + 1e-9, 6) + 0.0 AS score, fund FROM (SELECT * FROM fit UNION ALL SELECT c_custkey, score,
   arg_min(fund, ROW(least(abs(lo - score), abs(hi - score)), place)) FROM asked CROSS JOIN {_FUND_VALUES}
-  WHERE c_custkey NOT IN (SELECT c_custkey FROM fit) GROUP BY 1, 2)""".replace("WITH asked", "SELECT * FROM (WITH asked") + ")", "points"))
+  WHERE c_custkey NOT IN (SELECT c_custkey FROM fit) GROUP BY 1, 2))""", "points"))
 def _recommend(spark, sf_dir):
     asked = ad.risk_points(src.investors(spark, sf_dir)).select("c_custkey", F.col("points").alias("score"))
     return rounded(ad.recommend_funds(asked, "score").select("c_custkey", "score", "fund"))

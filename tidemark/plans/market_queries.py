@@ -406,10 +406,10 @@ def _movers(spark, sf_dir):
 
 
 def _resample_sql(label: str) -> str:
-    return statement(f"""SELECT ticker, {label} AS date, {r('open', 'high', 'low', 'close', 'adj_close', 'volume')} FROM (
+    return statement(f"""SELECT ticker, date, {r('open', 'high', 'low', 'close', 'adj_close', 'volume')} FROM (
       SELECT ticker, {label} AS date, arg_min(open, date) AS open, max(high) AS high, min(low) AS low,
       arg_max(close, date) AS close, arg_max(adj_close, date) AS adj_close, sum(volume) AS volume FROM bars GROUP BY 1, 2)
-      """.replace(f"SELECT ticker, {label} AS date, round", "SELECT ticker, date, round"), "bars")
+      """, "bars")
 
 
 @query("a02_resample_weekly", _resample_sql(FRIDAY.format("date")))
@@ -492,7 +492,7 @@ def _chart_indicators(spark, sf_dir):
     return rounded(mk.chart_indicators(src.bars(spark, sf_dir)))
 
 
-@query("w33_rebase_100", statement(f"""SELECT ticker, date, {r('"index"').replace('AS "index"', 'AS "index"')} FROM (
+@query("w33_rebase_100", statement(f"""SELECT ticker, date, {r('"index"')} FROM (
   SELECT ticker, date, close / nullif(first_value(close) OVER (PARTITION BY ticker ORDER BY date), 0) * 100 AS "index"
   FROM bars)""", "bars"))
 def _rebase(spark, sf_dir):

@@ -250,8 +250,8 @@ def _pairs_sql(t: str) -> str:
 
 block("q_corr", [f"in_{t}" for t in _Q], " UNION ALL ".join(_pairs_sql(t) for t in _Q))
 block("q_dup", [f"in_{t}" for t in _Q], " UNION ALL ".join(
-    f"SELECT '{t}' AS tbl, round(sum(n - 1) / sum(n)::DOUBLE, 4) AS d FROM (SELECT count(*) AS n FROM in_{t} GROUP BY ALL "
-    f"{', '.join(c for c, _ in COLUMNS[t])})".replace("GROUP BY ALL ", "GROUP BY ") for t in _Q))
+    f"SELECT '{t}' AS tbl, round(sum(n - 1) / sum(n)::DOUBLE, 4) AS d FROM (SELECT count(*) AS n FROM in_{t} "
+    f"GROUP BY {', '.join(c for c, _ in COLUMNS[t])})" for t in _Q))
 block("q_skew", [f"in_{t}" for t in _Q], " UNION ALL ".join(
     f"SELECT '{t}' AS tbl, '{c}' AS columns, abs(skewness({c})) AS v FROM in_{t}" for t in _Q for c, k in COLUMNS[t] if k == "n"))
 block("q_issues", ["prof", "q_corr", "q_dup", "q_skew"], f"""SELECT tbl, CASE WHEN null_pct > 0.5 THEN 'high_null_rate'
