@@ -78,6 +78,12 @@ def test_inventory_lists_large_files_without_reading_them(spark, tmp_path):
     assert got == [("a.bin", 3, "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"), ("b.bin", 50, None)]
 
 
+def test_scan_turns_nan_into_null(spark, tmp_path):
+    path = str(tmp_path / "m")
+    spark.createDataFrame([("A", D(2024, 1, 1), float("nan")), ("A", D(2024, 1, 2), 2.0)], "ticker string, date date, close double").write.parquet(path)
+    assert rows(prices.scan_prices(spark, path).select("date", "close", "open")) == [(D(2024, 1, 1), None, None), (D(2024, 1, 2), 2.0, None)]
+
+
 def test_curated_write_replaces_only_its_own_symbols(spark, tmp_path):
     path = str(tmp_path / "c")
     one = spark.createDataFrame([("etf", "A", D(2024, 1, 1), 1.0), ("etf", "B", D(2024, 1, 1), 2.0)],

@@ -46,6 +46,14 @@ def number(c: str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """NaN becomes null; aggregates skip nulls but spread NaN."""
+    return df.selectExpr(*[
+        f"CASE WHEN NOT isnan(`{f.name}`) THEN `{f.name}` END AS `{f.name}`" if f.dataType.typeName() in ("double", "float")
+        else f"`{f.name}`" for f in df.schema.fields
+    ])
+
+
 def clean_bars(df: DataFrame) -> DataFrame:
     """Coerce the price columns, add absent ones, let adj_close default to close, drop bars without a close."""
     had_adjusted = "adj_close" in df.columns

@@ -8,14 +8,14 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.prep import lookback
+from tidemark.operators.prep import lookback, without_nan
 from tidemark.operators.upsert import union_all
 from tidemark.schemas import HISTORY_COLUMNS, MARKET_SCHEMA
 
 
 def scan_prices(spark: SparkSession, path: str, as_of: dt.date | None = None, lookback_days: int | None = None) -> DataFrame:
-    """Bars of one market; the date bound is pushed to the parquet scan."""
-    df = spark.read.schema(MARKET_SCHEMA).parquet(path)
+    """Bars of one market, NaN as null; the date bound is pushed to the parquet scan."""
+    df = without_nan(spark.read.schema(MARKET_SCHEMA).parquet(path))
     if lookback_days is not None:
         df = lookback(df, as_of, lookback_days)
     return df
