@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import adhoc, charts
@@ -68,12 +70,18 @@ block("prof", ["prof0"], "SELECT *, semantic_label IN ('email', 'phone', 'id') O
     f"contains(lower(column_name), '{p}')" for p in pf.PII_PARTS) + " AS is_pii FROM prof0")
 
 
+def _over(tables, one):
+    """Union of ``one(table)``; the first passes over the tables are independent jobs, so they are submitted together."""
+    with ThreadPoolExecutor(max_workers=len(tables)) as pool:
+        return union_all(*pool.map(lambda t: one(t).withColumn("tbl", F.lit(t)), tables))
+
+
 def _each(spark, sf_dir, fn, tables=PROFILED):
-    parts = []
-    for t in tables:
+    def one(t):
         df = _table(spark, sf_dir, t)
-        parts.append(fn(df, pf.column_facts(df)).withColumn("tbl", F.lit(t)))
-    return union_all(*parts)
+        return fn(df, pf.column_facts(df))
+
+    return _over(tables, one)
 
 
 def _profiles(spark, sf_dir):
@@ -269,8 +277,7 @@ block("q_issues", ["prof", "q_corr", "q_dup", "q_skew"], f"""SELECT tbl, CASE WH
 
 @query("a14_quality_rules", statement("SELECT tbl, rule, severity, columns FROM q_issues", "q_issues"))
 def _rules(spark, sf_dir):
-    parts = [_quality(spark, sf_dir, t).withColumn("tbl", F.lit(t)) for t in _Q]
-    return union_all(*parts).select("tbl", "rule", "severity", F.array_join("columns", ",").alias("columns"))
+    return _over(_Q, lambda t: _quality(spark, sf_dir, t)).select("tbl", "rule", "severity", F.array_join("columns", ",").alias("columns"))
 
 
 block("q_score", ["q_issues"], " UNION ALL ".join(f"""SELECT '{t}' AS tbl, high, warning, info, greatest(0, 100 - 20 * high - 5 * warning)
@@ -280,16 +287,15 @@ block("q_score", ["q_issues"], " UNION ALL ".join(f"""SELECT '{t}' AS tbl, high,
 
 @query("a15_quality_score", statement("SELECT * FROM q_score", "q_score"))
 def _score(spark, sf_dir):
-    return union_all(*[ql.quality_score(_quality(spark, sf_dir, t)).withColumn("tbl", F.lit(t)) for t in _Q])
+    return _over(_Q, lambda t: ql.quality_score(_quality(spark, sf_dir, t)))
 
 
 @query("a16_quality_subscores", statement("""SELECT tbl, greatest(0, 100 - 15 * high - 5 * warning) AS completeness,
   greatest(0, 100 - CAST(floor(d * 200) AS BIGINT)) AS uniqueness, greatest(0, 100 - 8 * warning) AS consistency, score AS validity
   FROM q_score JOIN q_dup USING (tbl)""", "q_score", "q_dup"))
 def _subscores(spark, sf_dir):
-    return union_all(*[
-        ql.quality_subscores(ql.quality_score(_quality(spark, sf_dir, t)), pf.duplicate_rows(_table(spark, sf_dir, t)))
-        .withColumn("tbl", F.lit(t)) for t in _Q])
+    return _over(_Q, lambda t: ql.quality_subscores(
+        ql.quality_score(_quality(spark, sf_dir, t)), pf.duplicate_rows(_table(spark, sf_dir, t))))
 
 
 @query("f20_mask_profile", statement("""SELECT tbl, column_name, is_pii, CASE WHEN NOT is_pii THEN min_value END AS min_value FROM prof
