@@ -15,7 +15,7 @@ def _trade_order() -> Column:
 
     Packed into one decimal, which a hash aggregation can keep in its buffer; a struct would force a sort.
     """
-    line = (F.col("l_orderkey").cast("decimal(20,0)") * 10 + F.col("l_linenumber")).cast("decimal(21,0)")
+    line = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("decimal(19,0)")
     paid = F.round(F.col("l_extendedprice") * 100).cast("bigint") * 100 + F.col("l_quantity").cast("bigint")
     return (line * F.lit(10 ** 16).cast("decimal(17,0)") + paid).cast("decimal(38,0)")
 
