@@ -119,8 +119,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, near:
     named = found.groupBy("doc_id", "tk").agg(
         F.array_sort(F.collect_set(F.when(F.col("kind") == "phrase", F.col("item")))).alias("items"),
         F.count_if(F.col("kind") == "near").alias("n_near"))
+    summary = stored(join_rows(named, hit), "contaminated")
     rows = documents(docs, *carry).select("doc_id", "tk", *carry, F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
-    return join_rows(join_rows(rows, named), hit).select(
+    return join_rows(rows, summary).select(
         "doc_id", *carry, "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))

@@ -2,16 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import ann, language, secrets, simhash, warc
+from tidemark.llm import toxicity as tox
+from tidemark.llm.common import fold
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.line_dedup import line_dedup
+from tidemark.llm.mixing import mix
+from tidemark.llm.pii import KINDS, personal_data
 from tidemark.sources.tables import table
 
 UP_LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), cap=3.0)
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.detect(docs, language.fit(docs))
+    return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20, recall=0.95)
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = secrets.scan(docs, secrets.fit(docs))
+    base = F.filter("spans", lambda s: s["kind"] != "learned")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    return out.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in secrets.KINDS[:3]],
+        F.sha2(F.concat_ws(",", F.transform(base, _place)), 256).alias("base_sha256"),
+        F.concat_ws(",", F.transform("spans", _place)).alias("spans"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive_pages(table(spark, sf_dir, "pages"), min_bytes=0, with_payload=False)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+HEX_DIGIT = "(instr('0123456789abcdef', substr(h, CAST((5 * i) // 4 AS INTEGER) + {k}, 1)) - 1)"
+OP7_SQL = f"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT DISTINCT h FROM p),
+b AS (
+  SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((({HEX_DIGIT.format(k=1)} * 16 + {HEX_DIGIT.format(k=2)}) >> CAST(3 - (5 * i) % 4 AS INTEGER)) & 31 AS INTEGER) + 1, 1), '' ORDER BY i) AS digest
+  FROM (SELECT h, unnest(range(32)) AS i FROM d) GROUP BY h),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h, payload_bytes) AS first FROM p)
+SELECT page_id, payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f JOIN b USING (h)
+"""
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = tox.toxicity(docs, tox.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"), "terms", "misspelled", "quoted")
+
+
+def _place(span: Column) -> Column:
+    return F.concat_ws(":", span["kind"], span["start"], span["stop"])
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("bigint")
+    return out.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS[:4]],
+        F.sha2(F.concat_ws(",", F.transform(base, _place)), 256).alias("base_sha256"),
+        F.concat_ws(",", F.transform("spans", _place)).alias("spans"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -59,5 +136,16 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-QUERIES = {"op5_line_dedup": op5_line_dedup, "op6_decontaminate": op6_decontaminate}
-ORACLE = {"op5_line_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL}
+QUERIES = {
+    "op1_mix": op1_mix,
+    "op2_language": op2_language,
+    "op3_ann": op3_ann,
+    "op4_secrets": op4_secrets,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_warc": op7_warc,
+    "op8_toxicity": op8_toxicity,
+    "op9_simhash": op9_simhash,
+    "op10_personal_data": op10_personal_data,
+}
+ORACLE = {"op5_line_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL}
