@@ -63,16 +63,18 @@ def brute_hits(text, items, window=10):
 
 def test_decontaminate_against_brute_force(spark):
     long = " ".join(f"w{i}" for i in range(30))
-    items = [(1, long), (2, "the the the the the the the the the the the the"), (3, "Short one"), (4, None), (5, ""), (None, "null named item"), (10, "same long " + long)]
+    items = [(1, long), (2, "the the the the the the the the the the the the"), (3, "Short one"), (4, None), (5, ""), (None, "null named item"), (10, "same long " + long),
+             (11, "q0 q1 q2 q3 q4 q5 q6 q7 q8 q9")]
     texts = [long, "x " + " ".join(f"W{i}" for i in range(5, 17)) + " y", "the " * 40, "a short one, and Short-ONE", None, "", "null NAMED item",
-             " ".join(f"w{i}" for i in range(9)), " ".join(f"w{i}" if i != 12 else "z" for i in range(30)), "same long w0 w1 w2 w3 w4 w5 w6 w7 w8"]
+             " ".join(f"w{i}" for i in range(9)), " ".join(f"w{i}" if i != 12 else "z" for i in range(30)), "same long w0 w1 w2 w3 w4 w5 w6 w7 w8",
+             "q0 q1 q2 q3 q4 q5 q6 q7 q8 z", "q1 q2 q3 q4 q5 q6 q7 q8 q9"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r["doc_id"]: r for r in dec.decontaminate(docs, bench).collect()}
     for i, t in enumerate(texts):
         n, hit, named = brute_hits(t, [("" if k is None else str(k), x) for k, x in items])
         assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) == (n, hit, named), (i, t)
-    assert got[7]["n_hit"] == 0 and got[7]["n_near"] > 0  # nine words in place, but no phrase
+    assert [got[i]["n_near"] for i in (4, 10, 11)] == [0, 1, 0]  # nine words around the rarest one, but no phrase
 
 
 def test_decontaminate_odd_rows(spark, odd, none):
@@ -80,7 +82,7 @@ def test_decontaminate_odd_rows(spark, odd, none):
                                   "item_id long, text string").withColumn("word", F.lit(1))
     rows = dec.decontaminate(odd, bench, carry=("text", "lang")).collect()
     assert len(rows) == odd.count()
-    assert {r["doc_id"]: r["n_hit"] for r in rows if r["n_hit"]} == {4: 60_000}
+    assert {r["doc_id"]: r["n_hit"] for r in rows if r["n_hit"]} == {4: 59_998}  # the last two words begin no whole window
     assert dec.decontaminate(odd, bench.where("false")).where("n_hit > 0").count() == 0
     assert dec.decontaminate(none, bench).count() == 0
 

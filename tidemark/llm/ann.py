@@ -249,8 +249,8 @@ def search(table: DataFrame, is_query: str, k: int = 20, recall: float = 0.95) -
 
     element = entries.schema["embedding"].dataType.simpleString()
     share = F.pmod(F.xxhash64("q"), F.lit(shares))
-    copies = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))
-    left = entries.mapInArrow(deal_entries, f"block long, rep long, embedding {element}, cell int").withColumn("share", copies.cast("long"))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long")))
+    left = entries.mapInArrow(deal_entries, f"block long, rep long, embedding {element}, cell int").withColumn("share", copies)
     right = searched.mapInArrow(deal_queries, f"block long, q long, embedding {element}, cells array<int>").withColumn("share", share)
     met = left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInArrow(compare, "q long, rep long, score double")
     nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))

@@ -11,6 +11,7 @@ from tidemark.llm.common import ascii_lower, documents, join_rows, pick
 from tidemark.sources.tables import stored
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # all that is not [^\x00-\x2F\x3A-\x60\x7B-\x7F]
+PIECE = 32  # words of a text that are indexed together
 FILTER_BITS = 1 << 20  # fixed size of the term filter that every task holds: 128 KB
 
 
@@ -68,6 +69,16 @@ def _around(all_words: Column, p: Column, window: int) -> Column:
     return F.transform(F.sequence(p - (window - 1), p + (window - 1)), lambda j: F.get(all_words, j))
 
 
+def _pieces(texts: DataFrame, window: int) -> DataFrame:
+    """(doc_id, tk, piece): texts in pieces of ``PIECE`` words with the words beside them, so that a posting carries the
+    neighbourhood of its word and never a whole text."""
+    start = F.sequence(F.lit(0), F.size("words") - 1, F.lit(PIECE))
+    cut = lambda at: F.struct(
+        at.alias("at"), F.least(at, F.lit(window - 1)).alias("lead"),
+        F.slice(F.col("words"), at - F.least(at, F.lit(window - 1)) + 1, F.least(at, F.lit(window - 1)) + (PIECE + window - 1)).alias("words"))
+    return texts.where(F.size("words") > 0).select("doc_id", "tk", F.explode(F.transform(start, cut)).alias("piece"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, near: int = 8) -> DataFrame:
     """(doc_id, tk, item, kind, start, stop): where items occur in documents, by word position, ends included.
 
@@ -81,10 +92,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, near: int =
     counts = texts.select(F.explode("words").alias("word")).where(_passes(term_filter(bench_terms), F.col("word"))) \
         .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     wanted = stored(anchors(found, counts, window), "anchors")
+    piece = F.col("piece")
     postings = (
-        texts.select("doc_id", "tk", "words", F.posexplode("words").alias("pos", "word"))
-        .where(_passes(term_filter(wanted), F.col("word")))
-        .select("doc_id", "tk", "pos", "word", _around(F.col("words"), F.col("pos"), window).alias("beside"))
+        _pieces(texts, window)
+        .select("doc_id", "tk", "piece", F.posexplode("piece.words").alias("i", "word"))
+        .where((F.col("i") >= piece["lead"]) & (F.col("i") < piece["lead"] + PIECE) & _passes(term_filter(wanted), F.col("word")))
+        .select("doc_id", "tk", (piece["at"] - piece["lead"] + F.col("i")).alias("pos"), "word",
+                _around(piece["words"], F.col("i"), window).alias("beside"))
     )
     same = F.zip_with("beside", "around", lambda a, b: F.coalesce(a == b, F.lit(False)))
     run = lambda side: F.coalesce(F.nullif(F.array_position(side, False), F.lit(0)), F.lit(window)) - 1

@@ -86,7 +86,7 @@ def _shape() -> Column:
 def _gazetteer() -> Column:
     m = F.col("m")
     return (
-        F.when(F.col("kind").isin("email", "written_email"), F.lower(F.regexp_extract(m, r"([A-Za-z0-9]+)[^A-Za-z0-9]*$", 1)).isin(TLDS))
+        F.when(F.col("kind").isin("email", "written_email"), F.lower(F.regexp_extract(F.right(m, F.lit(40)), r"([A-Za-z0-9]+)[^A-Za-z0-9]*$", 1)).isin(TLDS))
         .when(_is("ip"), ~m.rlike(r"^0*(?:0|22[4-9]|2[3-5]\d)\."))
         .when(_is("card"), m.rlike(CARD_PREFIX))
         .when(_is("phone"), m.rlike(CALLING_CODE))
