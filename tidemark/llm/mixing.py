@@ -105,7 +105,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
     by_size = stored(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-histogram")
     by_source = by_size.groupBy("source").agg(F.sum("n").alias("docs"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goals = targets(by_source, weights, cap)
-    tilt = goals.withColumn("key", _key()).drop("source").join(rates(by_size, goals), "key", "left")
+    # Written, so that its size is known when the join is planned: a source with a third of all rows need not be shuffled.
+    tilt = stored(goals.withColumn("key", _key()).drop("source").join(rates(by_size, goals), "key", "left"), "mix-rates")
     # Six digits: what the order of floating sums changes must not change a copy.
     rate = F.round(F.exp(F.col("a") + F.col("b") * (F.col("size") / F.col("mean") - 1)), 6)
     block = F.pmod(F.xxhash64("doc_id", "text_hash"), F.ceil(F.col("docs") / BLOCK_DOCS))
