@@ -1,5 +1,6 @@
 """Sources, upserts, profile, quality, guard and streaming on small hand-written inputs."""
 
+import hashlib
 import datetime as dt
 import gzip
 import json
@@ -71,11 +72,11 @@ def test_sample_is_stable_and_exact(spark):
     assert files.seeded_sample(copies, 100, ["id"]).count() == 100
 
 
-def test_inventory_lists_large_files_without_reading_them(spark, tmp_path):
+def test_inventory_hashes_every_file(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"abc")
     (tmp_path / "b.bin").write_bytes(b"x" * 50)
-    got = rows(files.file_inventory(spark, str(tmp_path), limit=10))
-    assert got == [("a.bin", 3, "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"), ("b.bin", 50, None)]
+    got = rows(files.file_inventory(spark, str(tmp_path)))
+    assert got == [("a.bin", 3, hashlib.sha256(b"abc").hexdigest()), ("b.bin", 50, hashlib.sha256(b"x" * 50).hexdigest())]
 
 
 def test_scan_turns_nan_into_null(spark, tmp_path):
@@ -193,12 +194,12 @@ def test_types_profile_and_rules(spark):
     assert by["body"]["distinct_count"] == 100 and by["day"]["date_range_days"] == 27
     dups = profile.duplicate_rows(df)
     assert rows(dups) == [(120, 20, 0.1667)]
-    issues = quality.quality_issues(columns, dups, profile.top_correlations(df, facts))
+    issues = quality.quality_issues(columns, dups, profile.correlations(df, facts))
     found = {(r["rule"], ",".join(r["columns"])) for r in issues.collect()}
     assert found == {("high_null_rate", "empty"), ("moderate_duplicate_rows", ""), ("high_correlation", "a,b"), ("high_correlation", "key,a"),
                      ("high_correlation", "key,b"), ("constant_column", "one"), ("pii_detected", "key")}
     text = {r["rule"]: r["message"] for r in issues.collect()}
-    assert text["high_null_rate"] == "'empty' has 100.0% missing values."
+    assert text["high_null_rate"] == "100.0% of the rows have no value in 'empty'."
     score = quality.quality_score(issues)
     assert rows(score.select("high", "warning", "score")) == [(1, 2, 70)]
     assert rows(quality.quality_subscores(score, dups)) == [(75, 67, 84, 70)]
@@ -223,22 +224,37 @@ def test_charts(spark):
     assert rows(charts.pie(df, "cat").select("value", "n", "share")) == [("x", 60, 0.5), ("y", 60, 0.5)]
     roll = charts.rolling_line(df, "day", "a", 3, ["key"])
     assert roll.count() == 120
-    specs = charts.view_specs(profile.column_facts(df), [("a", "b")], True)
+    assert len([s for s in charts.view_specs(profile.column_facts(df), [("a", "b")], True) if s["chart"] == "histogram"]) == len(
+        profile.column_facts(df).of_type("numeric"))
+    specs = charts.view_specs(profile.column_facts(df), [("a", "b")], True, histograms=4, bars=3, lines=3, groups=2, heatmap=12, scatters=2)
     assert [s["chart"] for s in specs] == ["kpi", "missingness", *["histogram"] * 4, "bar", *["line"] * 3, "group", "heatmap", "scatter", "rolling"]
 
 
 @pytest.mark.parametrize("word", adhoc.FORBIDDEN)
-def test_guard_refuses_words(word):
-    assert adhoc.check_sql(f"SELECT 1 FROM data WHERE x = '{word.lower()} it'")
+def test_guard_refuses_words(spark, word):
+    assert adhoc.check_sql(spark, f"SELECT 1 FROM data WHERE x = '{word.lower()} it'")
 
 
 @pytest.mark.parametrize("sql", ["DELETE FROM data", "WITH a AS (SELECT 1) SELECT * FROM a", "SELECT 1; SELECT 2",
-                                 "SELECT * FROM other", "SELECT * FROM data JOIN secret ON true", "SELECT * FROM parquet.`/etc/x`"])
+                                 "SELECT * FROM other", "SELECT * FROM data JOIN secret ON true", "SELECT * FROM parquet.`/etc/x`",
+                                 "SELECT * FROM dataset, secret", "SELECT * FROM (secret)", "SELECT * FROM/**/secret", "SELECT (SELECT max(id) FROM secret) FROM data",
+                                 "SELECT * FROM data WHERE EXISTS (SELECT 1 FROM `secret`)", "SELECT * FROM IDENTIFIER('secret')", "SELECT * FROM range(9)",
+                                 "SELECT java_method('java.lang.System', 'getProperty', 'user.home') FROM data", "SELECT FROM data WHERE ("])
 def test_guard_refuses_statements(spark, sql):
+    spark.range(3).createOrReplaceTempView("secret")
     with pytest.raises(ValueError):
         adhoc.run_sql(table(spark), sql)
 
 
+def test_guard_leaves_literals_and_views_alone(spark):
+    spark.range(2).createOrReplaceTempView("data")
+    assert rows(adhoc.answer(spark.range(1), "SELECT 'x from data y' AS v, id FROM Data -- from other")) == [("x from data y", 0)]
+    assert spark.table("data").count() == 2
+    spark.catalog.dropTempView("data")
+    with pytest.raises(Exception):
+        adhoc.answer(spark.range(200_000_000_000), "SELECT sum(id * 1.5) FROM data", seconds=1)
+
+
 def test_guard_limits_every_result(spark):
     df = spark.range(100)
     assert adhoc.run_sql(df, "select id from df", row_limit=7).count() == 7
@@ -293,3 +309,22 @@ def test_metrics_of_a_ticker_share_one_shuffle(spark, tmp_path):
     sinks.write_market(make(spark, 50)[0], path)
     text = plan(technical(prices.scan_prices(spark, path), "M"))
     assert text.count("Exchange hashpartitioning") == 1 and "SinglePartition" not in text
+
+
+def test_csv_files_with_different_headers(spark, tmp_path):
+    (tmp_path / "GLD_a.csv").write_text("Date,Open,Close\n2024-01-02,1,2\n2024-01-03,3,4\n")
+    (tmp_path / "b c.csv").write_text("Close,\"Ticker\",Date,Volume,Extra\n12,spy,2024-01-02,7,x\n13,,2024-01-04,8,y\n")
+    (tmp_path / "IAU.csv").write_text("Date,Open,Close\n2024-01-05,5,6\n")
+    got = rows(files.scan_price_csv(spark, str(tmp_path)).select("ticker", F.col("date").cast("string"), "open", "close", "volume"))
+    assert sorted(got) == [("B C", "2024-01-04", None, 13.0, 8.0), ("GLD", "2024-01-02", 1.0, 2.0, None), ("GLD", "2024-01-03", 3.0, 4.0, None),
+                           ("IAU", "2024-01-05", 5.0, 6.0, None), ("SPY", "2024-01-02", None, 12.0, 7.0)]
+
+
+def test_features_of_other_symbols_stay(spark, tmp_path):
+    path = str(tmp_path / "f")
+    schema = "date date, asset_class string, symbol_or_series string, feature_set string, feature_name string, feature_value double"
+    day = dt.date(2024, 1, 5)
+    sinks.write_features(spark.createDataFrame([(day, "macro", s, "v1", "x", 1.0) for s in "ab"] + [(dt.date(2024, 2, 1), "macro", "a", "v1", "x", 4.0)], schema), path)
+    sinks.write_features(spark.createDataFrame([(day, "macro", "COMPOSITE", "v1", "x", 2.0), (day, "macro", "a", "v1", "x", 3.0)], schema), path)
+    assert sorted(rows(sinks.read_features(spark, path).select("symbol_or_series", F.month("date"), "feature_value"))) == [
+        ("COMPOSITE", 1, 2.0), ("a", 1, 3.0), ("a", 2, 4.0), ("b", 1, 1.0)]

@@ -5,6 +5,7 @@ import math
 import random
 import statistics as st
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,15 +183,43 @@ def test_rolling_mean_crosses_blocks(spark):
         assert same(got[r[0]], st.mean(x[2] for x in ordered[max(0, i - 6):i + 1]))
 
 
-def test_quantiles_narrow_down_to_the_same_values(spark):
+def test_quantiles_of_groups_of_any_size(spark):
     rnd = random.Random(5)
+    inf = float("inf")
     rows = [("hot", 7.0)] * 400 + [("hot", rnd.lognormvariate(0, 3)) for _ in range(600)] + [("cold", float(i)) for i in range(9)]
-    df = spark.createDataFrame(rows, "g string, v double")
+    rows += [("far", v) for v in (-inf, 1.0, 2.0, inf, inf)] + [("huge", v) for v in (-1.7e308, 0.0, 1.7e308)] + [("one", 3.0), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
     probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.953, "e": 1.0}
-    small = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", probs).collect()}
-    narrowed = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", probs, direct=10, bins=4).collect()}
-    for g in ("hot", "cold"):
-        assert all(same(small[g][p], narrowed[g][p]) for p in probs)
+    for accuracy in (100, 100_000):
+        got = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", probs, accuracy).collect()}
+        assert set(got) == {"hot", "cold", "far", "huge", "one", None}
+        for g in got:
+            values = sorted(v for k, v in rows if k == g)
+            for name, p in probs.items():
+                pos = p * (len(values) - 1)
+                lo, hi = values[math.floor(pos)], values[math.ceil(pos)]
+                want = lo if lo == hi or pos == math.floor(pos) else lo + (hi - lo) * (pos - math.floor(pos))
+                assert same(got[g][name], want), (g, name, got[g][name], want)
+    assert exact_quantiles(df.where("false"), ["g"], "v", probs).count() == 0
+
+
+def test_ranks_hold_infinite_values(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([("d", v) for v in (-inf, -1.0, 0.0, 0.0, 1e-300, 5.0, inf)], "date string, v double")
+    got = {r["v"]: (r["below"], r["ties"], r["total"]) for r in ranks_within(df, "date", "v", False).collect()}
+    assert got == {-inf: (0, 1, 7), -1.0: (1, 1, 7), 0.0: (2, 2, 7), 1e-300: (4, 1, 7), 5.0: (5, 1, 7), inf: (6, 1, 7)}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.97])
+def test_exponential_means_over_gaps(spark, share):
+    rnd = random.Random(8)
+    values = [None if rnd.random() < share else rnd.uniform(1, 100) for _ in range(900)]
+    df = spark.createDataFrame([("t", i, v) for i, v in enumerate(values)], "ticker string, date int, x double")
+    got = win.with_ema(df, {"x": [("fast", "x", 2 / 13), ("slow", "x", 2 / 27)]}).orderBy("date").collect()
+    for name, alpha in (("fast", 2 / 13), ("slow", 2 / 27)):
+        want = pd.Series(values, dtype=float).ewm(alpha=alpha, adjust=False).mean()
+        for r, w in zip(got, want):
+            assert (r[name] is None) == math.isnan(w) and (r[name] is None or abs(r[name] - w) < 1e-12 * max(1, abs(w)))
 
 
 def test_regime_percentile(spark):

@@ -136,36 +136,56 @@ def calendar_mean(x: Column, n: int, *keys: str) -> Column:
     return F.when(F.count(x).over(frame) == n, F.avg(x).over(frame))
 
 
+DECAY = 50  # an input that has faded by e^-50 no longer shows in a double
+
+
+def _fading(alpha: float, step: str) -> str:
+    """Log of how much older values fade when a value comes ``step`` rows after the one before it; 0 without a step."""
+    return f"if({step} IS NULL, 0D, least(700D, ln(1 + {alpha!r}D * pow({(1 - alpha)!r}D, -({step})))))"
+
+
 def with_ema(df: DataFrame, groups: dict[str, list[tuple[str, str, float]]], key: str = "ticker", order: str = "date") -> DataFrame:
     """Exponential means ``(out, input column, alpha)`` seeded with the first non-null input.
 
     The inputs of one group are null on the same rows as the column the group is named after.
 
-    y_n = (1-alpha) y_(n-1) + alpha x_n is written as a sum of weighted inputs. The rows of a series are cut into
-    blocks so long that inputs two blocks back weigh less than e^-80; a running sum inside the block plus the total
-    of the block before it gives the mean with two windows and no fold over the rows.
+    The mean moves by y = (w y' + alpha x) / (w + alpha) with w = (1-alpha)^steps, where steps counts the rows since the last
+    value, rows without one included: after a gap a new value counts for more. Rows without a value repeat the last mean.
+    Written as a sum of inputs weighted by how far they have faded, the series is cut into blocks of a fading of ``DECAY`` in
+    the slowest mean of the group; a running sum inside the block plus the total of the block before it gives the mean
+    with windows only and no fold over the rows.
     """
     out_columns = df.columns
-    df = df.selectExpr("*", *[f"count({g}) {_over((key,), order, _GROWING)} - 1 AS _n_{g}" for g in groups])
+    grow = _over((key,), order, _GROWING)
+    past = _over((key,), order, "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
+    df = df.selectExpr("*", f"row_number() {_over((key,), order)} AS _row")
     for g, specs in groups.items():
-        size = max(math.ceil(80 / -math.log1p(-alpha)) for _, _, alpha in specs)
-        if any(size * -math.log1p(-alpha) > 600 for _, _, alpha in specs):
+        slow = min(alpha for _, _, alpha in specs)
+        worst = max(math.log1p(a * (1 - a) ** -s) / math.log1p(slow * (1 - slow) ** -s) for _, _, a in specs for s in range(1, 60))
+        if worst * DECAY > 600:
             raise ValueError("smoothing factors of one group differ too much for a common block")
-        n, b = f"_n_{g}", f"_b_{g}"
-        place = f"({n} - {b} * {size})"
+        step, b, place, last = f"_step_{g}", f"_b_{g}", f"_at_{g}", f"_len_{g}"
         inside = _over((key, b), order, _GROWING)
         before = _over((key,), b, "RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING")
+        # Fading of a value is (1-alpha)^place, times exp(-gaps) for what steps of more than one row add to it.
+        more = {out: f"CASE WHEN {step} > 1 THEN {_fading(alpha, step)} - {_fading(alpha, '1')} ELSE 0D END" for out, _, alpha in specs}
         df = (
-            df.selectExpr("*", f"CAST(floor({n} / {size}) AS BIGINT) AS {b}")
+            df.selectExpr("*", f"count({g}) {grow} AS _n_{g}", f"CASE WHEN {g} IS NOT NULL THEN _row - max(CASE WHEN {g} IS NOT NULL THEN _row END) {past} END AS {step}")
+            .selectExpr("*", f"CAST(floor(sum({_fading(slow, step)}) {grow} / {DECAY}) AS BIGINT) AS {b}",
+                        *[f"{m} AS _more_{out}" for out, m in more.items()])
+            .selectExpr("*", f"count({g}) {inside} - 1 AS {place}", f"count({g}) {before} AS {last}",
+                        *[f"first_value(_more_{out}) {inside} AS _first_{out}" for out, _, _ in specs],
+                        *[f"sum(_more_{out}) {inside} - first_value(_more_{out}) {inside} AS _gaps_{out}" for out, _, _ in specs])
             .selectExpr("*", *[
-                f"CASE WHEN {n} = 0 THEN {x} ELSE {x} * {alpha!r}D END * pow({(1 - alpha)!r}D, -{place}) AS _w_{out}"
-                for out, x, alpha in specs])
-            .selectExpr("*", *[f"sum(_w_{out}) {inside} AS _in_{out}" for out, _, _ in specs])
-            .selectExpr("*", *[f"sum(_w_{out}) {before} AS _before_{out}" for out, _, _ in specs])
+                f"{x} * CASE WHEN {step} IS NULL THEN 1D WHEN {step} = 1 THEN {alpha!r}D ELSE 1 / (1 + pow({(1 - alpha)!r}D, {step}) / {alpha!r}D) END"
+                f" * pow({(1 - alpha)!r}D, -{place}) * exp(_gaps_{out}) AS _w_{out}" for out, x, alpha in specs])
+            .selectExpr("*", *[f"sum(_w_{out}) {inside} AS _in_{out}" for out, _, _ in specs],
+                        *[f"sum(_w_{out}) {before} AS _before_{out}" for out, _, _ in specs],
+                        *[f"max(_gaps_{out}) {before} AS _till_{out}" for out, _, _ in specs])
         )
         out_columns += [
-            f"CASE WHEN {n} >= 0 THEN pow({(1 - alpha)!r}D, {place}) * (coalesce(_in_{out}, 0D) + "
-            f"coalesce(_before_{out}, 0D) * {math.pow(1 - alpha, size)!r}D) END AS {out}" for out, _, alpha in specs]
+            f"CASE WHEN _n_{g} > 0 THEN pow({(1 - alpha)!r}D, {place}) * exp(-_gaps_{out}) * (coalesce(_in_{out}, 0D) + coalesce("
+            f"_before_{out} * pow({(1 - alpha)!r}D, {last}) * exp(-_till_{out} - _first_{out}), 0D)) END AS {out}" for out, _, alpha in specs]
     return df.selectExpr(*out_columns)
 
 

@@ -10,23 +10,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import pin
+from tidemark.sources.tables import stored
 
 
-def value_bucket(v: Column, per_octave: int = 16) -> Column:
-    """Order-preserving bucket of a double: its sign, then steps of 1/16 octave of its size."""
-    size = F.floor(F.log2(F.abs(v)) * per_octave).cast("int") + 20000
-    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0))
+BUCKETS = 128  # value buckets of a group, bounded by its own approximate quantiles
+ACCURACY = 100_000  # the approximate ranks of a group are off by at most 1 / ACCURACY of it
 
 
 def ranks_within(df: DataFrame, by: str, value: str, descending: bool) -> DataFrame:
     """For every distinct non-null (by, value): ``below`` rows ranked strictly before it, ``ties`` rows equal to it
-    and ``total`` non-null rows of the group."""
-    counts = (
-        df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("ties"))
-        .withColumn("_bucket", value_bucket(F.col(value)))
-    )
+    and ``total`` non-null rows of the group.
+
+    Distinct values are cut at the group's own quantiles, so buckets hold about as many each however the values cluster,
+    infinite ones included.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("ties"))
+    cuts = counts.groupBy(by).agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS).alias("_cuts"))
+    bucket = F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
+    counts = counts.join(cuts, by).withColumn("_bucket", bucket).drop("_cuts")
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    # Buckets per group are limited by the number format, not by the data.
     sizes = counts.groupBy(by, "_bucket").agg(F.sum("ties").alias("_rows"))
     before = Window.partitionBy(by).orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
@@ -42,71 +44,47 @@ def ranks_within(df: DataFrame, by: str, value: str, descending: bool) -> DataFr
     )
 
 
-DIRECT_ROWS = 100_000  # a group up to this size may be held by one task
-BROADCAST_ROWS = 100_000  # a table of ranges up to this size is broadcast
-
-
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], direct: int = DIRECT_ROWS,
-                    bins: int = 1024) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` per group, one column per entry of ``probs``.
 
-    While every group is small the built-in exact percentile does it. Larger groups are narrowed down: rows are
-    counted in equal bins between two bounds, with map-side combine, and the bounds move to the bin that holds the
-    wanted rank, until what is left between them is one value or a small group. No pass shuffles or sorts the rows.
+    The same two passes for every size. The first finds values that enclose each wanted rank, from a mergeable sketch with
+    a wide margin. The second counts, with map-side combine, the rows below the enclosed stretch and the distinct values in
+    it, about 1 / 10,000 of the group; a running count over those places the ranks. Values are only compared, so infinite
+    ones are values like others. Should a sketch ever fall short of its promise, the query fails rather than answer wrong.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    largest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if largest is None or largest <= direct:
-        found = rows.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q"))
-        return found.select(*by, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
-    rows = rows.withColumn("_all", F.lit(1))
-    keys = [*by, "_all"]
-
-    def ranks(p: float) -> tuple[Column, Column]:
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
-        return F.floor(pos).cast("bigint"), F.ceil(pos).cast("bigint")
-
-    wanted = F.explode(F.array_distinct(F.array(*[k for p in probs.values() for k in ranks(p)])))
-    groups = pin(rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
-    state = groups.select(*keys, wanted.alias("_k"), "_lo", "_hi", F.lit(0).cast("bigint").alias("_base"),
-                          F.col("_n").alias("_size"))
-    unsettled = (F.col("_lo") < F.col("_hi")) & (F.col("_size") > direct)
-
-    def within(ranges: DataFrame) -> DataFrame:
-        ranges = pin(ranges.select(*keys, "_lo", "_hi", "_base").distinct())
-        small = F.broadcast(ranges) if ranges.count() <= BROADCAST_ROWS else ranges
-        return rows.join(small, keys).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-
-    spans = [*keys, "_lo", "_hi"]
-    while not state.where(unsettled).isEmpty():
-        place = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
-        counted = within(state.where(unsettled)).groupBy(*spans, "_base", F.least(place, F.lit(bins - 1)).alias("_bin")).agg(
-            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
-        # At most ``bins`` rows per range.
-        upto = Window.partitionBy(*spans).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-        ends = counted.withColumn("_end", F.col("_base") + F.sum("_c").over(upto)).drop("_base")
-        hit = (F.col("_k") >= F.col("_end") - F.col("_c")) & (F.col("_k") < F.col("_end"))
-        moved = state.where(unsettled).join(ends, spans).where(hit).select(
-            *keys, "_k", F.col("_from").alias("_lo"), F.col("_to").alias("_hi"), (F.col("_end") - F.col("_c")).alias("_base"),
-            F.col("_c").alias("_size"))
-        state = pin(state.where(~unsettled).unionByName(moved))
-    left = within(state.where("_lo < _hi")).groupBy(*spans).agg(F.sort_array(F.collect_list("_v")).alias("_sorted"))
-    values = state.join(left, spans, "left").select(
-        *keys, "_k", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
-            F.get("_sorted", (F.col("_k") - F.col("_base")).cast("int"))).alias("_x"))
-    placed = values.join(groups.select(*keys, "_n"), keys)
-    ends = []
-    for name, p in probs.items():
-        for side, k in zip(("lo", "hi"), ranks(p)):
-            ends.append(F.max(F.when(F.col("_k") == k, F.col("_x"))).alias(f"_{name}_{side}"))
-    found = placed.groupBy(*keys, "_n").agg(*ends)
-    out = []
-    for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
-        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return found.select(*by, *out)
+    keys = [f"_g{i}" for i in range(len(by))]
+    named = [F.coalesce(F.to_json(F.struct(F.col(b).alias("v"))), F.lit("")).alias(k) for b, k in zip(by, keys)]
+    rows = df.where(F.col(value).isNotNull()).select(*by, *named, F.lit(1).alias("_all"), F.col(value).cast("double").alias("_v"))
+    keys = [*keys, "_all"]
+    margin = 10 / accuracy
+    near = [min(1.0, max(0.0, p + side * margin)) for p in probs.values() for side in (-1, 1)]
+    groups = rows.groupBy(*keys).agg(
+        *[F.first(b).alias(b) for b in by], F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", near, accuracy).alias("_near"))
+    groups = stored(groups, "quantile-brackets")
+    wide = F.col("_n") * margin < 2  # a margin of less than two rows: the ends enclose all of so few
+    bracket = lambda i, p: F.struct(
+        F.lit(i).alias("i"), F.lit(float(p)).alias("p"),
+        F.when(wide, F.col("_min")).otherwise(F.col("_min") if p <= margin else F.get("_near", F.lit(2 * i))).alias("lo"),
+        F.when(wide, F.col("_max")).otherwise(F.col("_max") if p >= 1 - margin else F.get("_near", F.lit(2 * i + 1))).alias("hi"))
+    brackets = groups.select(*keys, F.array(*[bracket(i, p) for i, p in enumerate(probs.values())]).alias("_b"))
+    tried = rows.select(*keys, "_v").join(brackets, keys).select(*keys, "_v", F.explode("_b").alias("b")).where(F.col("_v") <= F.col("b.hi"))
+    counted = tried.groupBy(*keys, F.col("b.i").alias("_i"), F.when(F.col("_v") >= F.col("b.lo"), F.col("_v")).alias("_x")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    run = Window.partitionBy(*keys, "_i").orderBy(F.col("_x").asc_nulls_first())
+    upto = counted.withColumn("_end", F.sum("_c").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("_i") + 1)
+    pos = prob * (F.col("_n") - 1)
+    at = upto.join(groups.select(*keys, "_n"), keys).withColumn("_pos", pos)
+    holds = lambda k: F.col("_x").isNotNull() & (F.col("_end") > k) & (F.col("_end") - F.col("_c") <= k)
+    ends = at.groupBy(*keys, "_i", "_pos").agg(
+        F.max(F.when(holds(F.floor("_pos")), F.col("_x"))).alias("_lo"), F.max(F.when(holds(F.ceil("_pos")), F.col("_x"))).alias("_hi"))
+    between = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos"))
+    placed = F.when(F.col("_lo").isNull() | F.col("_hi").isNull(), F.raise_error(F.lit("a wanted rank lies outside its bracket")).cast("double")).when(
+        (F.col("_lo") == F.col("_hi")) | (F.col("_pos") == F.floor("_pos")), F.col("_lo")).otherwise(between)
+    found = ends.withColumn("_q", placed).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(probs)])
+    return found.join(groups.select(*keys, *by), keys).select(*by, *probs)
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:

@@ -273,14 +273,18 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
         "duplicate_pct", F.coalesce(F.round(F.try_divide(F.col("duplicate_rows"), F.col("row_count")), 4), F.lit(0.0)))
 
 
-def top_correlations(df: DataFrame, facts: Facts, k: int = 20) -> DataFrame:
+def correlations(df: DataFrame, facts: Facts) -> DataFrame:
+    """(col1, col2, abs_corr) of all pairs of numeric columns that have one."""
     pairs = pairwise_corr(df, facts.of_type("numeric")).where(F.col("corr").isNotNull() & ~F.isnan("corr"))
-    return pairs.select("col1", "col2", F.round(F.abs("corr"), 3).alias("abs_corr")).orderBy(
-        F.col("abs_corr").desc(), "col1", "col2").limit(k)
+    return pairs.select("col1", "col2", F.round(F.abs("corr"), 3).alias("abs_corr"))
+
+
+def top_correlations(df: DataFrame, facts: Facts, k: int = 20) -> DataFrame:
+    """The k strongest pairs, for display."""
+    return correlations(df, facts).orderBy(F.col("abs_corr").desc(), "col1", "col2").limit(k)
 
 
 def correlation_heatmap(df: DataFrame, columns: list[str]) -> DataFrame:
-    columns = columns[:14]
     return symmetric(pairwise_corr(df, columns), columns).withColumn("corr", F.round("corr", 2))
 
 
@@ -318,8 +322,8 @@ def mask_profile(columns: DataFrame) -> DataFrame:
     return columns.withColumns({c: F.when(~F.col("is_pii"), F.col(c)) for c in values if c in columns.columns})
 
 
-def suggested_kpis(df: DataFrame, facts: Facts) -> DataFrame:
-    """Mean of the first three numeric columns."""
-    names = facts.of_type("numeric")[:3]
+def suggested_kpis(df: DataFrame, facts: Facts, first: int | None = None) -> DataFrame:
+    """Means of the numeric columns, or of the ``first`` of them."""
+    names = facts.of_type("numeric")[:first]
     means = df.agg(*[F.avg(_number(n)).alias(n) for n in names])
     return means.unpivot([], names, "column_name", "mean_value").withColumn("name", F.concat(F.lit("Avg "), "column_name"))

@@ -15,7 +15,7 @@ def _issues(df: DataFrame, rule: Column, severity: Column, columns: Column, mess
 def quality_issues(columns: DataFrame, dataset: DataFrame, correlations: DataFrame) -> DataFrame:
     """(rule, severity, columns, message), one row per finding. All inputs are profile tables of schema size.
 
-    Rule names, bounds and message formats are fixed values.
+    Rule names and bounds are fixed values.
     """
     name, lit = F.col("column_name"), F.lit
     own = F.array("column_name")
@@ -25,28 +25,28 @@ def quality_issues(columns: DataFrame, dataset: DataFrame, correlations: DataFra
     nulls = _issues(
         columns.where(pct > 0),
         F.when(pct > 0.5, "high_null_rate").when(pct > 0.2, "moderate_null_rate").otherwise("low_null_rate"),
-        level, own, F.format_string("'%s' has %.1f%% missing values.", name, pct * 100))
+        level, own, F.format_string("%.1f%% of the rows have no value in '%s'.", pct * 100, name))
     duplicates = _issues(
         dataset.where(dup > 0.05), F.when(dup > 0.2, "high_duplicate_rows").otherwise("moderate_duplicate_rows"),
         F.when(dup > 0.2, "high").otherwise("warning"), no_columns,
-        F.format_string("%.1f%% of rows are exact duplicates.", dup * 100))
+        F.format_string("Repeats of an earlier row: %.1f%% of the table.", dup * 100))
     ids = _issues(
         columns.where((F.col("unique_pct") > 0.95) & F.col("inferred_type").isin("categorical", "text")),
         lit("id_like_column"), lit("info"), own,
-        F.format_string("'%s' has >95%% unique values — likely an ID column, not analytic.", name))
+        F.format_string("Nearly every row has its own value in '%s', as in a key.", name))
     skew = F.abs("skewness")
     skewed = _issues(
         columns.where((F.col("inferred_type") == "numeric") & (skew > 10)), lit("extreme_skewness"), lit("warning"), own,
-        F.format_string("'%s' is highly skewed (skew=%.1f). Consider log-transform.", name, skew))
+        F.format_string("Skewness %.1f in '%s': a logarithm may suit it better.", skew, name))
     paired = _issues(
         correlations.where(corr > 0.95), lit("high_correlation"), lit("info"), F.array("col1", "col2"),
-        F.format_string("'%s' and '%s' are highly correlated (|r|=%.2f). One may be redundant.", F.col("col1"), F.col("col2"), corr))
+        F.format_string("|r| is %.2f between '%s' and '%s'; they may say the same.", corr, F.col("col1"), F.col("col2")))
     personal = _issues(
         columns.where("is_pii"), lit("pii_detected"), lit("warning"), own,
-        F.format_string("'%s' may contain PII (%s). Handle with care.", name, F.col("semantic_label")))
+        F.format_string("Personal data suspected in '%s', of kind '%s'.", name, F.col("semantic_label")))
     constant = _issues(
         columns.where("distinct_count = 1"), lit("constant_column"), lit("info"), own,
-        F.format_string("'%s' has only 1 distinct value — constant column.", name))
+        F.format_string("All values of '%s' are the same.", name))
     return union_all(nulls, duplicates, ids, skewed, paired, personal, constant)
 
 

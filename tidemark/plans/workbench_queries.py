@@ -247,7 +247,7 @@ def _quality(spark, sf_dir, t):
     df = _table(spark, sf_dir, t)
     facts = pf.column_facts(df)
     columns = pf.column_profile(df, facts, quantiles=False)
-    return ql.quality_issues(columns, pf.duplicate_rows(df), pf.top_correlations(df, facts))
+    return ql.quality_issues(columns, pf.duplicate_rows(df), pf.correlations(df, facts))
 
 
 def _pairs_sql(t: str) -> str:
@@ -313,7 +313,7 @@ def _mask(spark, sf_dir):
   UNION ALL SELECT 'o_totalprice', avg(o_totalprice) FROM orders)""")
 def _suggested(spark, sf_dir):
     df = src.table(spark, sf_dir, "orders")
-    return rounded(pf.suggested_kpis(df, pf.column_facts(df)))
+    return rounded(pf.suggested_kpis(df, pf.column_facts(df), first=3))
 
 
 # -- charts --------------------------------------------------------------------------------------------------------------------------
@@ -325,7 +325,7 @@ def _value_counts(spark, sf_dir):
 
 @query("a18_chart_group_agg", "SELECT p_brand AS value, round(avg(p_retailprice) + 1e-9, 6) AS metric FROM part GROUP BY 1 ORDER BY 1 LIMIT 15")
 def _group_agg(spark, sf_dir):
-    return rounded(charts.group_agg(src.table(spark, sf_dir, "part"), "p_brand", "p_retailprice"))
+    return rounded(charts.group_agg(src.table(spark, sf_dir, "part"), "p_brand", "p_retailprice", first=15))
 
 
 @query("a18_chart_group_median", "SELECT o_orderpriority AS value, round(median(o_totalprice) + 1e-9, 6) AS metric FROM orders GROUP BY 1")
@@ -390,13 +390,13 @@ def _auto_views(spark, sf_dir):
 
 @query("f21_safe_sql", """SELECT p_type, round(avg(p_retailprice) + 1e-9, 6) AS mean_price, count(*) AS n FROM part GROUP BY p_type""")
 def _safe_sql(spark, sf_dir):
-    return rounded(adhoc.run_sql(src.table(spark, sf_dir, "part"),
+    return rounded(adhoc.answer(src.table(spark, sf_dir, "part"),
                                  "select p_type, avg(p_retailprice) AS mean_price, count(*) AS n from dataset group by p_type"))
 
 
 @query("t04_injected_limit", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey, o_orderstatus LIMIT 5000")
 def _limit(spark, sf_dir):
-    return adhoc.run_sql(src.table(spark, sf_dir, "orders"),
+    return adhoc.answer(src.table(spark, sf_dir, "orders"),
                          "SELECT o_orderkey, o_orderstatus FROM data ORDER BY o_orderkey, o_orderstatus")
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import os
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,24 +14,39 @@ from pyspark.sql import types as T
 from tidemark.operators.prep import number
 from tidemark.schemas import PRICE_COLUMNS
 
-UPLOAD_LIMIT = 200 * 1024 * 1024  # fixed value: largest accepted upload in bytes
-
 # Price CSV headings and their column names.
 CSV_HEADINGS = {"Date": "date", "Ticker": "ticker", "Open": "open", "High": "high", "Low": "low", "Close": "close",
                 "Adj Close": "adj_close", "Volume": "volume"}
 
 
+def _header_groups(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
+    """(column names, files) for every distinct header line under ``path``, from one pass over the first lines."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("line"))
+    # All rows of a file's first block come from one task, in order.
+    heads = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "line").alias("head"))
+    groups = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect()
+    return [(next(csv.reader([r["head"].lstrip("\ufeff")]), []), [unquote(f) for f in r["files"]]) for r in groups]
+
+
 def scan_price_csv(spark: SparkSession, path: str) -> DataFrame:
     """Price CSVs with a header; a missing or empty ticker comes from the file name before the first underscore,
-    and absent price columns are null."""
-    df = spark.read.option("header", True).csv(path).withColumn("_file", F.col("_metadata.file_name"))
-    df = df.withColumnsRenamed({k: v for k, v in CSV_HEADINGS.items() if k in df.columns})
-    from_name = F.regexp_extract("_file", r"^([^_.]+)", 1)
-    given = F.when(F.trim("ticker") != "", F.col("ticker")) if "ticker" in df.columns else F.lit(None).cast("string")
-    return df.select(
-        F.upper(F.coalesce(given, from_name)).alias("ticker"), F.to_date(F.substring("date", 1, 10)).alias("date"),
-        *[(number(c) if c in df.columns else F.lit(None).cast("double")).alias(c) for c in PRICE_COLUMNS],
-    )
+    and absent price columns are null. Files of one folder may have different columns, in any order."""
+    parts = []
+    for names, paths in _header_groups(spark, path):
+        schema = T.StructType([T.StructField(CSV_HEADINGS.get(n.strip(), f"{n.strip()}_{i}"), T.StringType()) for i, n in enumerate(names)])
+        df = spark.read.schema(schema).option("header", True).csv(paths).withColumn("_file", F.col("_metadata.file_name"))
+        plain = F.url_decode(F.replace(F.col("_file"), F.lit("+"), F.lit("%2B")))  # the name as it is on disk
+        from_name = F.regexp_extract(plain, r"^([^_.]+)", 1)
+        given = F.when(F.trim("ticker") != "", F.col("ticker")) if "ticker" in df.columns else F.lit(None).cast("string")
+        date = F.to_date(F.substring("date", 1, 10)) if "date" in df.columns else F.lit(None).cast("date")
+        parts.append(df.select(
+            F.upper(F.coalesce(given, from_name)).alias("ticker"), date.alias("date"),
+            *[(number(c) if c in df.columns else F.lit(None).cast("double")).alias(c) for c in PRICE_COLUMNS]))
+    if not parts:
+        return spark.createDataFrame([], "ticker string, date date, " + ", ".join(f"{c} double" for c in PRICE_COLUMNS))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def scan_user_file(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None) -> DataFrame:
@@ -46,34 +64,19 @@ def scan_user_file(spark: SparkSession, path: str, fmt: str | None = None, schem
     raise ValueError(f"unsupported upload format: {fmt}")
 
 
-def file_inventory(spark: SparkSession, path: str, limit: int = UPLOAD_LIMIT) -> DataFrame:
-    """Name, size and SHA-256 of every file; a file above the upload limit is listed without reading it."""
+def file_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """Name, size and SHA-256 of every file. A file that one row cannot hold (2 GB) makes the query fail."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    small = files.where(F.col("length") <= limit).select(
-        name.alias("file_name"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256")
-    )
-    large = files.where(F.col("length") > limit).select(
-        name.alias("file_name"), F.col("length").alias("size_bytes"), F.lit(None).cast("string").alias("sha256")
-    )
-    return small.unionByName(large)
+    return files.select(name.alias("file_name"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def seeded_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
     """n rows picked by a hash of their key: the same rows on every run, whatever the partitioning.
 
-    A threshold on the hash leaves slightly more than n candidates, so the final sort stays small; if it leaves too
-    few (possible when rows repeat), all rows compete.
+    Every task keeps its n smallest hashes, so the final merge sees n rows a task.
     """
-    total = df.count()
-    if total <= n:
-        return df
     hashed = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])))
-    share = (n + 6 * n ** 0.5 + 30) / total
-    if share < 0.5:
-        near = hashed.where(F.col("_h") < F.lit(format(int(share * 16 ** 15), "015x")))
-        if near.count() >= n:
-            hashed = near
     return hashed.orderBy("_h", *keys).limit(n).drop("_h")
 
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators.upsert import merge_upsert
+from tidemark.session import pin
 
 
 def _write_parts(df: DataFrame, path: str, parts: list[str], order: list[str]) -> None:
@@ -22,8 +27,35 @@ def write_macro(df: DataFrame, path: str) -> None:
     _write_parts(df, path, ["series_id"], ["observation_date"])
 
 
+FEATURE_KEY = ["asset_class", "symbol_or_series", "feature_set", "feature_name", "date"]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written to the path. Only a missing path counts as no; other errors are raised."""
+    try:
+        spark.read.parquet(path).schema
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
+
+
 def write_features(df: DataFrame, path: str) -> None:
-    _write_parts(df, path, ["asset_class", "feature_set"], ["symbol_or_series", "date"])
+    """Upsert features by symbol or series, set, name and date. Parts are asset class, set and month; only the months that
+    ``df`` holds are read and rewritten, and rows of other symbols in them stay."""
+    parts = ["asset_class", "feature_set", "month"]
+    new = pin(df.withColumn("month", F.date_format("date", "yyyy-MM")))
+    if exists(df.sparkSession, path):
+        stored = df.sparkSession.read.parquet(path)
+        months = [r["month"] for r in new.select("month").distinct().collect()]  # bounded by the calendar
+        stored = stored.where(F.col("month").isin(months)).join(F.broadcast(new.select(*parts).distinct()), parts, "left_semi")
+        new = pin(merge_upsert(stored.select(*[F.col(f.name).cast(f.dataType) for f in new.schema]), new, FEATURE_KEY))
+    _write_parts(new, path, parts, ["symbol_or_series", "date"])
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("month")
 
 
 def write_analytics(df: DataFrame, path: str) -> None:
