@@ -1,5 +1,7 @@
 """Sources, upserts, profile, quality, guard and streaming on small hand-written inputs."""
 
+import glob
+import os
 import hashlib
 import datetime as dt
 import gzip
@@ -285,6 +287,29 @@ def test_ingest_is_incremental_and_repeatable(spark, tmp_path):
         ("GLD", D(2024, 1, 4), 5.0), ("SPY", D(2024, 1, 2), 10.0), ("SPY", D(2024, 1, 3), 11.0), ("SPY", D(2024, 1, 4), 11.0)]
 
 
+def test_ingest_late_files_ties_and_broken_tables(spark, tmp_path):
+    src, out, ck = tmp_path / "raw", str(tmp_path / "out"), str(tmp_path / "ck")
+    src.mkdir()
+    put(src, "new.json.gz", payload("SPY", [D(2024, 1, 2), D(2024, 2, 1)], 10.0))
+    assert run_ingest(spark, str(src), out, ck) == 1
+    put(src, "late.json.gz", payload("SPY", [D(2024, 1, 2), D(2024, 1, 3)], 99.0))
+    os.utime(src / "late.json.gz", (1_000_000_000, 1_000_000_000))
+    for name, close in (("a.json.gz", 5.0), ("b.json.gz", 6.0)):
+        put(src, name, payload("GLD", [D(2024, 1, 4)], close))
+        os.utime(src / name, (1_100_000_000, 1_100_000_000))
+    february = {f: os.path.getmtime(f) for f in glob.glob(f"{out}/asset_class=etf/month=2024-02/*.parquet")}
+    assert run_ingest(spark, str(src), out, ck, files_per_batch=1) == 3
+    assert rows(spark.read.parquet(out).select("symbol", "trade_date", "close")) == [
+        ("GLD", D(2024, 1, 4), 6.0), ("SPY", D(2024, 1, 2), 10.0), ("SPY", D(2024, 1, 3), 99.0), ("SPY", D(2024, 2, 1), 10.0)]
+    assert february and {f: os.path.getmtime(f) for f in glob.glob(f"{out}/asset_class=etf/month=2024-02/*.parquet")} == february
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "x.parquet").write_bytes(b"no parquet at all")
+    with pytest.raises(Exception):
+        sinks.exists(spark, str(broken))
+    assert not sinks.exists(spark, str(tmp_path / "nowhere"))
+
+
 # -- plans ----------------------------------------------------------------------------------------------------------------------------------
 
 def plan(df):

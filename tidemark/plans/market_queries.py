@@ -136,7 +136,7 @@ block("curated", ["bars"], """SELECT date AS trade_date, ticker AS symbol, CASE
 def _write_curated(spark, sf_dir):
     path = new_path(spark, "curated")
     sinks.write_curated(_curated(spark, sf_dir), path)
-    return rounded(spark.read.parquet(path))
+    return rounded(sinks.read_curated(spark, path))
 
 
 @query("s09_build_market", statement(

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.prep import newest_per_key
 from tidemark.operators.upsert import merge_upsert
 from tidemark.session import pin
 
@@ -18,15 +19,7 @@ def _write_parts(df: DataFrame, path: str, parts: list[str], order: list[str]) -
     )
 
 
-def write_curated(df: DataFrame, path: str) -> None:
-    """Curated bars by asset class and symbol; only the partitions present in ``df`` are replaced."""
-    _write_parts(df, path, ["asset_class", "symbol"], ["trade_date"])
-
-
-def write_macro(df: DataFrame, path: str) -> None:
-    _write_parts(df, path, ["series_id"], ["observation_date"])
-
-
+CURATED_KEY = ["asset_class", "symbol", "trade_date"]
 FEATURE_KEY = ["asset_class", "symbol_or_series", "feature_set", "feature_name", "date"]
 
 
@@ -41,17 +34,39 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def write_features(df: DataFrame, path: str) -> None:
-    """Upsert features by symbol or series, set, name and date. Parts are asset class, set and month; only the months that
-    ``df`` holds are read and rewritten, and rows of other symbols in them stay."""
-    parts = ["asset_class", "feature_set", "month"]
-    new = pin(df.withColumn("month", F.date_format("date", "yyyy-MM")))
+def upsert_months(df: DataFrame, path: str, key: list[str], date: str, parts: list[str], newest: list[str] | None = None) -> None:
+    """Upsert into a table laid out by ``parts`` and the month of ``date``: only the months that ``df`` holds are read, with a
+    filter on the partition, and rewritten; other rows of those months stay.
+
+    Rows of ``df`` win over stored ones with the same key; with ``newest``, stored columns as well, the greatest of both by
+    those columns wins. What is written is pinned first, as it replaces the partitions it is read from.
+    """
+    new = pin(df.withColumn("month", F.date_format(date, "yyyy-MM")))
     if exists(df.sparkSession, path):
-        stored = df.sparkSession.read.parquet(path)
-        months = [r["month"] for r in new.select("month").distinct().collect()]  # bounded by the calendar
-        stored = stored.where(F.col("month").isin(months)).join(F.broadcast(new.select(*parts).distinct()), parts, "left_semi")
-        new = pin(merge_upsert(stored.select(*[F.col(f.name).cast(f.dataType) for f in new.schema]), new, FEATURE_KEY))
-    _write_parts(new, path, parts, ["symbol_or_series", "date"])
+        held = [r["month"] for r in new.select("month").distinct().collect()]  # bounded by the calendar
+        stored = df.sparkSession.read.parquet(path).where(F.col("month").isin(held))
+        stored = stored.select(*[F.col(f.name).cast(f.dataType) for f in new.schema])
+        touched = stored.join(F.broadcast(new.select(*parts, "month").distinct()), [*parts, "month"], "left_semi").select(*new.columns)
+        new = pin(merge_upsert(touched, new, key) if newest is None else newest_per_key(touched.unionByName(new), key, newest))
+    _write_parts(new, path, [*parts, "month"], [c for c in key if c not in parts])
+
+
+def write_curated(df: DataFrame, path: str) -> None:
+    """Upsert curated bars by asset class, symbol and date."""
+    upsert_months(df, path, CURATED_KEY, "trade_date", ["asset_class"])
+
+
+def read_curated(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("month")
+
+
+def write_macro(df: DataFrame, path: str) -> None:
+    _write_parts(df, path, ["series_id"], ["observation_date"])
+
+
+def write_features(df: DataFrame, path: str) -> None:
+    """Upsert features by symbol or series, set, name and date."""
+    upsert_months(df, path, FEATURE_KEY, "date", ["asset_class", "feature_set"])
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:

@@ -2,59 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.prep import newest_per_key
-from tidemark.operators.upsert import merge_upsert
 from tidemark.schemas import PRICE_COLUMNS, RAW_BAR_SCHEMA
-from tidemark.session import pin
 from tidemark.sources.raw import explode_bars
-from tidemark.sources.sinks import write_curated
+from tidemark.sources.sinks import CURATED_KEY, upsert_months
 
-KEYS = ["asset_class", "symbol", "trade_date"]
-PRUNED_SYMBOLS = 5000  # up to this many symbols per batch are named in the partition filter
+SEEN = ["seen_at", "seen_in", "seen_row"]  # time and path of the payload file, digest of the row: the order among repeats
 
 
 def curated_rows(payloads: DataFrame) -> DataFrame:
-    """Curated bars of a batch of payloads, with the file time as the order among repeats."""
-    rows = explode_bars(payloads, "_seen")
+    """Curated bars of a batch of payloads, with what orders repeats of a key."""
+    rows = explode_bars(payloads, "seen_at", "seen_in")
+    digest = F.xxhash64("_date", "ticker", "source", "cap_tier", *PRICE_COLUMNS)
     return rows.where(F.col("close").isNotNull()).select(
         F.to_date("_date").alias("trade_date"), F.upper("ticker").alias("symbol"), "asset_class", *PRICE_COLUMNS,
-        "source", "cap_tier", "_seen",
+        "source", "cap_tier", "seen_at", "seen_in", digest.alias("seen_row"),
     )
 
 
-def upsert_curated(spark: SparkSession, batch: DataFrame, path: str) -> None:
-    """Merge a batch into the curated table, rewriting only the symbols the batch holds.
+def upsert_curated(batch: DataFrame, path: str) -> None:
+    """Merge a batch into the curated table, rewriting only the months the batch holds. Of a key's rows, stored or new, the
+    one of the newest file stays, so a file that is delivered late does not undo a newer one."""
+    new = newest_per_key(batch.dropna(subset=CURATED_KEY), CURATED_KEY, SEEN)
+    upsert_months(new, path, CURATED_KEY, "trade_date", ["asset_class"], newest=SEEN)
 
-    The batch is pinned, so that its files are parsed once; the merged rows are pinned before the write, because the
-    partitions they are read from are replaced.
-    """
-    new = pin(newest_per_key(batch, KEYS, ["_seen"]).drop("_seen"))
-    try:
-        stored = spark.read.schema(new.schema).parquet(path)
-    except AnalysisException:
-        write_curated(new, path)
-        return
-    touched = new.select("asset_class", "symbol").distinct()
-    if touched.count() <= PRUNED_SYMBOLS:
-        # Named partitions are pruned before the scan; the semi join alone would read the whole table.
-        stored = stored.where(F.col("symbol").isin([r["symbol"] for r in touched.select("symbol").distinct().collect()]))
-    affected = stored.join(touched, ["asset_class", "symbol"], "left_semi").select(*new.columns)
-    write_curated(pin(merge_upsert(affected, new, KEYS)), path)
 
-
-def run_ingest(spark: SparkSession, raw_path: str, curated_path: str, checkpoint: str) -> int:
-    """Process all payload files not yet seen; gives the number of payloads read."""
-    stream = spark.readStream.schema(RAW_BAR_SCHEMA).json(raw_path).withColumn(
-        "_seen", F.col("_metadata.file_modification_time"))
+def run_ingest(spark: SparkSession, raw_path: str, curated_path: str, checkpoint: str, files_per_batch: int = 10_000) -> int:
+    """Process all payload files not yet seen, a bounded number of files at a time; gives the number of payloads read."""
+    # Without an age limit of a century the source would pass over files a week older than the newest one.
+    source = spark.readStream.schema(RAW_BAR_SCHEMA).option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", "36500d")
+    stream = source.json(raw_path).withColumns({
+        "seen_at": F.col("_metadata.file_modification_time"), "seen_in": F.col("_metadata.file_path")})
+    read = []
 
     def merge(batch: DataFrame, _: int) -> None:
         # Writing is idempotent, so a batch that is retried after a failure ends in the same table.
-        upsert_curated(spark, curated_rows(batch), curated_path)
+        count = Observation()
+        upsert_curated(curated_rows(batch.observe(count, F.count(F.lit(1)).alias("payloads"))), curated_path)
+        read.append(count.get["payloads"])
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    return sum(read)
