@@ -297,14 +297,32 @@ def _points(spark, sf_dir):
     return rounded(ad.risk_points(src.investors(spark, sf_dir)).select("c_custkey", "points", "risk_profile"))
 
 
+def _classified(spark, sf_dir):
+    """Customers of every fifth key, scored by a forest that learned from the others."""
+    labelled = ad.risk_points(src.investors(spark, sf_dir)).drop("points")
+    held = F.col("c_custkey") % 5 == 0
+    return ad.predict_risk(ad.risk_classifier().fit(labelled.where(~held)), labelled.where(held)), labelled
+
+
 @query("a43_risk_classifier")
 def _classifier(spark, sf_dir):
-    labelled = ad.risk_points(src.investors(spark, sf_dir)).drop("points")
-    model = ad.risk_classifier(trees=20).fit(labelled)
-    scored = ad.predict_risk(model, labelled)
+    scored, _ = _classified(spark, sf_dir)
     return scored.select("c_custkey", "risk_profile", "label", "confidence", *[f"p_{k}" for k in ad.RISK_LABELS])
 
 
+@query("a43_risk_quality", """SELECT count(*) AS scored, count(*) AS sums_to_one, count(*) AS likeliest_is_label, true AS accurate
+  FROM customer WHERE c_custkey % 5 = 0""")
+def _classifier_quality(spark, sf_dir):
+    scored, labelled = _classified(spark, sf_dir)
+    truth = labelled.select("c_custkey", F.col("risk_profile").alias("truth"))
+    shares = [F.col(f"p_{k}") for k in ad.RISK_LABELS]
+    best = F.element_at(F.array(*shares), F.array_position(F.array(*[F.lit(k) for k in ad.RISK_LABELS]), F.col("risk_profile")).cast("int"))
+    return scored.join(truth, "c_custkey").agg(
+        F.count(F.lit(1)).alias("scored"), F.count_if(F.abs(sum(shares[1:], shares[0]) - 1) < 1e-9).alias("sums_to_one"),
+        F.count_if(best == F.greatest(*shares)).alias("likeliest_is_label"),
+        (F.avg((F.col("risk_profile") == F.col("truth")).cast("double")) > 0.7).alias("accurate"))
+
+
 @query("a44_allocation_rollup", f"""SELECT fund, CASE WHEN w < 0.03 THEN 'Others' ELSE ticker END AS holding,
   round(sum(w) + 1e-9, 6) AS weight FROM (SELECT p_type AS fund, p_brand AS ticker, sum(l_extendedprice) / sum(sum(l_extendedprice))
   OVER (PARTITION BY p_type) AS w FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) GROUP BY 1, 2""")

@@ -191,17 +191,28 @@ def _datetime(spark, sf_dir):
     return dated.select(*wanted).unionByName(text.select(*wanted))
 
 
-_DUPES = {"lineitem": ["l_returnflag", "l_linestatus", "l_quantity", "l_discount"], "documents": ["text", "lang"],
-          "conversations": ["role", "text"]}
+_WHOLE = ["customer", "orders", "lineitem", "part", "supplier", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 @query("a10_duplicate_rows", " UNION ALL ".join(
     f"""SELECT '{t}' AS tbl, sum(n)::BIGINT AS row_count, sum(n - 1)::BIGINT AS duplicate_rows,
-    round(round(sum(n - 1) / sum(n)::DOUBLE, 4) + 1e-9, 6) AS duplicate_pct FROM (SELECT count(*) AS n FROM {t} GROUP BY {', '.join(c)})"""
-    for t, c in _DUPES.items()))
+    round(round(sum(n - 1) / sum(n)::DOUBLE, 4) + 1e-9, 6) AS duplicate_pct FROM (SELECT count(*) AS n FROM {t} AS t GROUP BY t)"""
+    for t in _WHOLE))
 def _duplicates(spark, sf_dir):
+    return rounded(union_all(*[pf.duplicate_rows(src.table(spark, sf_dir, t)).withColumn("tbl", F.lit(t)) for t in _WHOLE]))
+
+
+_PARTS = {"lineitem": ["l_returnflag", "l_linestatus", "l_quantity", "l_discount"], "documents": ["text", "lang"],
+          "conversations": ["role", "text"]}
+
+
+@query("a10_duplicate_parts", " UNION ALL ".join(
+    f"""SELECT '{t}' AS tbl, sum(n)::BIGINT AS row_count, sum(n - 1)::BIGINT AS duplicate_rows,
+    round(round(sum(n - 1) / sum(n)::DOUBLE, 4) + 1e-9, 6) AS duplicate_pct FROM (SELECT count(*) AS n FROM {t} GROUP BY {', '.join(c)})"""
+    for t, c in _PARTS.items()))
+def _duplicate_parts(spark, sf_dir):
     return rounded(union_all(*[
-        pf.duplicate_rows(src.table(spark, sf_dir, t).select(*c)).withColumn("tbl", F.lit(t)) for t, c in _DUPES.items()]))
+        pf.duplicate_rows(src.table(spark, sf_dir, t).select(*c)).withColumn("tbl", F.lit(t)) for t, c in _PARTS.items()]))
 
 
 _LI = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
