@@ -90,8 +90,11 @@ def from_one(equity: DataFrame) -> DataFrame:
 
 
 def bench_on_fund_dates(bench: DataFrame, equity: DataFrame) -> DataFrame:
-    """(fund, date, bench): one benchmark curve on each fund's dates, filled forward, starting at one."""
-    level = bench.select("date", F.col("equity").alias("bench"))
+    """(fund, date, bench): one benchmark curve on each fund's dates, filled forward, starting at one.
+
+    Of several benchmark values on a date the largest counts, so the curve has one row per date.
+    """
+    level = bench.groupBy("date").agg(F.max("equity").alias("bench"))
     joined = equity.select("fund", "date").join(F.broadcast(level), "date", "left")
     filled = joined.select("fund", "date", F.last("bench", ignorenulls=True).over(win.running("fund")).alias("bench"))
     known = filled.where(F.col("bench").isNotNull())

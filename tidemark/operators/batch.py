@@ -8,6 +8,7 @@ import os
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.operators.analytics import MODULES
 from tidemark.sources.sinks import write_analytics
@@ -46,3 +47,13 @@ def run_log(spark: SparkSession, rows: dict[str, int], market: str, run_date: dt
     return spark.createDataFrame(
         [(run_date, run_id, market, m, n) for m, n in rows.items()],
         "run_date date, run_id string, market string, module string, rows bigint")
+
+
+def append_log(entries: DataFrame, path: str) -> None:
+    """Append entries to the run log, laid out by date."""
+    entries.write.mode("append").partitionBy("run_date").parquet(path)
+
+
+def runs_of(spark: SparkSession, path: str, run_date: dt.date) -> DataFrame:
+    """Entries of the runs of a date; other dates are not read."""
+    return spark.read.parquet(path).where(F.col("run_date") == F.lit(run_date)).select("run_date", "run_id", "market", "module", "rows")

@@ -111,7 +111,7 @@ def macro_composite(macro: DataFrame, roles: dict[str, str], cpi: DataFrame | No
     DGS3MO, DGS30 and DFF; ``cpi`` has (observation_date, value)."""
     df = align_series(macro, roles, "DGS10")
     if cpi is not None:
-        level = cpi.select("observation_date", F.col("value").alias("CPI"))
+        level = cpi.groupBy("observation_date").agg(F.max("value").alias("CPI"))
         df = df.join(F.broadcast(level), "observation_date", "left")  # one row per date
     have = set(df.columns)
     day = Window.orderBy("observation_date")
@@ -142,9 +142,10 @@ def composite_long(composite: DataFrame, run_id: str) -> DataFrame:
 # -- as-of fill --------------------------------------------------------------------------------------------------------
 
 def fill_on_calendar(calendar: DataFrame, series: DataFrame, value: str) -> DataFrame:
-    """Value on each calendar date; gaps take the last value that fell on a calendar date."""
+    """Value on each calendar date, the largest of several; gaps take the last value that fell on a calendar date."""
+    once = series.groupBy("date").agg(F.max(value).alias(value))  # one row per date, so its broadcast is bounded
     run = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    joined = calendar.select("date").join(F.broadcast(series.select("date", value)), "date", "left")
+    joined = calendar.select("date").join(F.broadcast(once), "date", "left")
     return joined.select("date", F.last(value, ignorenulls=True).over(run).alias(value))
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import analytics as an
 from tidemark.operators import market as mk
 from tidemark.operators import prep
 from tidemark.operators import upsert as up
-from tidemark.operators.batch import run_analytics, run_log, stored_modules
+from tidemark.operators.batch import append_log, run_analytics, run_log, runs_of, stored_modules
 from tidemark.plans.registry import query, rounded
 from tidemark.plans.sql import FRIDAY, block, changed, modules, r, rolled, statement
 from tidemark.schemas import HISTORY_COLUMNS, PRICE_COLUMNS
@@ -526,7 +527,10 @@ def _melt(spark, sf_dir):
 def _summary(spark, sf_dir):
     root = new_path(spark, "analytics")
     rows = run_analytics(src.stored(src.bars(spark, sf_dir)), "US_EQ", root, ["returns", "momentum"])
-    return up.run_summary(run_log(spark, {**rows, "risk": -1}, "US_EQ", AS_OF, "run-1"))
+    log = new_path(spark, "run-log")
+    append_log(run_log(spark, rows, "US_EQ", AS_OF - dt.timedelta(1), "run-0"), log)
+    append_log(run_log(spark, {**rows, "risk": -1}, "US_EQ", AS_OF, "run-1"), log)
+    return up.run_summary(runs_of(spark, log, AS_OF))
 
 
 # -- set operations ----------------------------------------------------------------------------------------------------------
@@ -561,11 +565,16 @@ def _symbols(spark, sf_dir):
 
 
 @query("t06_ordered_output", statement(f"""SELECT ticker, date, {r('close')},
-  count(*) OVER (PARTITION BY ticker) AS bars FROM bars""", "bars"))
+  count(*) OVER (PARTITION BY ticker) AS bars, true AS in_order FROM bars""", "bars"))
 def _ordered(spark, sf_dir):
     path = new_path(spark, "ordered")
     bars = src.bars(spark, sf_dir)
     sinks.write_market(bars, path)
     stored = prices.scan_prices(spark, path)
-    counts = stored.groupBy("ticker").agg(F.count(F.lit(1)).alias("bars"))
+    # The order in which the rows lie in each block of each file.
+    lying = spark.read.parquet(path).select("ticker", "date", F.col("_metadata.file_path").alias("file"),
+                                            F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
+    before = F.lag("date").over(Window.partitionBy("file", "at", "ticker").orderBy("row"))
+    ordered = lying.withColumn("ok", F.coalesce(before <= F.col("date"), F.lit(True))).groupBy("ticker").agg(F.every("ok").alias("in_order"))
+    counts = stored.groupBy("ticker").agg(F.count(F.lit(1)).alias("bars")).join(ordered, "ticker")
     return rounded(stored.select("ticker", "date", "close").join(counts, "ticker"))
