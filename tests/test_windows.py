@@ -167,9 +167,9 @@ def test_ranks_with_ties_and_nulls(spark):
     df = spark.createDataFrame([(str(i), DAY, v) for i, v in enumerate(values)], "ticker string, date date, mom double")
     got = {r["ticker"]: r["rank_universe"] for r in an.rank_universe(df, "mom").collect()}
     assert [got[str(i)] for i in range(9)] == [2, 2, 8, 7, 4, 4, 1, 8, 6]
-    pct = {r["ticker"]: r["p"] for r in an.percentile_rank(df, "mom", "p").collect()}
+    pct = {r["ticker"]: r["p"] for r in an.percentile_ranks(df, {"mom": "p"}).collect()}
     assert pct["2"] is None and same(pct["0"], 5.5 / 7 * 100) and same(pct["3"], 1 / 7 * 100)
-    assert ranks_within(df, "date", "mom", True).count() == 5
+    assert ranks_within(df, ["date"], "mom", True).count() == 5
 
 
 def test_rolling_mean_crosses_blocks(spark):
@@ -206,7 +206,7 @@ def test_quantiles_of_groups_of_any_size(spark):
 def test_ranks_hold_infinite_values(spark):
     inf = float("inf")
     df = spark.createDataFrame([("d", v) for v in (-inf, -1.0, 0.0, 0.0, 1e-300, 5.0, inf)], "date string, v double")
-    got = {r["v"]: (r["below"], r["ties"], r["total"]) for r in ranks_within(df, "date", "v", False).collect()}
+    got = {r["v"]: (r["below"], r["ties"], r["total"]) for r in ranks_within(df, ["date"], "v", False).collect()}
     assert got == {-inf: (0, 1, 7), -1.0: (1, 1, 7), 0.0: (2, 2, 7), 1e-300: (4, 1, 7), 5.0: (5, 1, 7), inf: (6, 1, 7)}
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows as win
 from tidemark.operators.ordering import ranks_within
+from tidemark.sources.tables import stored
 
 TRADING_DAYS = 252
 ANNUAL = math.sqrt(TRADING_DAYS)
@@ -152,7 +153,7 @@ def momentum(prices: DataFrame, market: str, bench_ticker: str | None = None) ->
 
 def rank_universe(df: DataFrame, value: str) -> DataFrame:
     """Rank per date, best first; ties share the smallest rank and nulls share the place after the last value."""
-    ranks = ranks_within(df, "date", value, descending=True)
+    ranks = ranks_within(df, ["date"], value, descending=True)
     totals = df.groupBy("date").agg(F.count(value).alias("_valued"))
     return (
         df.join(ranks.select("date", value, "below"), ["date", value], "left")
@@ -164,11 +165,19 @@ def rank_universe(df: DataFrame, value: str) -> DataFrame:
 
 # -- zscore -----------------------------------------------------------------------------------------------------------------
 
-def percentile_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Percentile rank per date, 0 to 100, ties averaged, nulls left out of the count."""
-    ranks = ranks_within(df, "date", value, descending=False)
+def percentile_ranks(df: DataFrame, values: dict[str, str]) -> DataFrame:
+    """Percentile ranks per date, 0 to 100, ties averaged, nulls left out of the count, of all columns in one pass.
+
+    The rows are written once and read by the ranking and by the join that brings the ranks back.
+    """
+    rows = stored(df, "signals")
+    entries = F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).alias("value")) for v in values])
+    long = rows.select("date", "ticker", F.explode(entries).alias("e")).select("date", "ticker", "e.*").where("value IS NOT NULL")
+    ranks = ranks_within(long, ["date", "metric"], "value", descending=False)
     place = (F.col("below") + 1 + (F.col("ties") - 1) / 2) / F.col("total") * 100
-    return df.join(ranks.select("date", value, place.alias(out)), ["date", value], "left")
+    placed = long.join(ranks.select("date", "metric", "value", place.alias("place")), ["date", "metric", "value"])
+    wide = placed.groupBy("date", "ticker").agg(*[F.max(F.when(F.col("metric") == v, F.col("place"))).alias(out) for v, out in values.items()])
+    return rows.join(wide, ["date", "ticker"], "left")
 
 
 def cross_section_zscores(df: DataFrame, values: dict[str, str]) -> DataFrame:
@@ -210,8 +219,7 @@ def zscore(prices: DataFrame, market: str) -> DataFrame:
         calendar_signals(prices),
         {"cs_ret": "z_cs_ret_1d", "cs_gap": "z_cs_price_vs_ma20", "cs_volume": "z_cs_volume"},
     )
-    cross = percentile_rank(cross, "cs_ret", "pct_ret_1d")
-    cross = percentile_rank(cross, "cs_mom", "pct_mom_3m")
+    cross = percentile_ranks(cross, {"cs_ret": "pct_ret_1d", "cs_mom": "pct_mom_3m"})
     df = zscore_series(prices).join(cross, ["ticker", "date"], "left")
     return df.select(
         "ticker", F.lit(market).alias("market"), "date", "z_price_21d", "z_price_63d", "z_volume_21d", "z_ret_21d",

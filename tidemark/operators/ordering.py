@@ -17,30 +17,30 @@ BUCKETS = 128  # value buckets of a group, bounded by its own approximate quanti
 ACCURACY = 100_000  # the approximate ranks of a group are off by at most 1 / ACCURACY of it
 
 
-def ranks_within(df: DataFrame, by: str, value: str, descending: bool) -> DataFrame:
+def ranks_within(df: DataFrame, by: list[str], value: str, descending: bool) -> DataFrame:
     """For every distinct non-null (by, value): ``below`` rows ranked strictly before it, ``ties`` rows equal to it
     and ``total`` non-null rows of the group.
 
     Distinct values are cut at the group's own quantiles, so buckets hold about as many each however the values cluster,
     infinite ones included.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("ties"))
-    cuts = counts.groupBy(by).agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS).alias("_cuts"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS).alias("_cuts"))
     bucket = F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
     counts = counts.join(cuts, by).withColumn("_bucket", bucket).drop("_cuts")
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    sizes = counts.groupBy(by, "_bucket").agg(F.sum("ties").alias("_rows"))
-    before = Window.partitionBy(by).orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = counts.groupBy(*by, "_bucket").agg(F.sum("ties").alias("_rows"))
+    before = Window.partitionBy(*by).orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
-        by, "_bucket",
+        *by, "_bucket",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
-        F.sum("_rows").over(Window.partitionBy(by)).alias("total"),
+        F.sum("_rows").over(Window.partitionBy(*by)).alias("total"),
     )
-    inside = Window.partitionBy(by, "_bucket").orderBy(direction(value)).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "_bucket").orderBy(direction(value)).rowsBetween(Window.unboundedPreceding, -1)
     return (
         counts.withColumn("_inside", F.coalesce(F.sum("ties").over(inside), F.lit(0)))
-        .join(starts, [by, "_bucket"])
-        .select(by, value, (F.col("_start") + F.col("_inside")).alias("below"), "ties", "total")
+        .join(starts, [*by, "_bucket"])
+        .select(*by, value, (F.col("_start") + F.col("_inside")).alias("below"), "ties", "total")
     )
 
 
