@@ -48,7 +48,7 @@ def ascii_lower(text: Column) -> Column:
 def training_share(rows: int, wanted: int) -> Column:
     """Keep about ``wanted`` of ``rows`` rows, chosen by the hash of doc_id, the same on every run."""
     bound = ALL_ROWS if rows <= wanted else int(ALL_ROWS * (wanted / rows))
-    return F.abs(F.xxhash64(F.lit("fit"), F.col("doc_id"))) <= F.lit(bound)
+    return F.xxhash64(F.lit("fit"), F.col("doc_id")).bitwiseAND(F.lit(ALL_ROWS)) <= F.lit(bound)
 
 
 def fold(doc_id: Column) -> Column:
