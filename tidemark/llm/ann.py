@@ -18,8 +18,8 @@ from tidemark.sources.tables import stored
 CENTROIDS = 64  # per half: 4,096 cells
 FIT_ROWS = 10_000  # vectors that the centroids are fitted on
 CALIBRATION = 96  # queries compared with all rows to set how far queries walk
-BLOCK = 2_048  # vectors compared at once
-QUERY_BLOCK = 4_096
+BLOCK = 16_384  # vectors that queries are compared with at once: every block answers each of its queries
+QUERY_BLOCK = 1_024
 
 
 @dataclass
