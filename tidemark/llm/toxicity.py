@@ -29,7 +29,10 @@ class Lexicon:
 
 
 def edits(term: str, stem: bool) -> int:
-    """Edits that a term may be away: none for short terms and stems, whose neighbourhoods are full of other words."""
+    """Edits that a term may be away: none for short terms and stems, whose neighbourhoods are full of other words.
+
+    Terms under a stem stand in the lexicon beside it, so that a short stem takes nothing from their own edits.
+    """
     if stem:
         return 1 if len(term) >= 8 else 0
     return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
@@ -40,12 +43,14 @@ class Automaton:
     """Trie of the lexicon times the Levenshtein automata of its terms, made deterministic as tokens ask for states.
 
     A state is the set of (trie node, edits spent) that spelled the token so far, without those that another one covers.
+    The end of a stem also leads to a node of its own, its tail, where any letters may follow; terms go on from the end.
     """
 
     lexicon: Lexicon
     children: list[dict[str, int]] = field(default_factory=lambda: [{}])
     ends: list[tuple[str, bool] | None] = field(default_factory=lambda: [None])
     budget: list[int] = field(default_factory=lambda: [0])
+    tails: dict[int, int] = field(default_factory=dict)
     steps: dict[tuple[frozenset, str], frozenset] = field(default_factory=dict)
     found: dict[str, tuple[str, int, bool]] = field(default_factory=dict)
     clean: set[str] = field(default_factory=set)  # tokens known not to match
@@ -56,21 +61,30 @@ class Automaton:
                 node = 0
                 for c in term:
                     if c not in self.children[node]:
-                        self.children[node][c] = len(self.children)
-                        self.children.append({})
-                        self.ends.append(None)
-                        self.budget.append(0)
+                        self.children[node][c] = self._new()
                     self.budget[node] = max(self.budget[node], edits(term, stem))
                     node = self.children[node][c]
                 self.budget[node] = max(self.budget[node], edits(term, stem))
-                self.ends[node] = self.ends[node] or (term, stem)
+                if stem:
+                    self.tails[node] = node = self._new()
+                    self.budget[node] = edits(term, stem)
+                self.ends[node] = (term, stem)
         self.start = self._closed({0: 0})
 
+    def _new(self) -> int:
+        self.children.append({})
+        self.ends.append(None)
+        self.budget.append(0)
+        return len(self.children) - 1
+
     def _closed(self, reached: dict[int, int]) -> frozenset:
-        """Letters of a term that the token leaves out cost one edit each."""
+        """Letters of a term that the token leaves out cost one edit each; the tail of a stem costs nothing."""
         todo = list(reached.items())
         while todo:
             node, e = todo.pop()
+            tail = self.tails.get(node)
+            if tail is not None and e <= self.budget[tail] and e < reached.get(tail, 9):
+                reached[tail] = e
             for child in self.children[node].values():
                 if e < self.budget[child] and e + 1 < reached.get(child, 9):
                     reached[child] = e + 1
@@ -83,7 +97,7 @@ class Automaton:
             out: dict[int, int] = {}
             for node, e in state:
                 end = self.ends[node]
-                moves = [(node, e)] if end and end[1] else []  # past the end of a stem anything may follow
+                moves = [(node, e)] if end and end[1] else []  # in a tail
                 moves += [(n, e + (x != c)) for x, n in self.children[node].items()]  # the letter, or another one for it
                 moves.append((node, e + 1))  # one letter too many
                 for n, cost in moves:
@@ -93,7 +107,10 @@ class Automaton:
         return self.steps[key]
 
     def match(self, token: str) -> tuple[str, int, bool] | None:
-        """(term, edits, is stem) of the nearest term, or None; a token with digits or signs is tried as letters too."""
+        """(term, edits, is stem) of the nearest term, a word before a stem, or None.
+
+        A token with digits or signs is tried as letters too.
+        """
         if token in self.clean:
             return None
         if token not in self.found:
@@ -116,24 +133,24 @@ class Automaton:
             state = self.step(state, c)
             if not state:
                 return None
-        best = min(((e, self.ends[n]) for n, e in state if self.ends[n] and e <= edits(*self.ends[n])), default=None)
-        return (best[1][0], best[0], best[1][1]) if best else None
+        best = min(((e, *self.ends[n][::-1]) for n, e in state if self.ends[n] and e <= edits(*self.ends[n])), default=None)
+        return (best[2], best[0], best[1]) if best else None
 
 
 FEATURES = ("terms", "misspelled", "quoted", "share", "weight")
 
 
 def quoted_spans(text: str) -> list[tuple[int, int]]:
-    """Stretches between quotation marks of one line, at most 400 characters long."""
+    """Stretches between quotation marks of one line, of any length."""
     out = []
     for a, b in QUOTES.items():
         if a in text:
-            out += [m.span() for m in re.finditer(f"{re.escape(a)}[^{re.escape(a + b)}\n]{{1,400}}{re.escape(b)}", text)]
+            out += [m.span() for m in re.finditer(f"{re.escape(a)}[^{re.escape(a + b)}\n]+{re.escape(b)}", text)]
     return sorted(out)
 
 
-def findings(text: str, automaton: Automaton) -> Iterator[tuple[int, int, str, int, bool]]:
-    """(start, stop, term, edits, quoted) of every term, misspelled ones included, in the whole text."""
+def findings(text: str, automaton: Automaton) -> Iterator[tuple[int, int, str, int, bool, bool]]:
+    """(start, stop, term, edits, quoted, is stem) of every term, misspelled ones included, in the whole text."""
     lowered = text.lower()
     if len(lowered) != len(text):
         lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -150,21 +167,21 @@ def findings(text: str, automaton: Automaton) -> Iterator[tuple[int, int, str, i
             at += 1
         inside = at < len(quotes) and quotes[at][0] < m.start()
         told = not REPORTING.isdisjoint(TOKEN.findall(lowered, max(0, m.start() - CONTEXT), m.start()))
-        yield m.start(), m.end(), hit[0], hit[1], inside or told
+        yield m.start(), m.end(), hit[0], hit[1], inside or told, hit[2]
 
 
 def features(text: str, automaton: Automaton) -> list[float]:
     plain = wrong = quoted = 0
     weight = 0.0
     odds = automaton.lexicon
-    for _, _, term, e, told in findings(text, automaton):
+    for _, _, term, e, told, stem in findings(text, automaton):
         if told:
             quoted += 1
         elif e:
             wrong += 1
         else:
             plain += 1
-            weight = max(weight, odds.words.get(term, odds.stems.get(term, 0.0)))
+            weight = max(weight, (odds.stems if stem else odds.words)[term])
     share = 100 * (plain + wrong) / (1 + len(text) / 6)
     return [np.log1p(plain), np.log1p(wrong), np.log1p(quoted), np.log1p(share), weight / 4]
 
@@ -182,8 +199,8 @@ def learn_lexicon(sample: DataFrame, min_docs: int = 5, odds: float = 3.0, size:
     """Words and stems much likelier in toxic documents, from (doc_id, text, toxic).
 
     A word qualifies by its smoothed log odds over documents. A prefix of 4 to 10 letters with at least four words, none
-    of them a qualified word, is a stem; it is taken as long as it holds nearly all of what its shorter form holds. At
-    most ``size`` of each, the most telling first.
+    of them a qualified word, is a stem; it is taken as long as it holds nearly all of what its shorter form holds. Words
+    stay beside their stems. At most ``size`` of each, the most telling first.
     """
     tokens = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+", -1))
     words = stored(
@@ -213,8 +230,7 @@ def learn_lexicon(sample: DataFrame, min_docs: int = 5, odds: float = 3.0, size:
                 break
             best = max(longer, key=lambda w: held[w][0])
         chosen[best] = float(held[best][1])
-    exact = {r["w"]: float(r["s"]) for r in found if not any(r["w"].startswith(s) for s in chosen)}
-    return Lexicon(exact, chosen)
+    return Lexicon({r["w"]: float(r["s"]) for r in found}, chosen)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, seed_weight: float = 1.0) -> ToxicityModel:
