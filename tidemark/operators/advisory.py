@@ -92,6 +92,16 @@ def predict_risk(model, investors: DataFrame) -> DataFrame:
     )
 
 
+def cross_fitted(labelled: DataFrame, key: str, folds: int = 5, **params) -> DataFrame:
+    """Every row as ``predict_risk`` gives it, scored by a forest that learned from the other folds (key modulo folds)."""
+    fold = F.coalesce(F.pmod(F.col(key), F.lit(folds)), F.lit(0))
+    scored = None
+    for k in range(folds):
+        part = predict_risk(risk_classifier(**params).fit(labelled.where(fold != k)), labelled.where(fold == k))
+        scored = part if scored is None else scored.unionAll(part)
+    return scored
+
+
 def recommend_funds(df: DataFrame, score: str, funds: list[tuple] = FUNDS) -> DataFrame:
     """One row per fitting fund; a score outside every range gets the fund with the nearest range end.
 
