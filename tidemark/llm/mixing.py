@@ -54,7 +54,8 @@ def rates(by_size: DataFrame, goals: DataFrame, rounds: int = 40, tolerance: flo
     Among all rates these stay closest to 1 in relative entropy while each source's words come to its target and its
     documents to the same share, which keeps long and short documents in proportion. (a, b) solve the convex dual by Newton
     steps; a step is one aggregation of the (source, size, n) table into three sums a source. Steps are halved in length
-    where they would leave (-4, 4), so that no exponential runs away.
+    where they would leave (-4, 4), so that no exponential runs away. Size deviations of a whole source sum to 0, so the
+    solution is b = 0 and a = log(target / source_size): one plain rate a source.
     """
     live = goals.where((F.col("target") > 0) & (F.col("source_size") > 0)).withColumn("key", _key())
     ratio, mean = F.col("target") / F.col("source_size"), F.col("source_size") / F.col("docs")
