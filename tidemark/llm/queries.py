@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, language, secrets, simhash, warc
+from tidemark.llm import ann, centroids, language, phrases, pieces, secrets, simhash, warc
 from tidemark.llm import toxicity as tox
 from tidemark.llm.common import fold
 from tidemark.llm.decontaminate import decontaminate
@@ -136,6 +136,78 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed="3")
+
+
+def _op11_sql(k: int = 8, rounds: int = 10) -> str:
+    """One assignment and one move a round, written out."""
+    floor_mean = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+    steps = [f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS INT) AS c, v FROM kept QUALIFY c < {k}),
+parts AS MATERIALIZED (SELECT id, unnest(range(1, 65)) AS i, unnest(v) AS x FROM kept)"""]
+    assigned = """
+a{t} AS MATERIALIZED (
+  SELECT id, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT id, c, CAST(list_sum(list_transform(list_zip(kept.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+        FROM kept, c{t} AS m) GROUP BY id)"""
+    for t in range(rounds):
+        steps.append(assigned.format(t=t))
+        steps.append(f"""
+c{t + 1} AS MATERIALIZED (
+  SELECT c, coalesce(new.v, old.v) AS v FROM c{t} AS old LEFT JOIN (
+    SELECT c, list({floor_mean} ORDER BY i) AS v
+    FROM (SELECT c, i, sum(x) AS s, count(*) AS n FROM a{t} JOIN parts USING (id) GROUP BY c, i) GROUP BY c) AS new USING (c))""")
+    steps.append(assigned.format(t=rounds))
+    return ",".join(steps) + f"""
+SELECT vec_id, c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (id) JOIN c{rounds} AS m USING (c)"""
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, share=50, top=2000)
+
+
+OP12_SQL = f"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), {UP_LOW}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+grams AS (
+  SELECT lang, m, w[s:s + m - 1] AS p FROM (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS s FROM pieces, (VALUES (1), (2), (3)) AS lengths(m))),
+f AS MATERIALIZED (SELECT lang, m, p, count(*) AS a FROM grams GROUP BY ALL HAVING m = 1 OR count(*) >= 10),
+totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.m, c.p, c.a, k, l.a AS l, r.a AS r, CAST((CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1) AS c
+  JOIN f AS l ON l.lang = c.lang AND l.p = c.p[1:c.k] JOIN f AS r ON r.lang = c.lang AND r.p = c.p[c.k + 1:c.m]),
+covered AS (
+  SELECT DISTINCT c.lang, c.p FROM f AS c JOIN (
+    SELECT lang, a, unnest([p[1:2], p[2:3]]) AS part FROM f WHERE m = 3) AS t
+  ON t.lang = c.lang AND t.part = c.p AND 100 * t.a >= 50 * c.a),
+best AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, any_value(a) AS a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score) AS score
+  FROM cuts ANTI JOIN covered USING (lang, p) GROUP BY lang, p)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS INT) AS rank, phrase, a, l, r, n, score
+FROM best JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                      F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_language": op2_language,
@@ -147,5 +219,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_personal_data": op10_personal_data,
+    "op11_centroids": op11_centroids,
+    "op12_phrases": op12_phrases,
+    "op13_pieces": op13_pieces,
 }
-ORACLE = {"op5_line_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL}
+ORACLE = {"op5_line_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL, "op11_centroids": _op11_sql(), "op12_phrases": OP12_SQL}
