@@ -9,6 +9,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import SF
 from tidemark.llm import pieces, queries
@@ -62,13 +63,27 @@ def test_odd_rows_and_empty_tables(spark, odd, none):
     assert pieces.encode(none, MODEL).collect() == []
 
 
-def test_each_word_is_segmented_once(spark, monkeypatch):
+def test_each_word_is_segmented_once(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(pieces, "BLOCK", 200)
-    df = spark.createDataFrame([(i, f"some words that all rows have {i % 3}") for i in range(300)], "doc_id long, text string").repartition(6)
-    blocks = pieces._split(df.select("text", "doc_id"), 4).where("bucket >= 0")
-    lists = [pieces._unpack(r["body"]) for r in blocks.collect()]
-    assert sum(len(x[1]) // 4 for x in lists) <= blocks.select("block").distinct().count() * 9  # distinct words of a block
-    assert len({(r["bucket"]) for r in blocks.collect()}) <= 4
+    path = str(tmp_path / "rows")
+    spark.createDataFrame([(i, f"some words that all rows have {i % 3}") for i in range(300)], "doc_id long, text string").repartition(6).write.parquet(path)
+    rows = spark.read.parquet(path)
+    words = pieces._split(rows.select("text", "doc_id"), 4, words=True)
+    counts = [len(pieces._unpack(r["body"])[0]) for r in words.collect()]
+    assert sum(counts) <= words.select("block").distinct().count() * 9  # distinct words of a block
+    assert {r["bucket"] for r in words.collect()} <= set(range(4))
+    places = pieces._split(rows.select("text", "doc_id"), 4, words=False)
+    assert {r["block"] for r in places.collect()} == {r["block"] for r in words.collect()}
+    assert got(pieces.encode(rows, MODEL, repeatable=True)) == whole([tuple(r) for r in rows.collect()])
+
+
+def test_rows_in_another_order_are_noticed(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "BLOCK", 200)
+    df = spark.createDataFrame([(i, f"row {i} of many") for i in range(200)], "doc_id long, text string").repartition(2)
+    split = pieces._split
+    monkeypatch.setattr(pieces, "_split", lambda rows, n, words: split(rows if words else rows.orderBy(F.desc("doc_id")), n, words))
+    with pytest.raises(Exception, match="another order"):
+        pieces.encode(df, MODEL, repeatable=True).collect()
 
 
 def test_a_model_whose_pieces_cross_markers_is_refused(monkeypatch):

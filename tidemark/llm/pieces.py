@@ -21,6 +21,7 @@ MARK = "▁"  # what the library makes of a space
 BLOCK = 8 << 20  # bytes of text whose words travel together
 BUCKET = 32 << 20  # bytes of text per bucket of words
 BUCKETS = 64  # at least
+DIFFERS = "the rows came in another order when they were read again; call with repeatable=False"
 
 
 def processor(model: str):
@@ -51,6 +52,15 @@ def _unpack(packed: bytes) -> list[bytes]:
     return [body[a:b] for a, b in zip([8 + 8 * n, *ends[:-1].tolist()], ends.tolist())]
 
 
+def _planes(a: np.ndarray) -> list[np.ndarray]:
+    """Numbers below 2^32 as their four bytes apart: bytes of one kind compress better."""
+    return [((a >> shift) & 255).astype(np.uint8) for shift in (0, 8, 16, 24)]
+
+
+def _whole(planes: list[bytes]) -> np.ndarray:
+    return sum(np.frombuffer(p, np.uint8).astype(np.int64) << (8 * i) for i, p in enumerate(planes))
+
+
 def marked_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The marked words of all texts without their first marker, and how many each text has.
 
@@ -94,38 +104,43 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _split(rows: DataFrame, buckets: int) -> DataFrame:
-    """(block, bucket, body) of each block of rows: its places (bucket -1), and its distinct words by bucket of their hash."""
+def _split(rows: DataFrame, buckets: int, words: bool) -> DataFrame:
+    """(block, bucket, body) of each block of rows: its distinct words by bucket of their hash, or else its places (bucket -1).
+
+    A block is named by its task, its number there and its content.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        first = TaskContext.get().partitionId() << 33
+        task = TaskContext.get().partitionId()
         for number, batch in enumerate(_blocks(batches)):
-            texts = batch.column("text")
-            words, per_row = marked_words(texts)
-            coded = words.dictionary_encode()
+            found, per_row = marked_words(batch.column("text"))
+            name = xxhash.xxh3_64_intdigest(found.buffers()[2], xxhash.xxh3_64_intdigest(f"{task}:{number}"))
+            name = name - (1 << 64) if name >> 63 else name
+            coded = found.dictionary_encode()
             place, known = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
             often = np.argsort(-np.bincount(place, minlength=len(known)), kind="stable")  # frequent words get small numbers
-            rank = np.empty(len(known), np.uint32)
-            rank[often] = np.arange(len(known), dtype=np.uint32)
-            place, known = rank[place], known.take(pa.array(often)).to_pylist()
+            known = known.take(pa.array(often)).to_pylist()
             of = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in known), np.int64, len(known))
-            sink = pa.BufferOutputStream()
-            others = batch.drop_columns(["text"])
-            with pa.ipc.new_stream(sink, others.schema) as writer:
-                writer.write_batch(others)
-            planes = [((place >> shift) & 255).astype(np.uint8) for shift in (0, 8, 16, 24)]  # bytes of a kind compress better
-            body = [_pack(sink.getvalue().to_pybytes(), per_row.astype(np.int64), *planes)]
-            names, order = [-1], np.argsort(of, kind="stable")
-            cuts = np.flatnonzero(np.diff(of[order])) + 1
-            for some in np.split(order, cuts) if len(order) else []:
-                mine = [known[i] for i in some.tolist()]
-                names.append(int(of[some[0]]))
-                body.append(_pack(np.diff(some, prepend=0).astype(np.uint32), np.array([len(w) for w in mine], np.uint32), b"".join(mine)))
+            if words:
+                order = np.argsort(of, kind="stable")
+                parts = np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else []
+                names, bodies = [int(of[some[0]]) for some in parts], []
+                for some in parts:
+                    mine = [known[i] for i in some.tolist()]
+                    bodies.append(_pack(*_planes(np.array([len(w) for w in mine])), b"".join(mine)))
+            else:
+                rank = np.empty(len(known), np.int64)
+                rank[often] = np.arange(len(known))
+                sink = pa.BufferOutputStream()
+                others = batch.drop_columns(["text"])
+                with pa.ipc.new_stream(sink, others.schema) as writer:
+                    writer.write_batch(others)
+                names, bodies = [-1], [_pack(sink.getvalue().to_pybytes(), *_planes(per_row), *_planes(of), *_planes(rank[place]))]
             for a in range(0, len(names), 32):
                 n = len(names[a:a + 32])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([first + number] * n, pa.int64()), pa.array(names[a:a + 32], pa.int32()), pa.array(body[a:a + 32], pa.binary())],
+                    [pa.array([name] * n, pa.int64()), pa.array(names[a:a + 32], pa.int32()), pa.array(bodies[a:a + 32], pa.binary())],
                     ["block", "bucket", "body"])
 
     return rows.mapInArrow(work, "block long, bucket int, body binary")
@@ -140,25 +155,25 @@ def _segmented(words: DataFrame, model: str) -> DataFrame:
             for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("body").to_pylist()):
                 if bucket != now:
                     now, table = bucket, {b"": [sp.piece_to_id(MARK)]}  # a marker alone
-                local, lengths, data = _unpack(body)
-                ends = np.cumsum(np.frombuffer(lengths, np.uint32)).tolist()
+                *lengths, data = _unpack(body)
+                ends = np.cumsum(_whole(lengths)).tolist()
                 mine = [data[a:b] for a, b in zip([0, *ends], ends)]
                 new = [w for w in mine if w not in table]
                 table.update(zip(new, sp.encode([w.decode("utf-8") for w in new], num_threads=1)))
                 ids = [table[w] for w in mine]
-                out.append(_pack(local, np.fromiter(map(len, ids), np.uint32, len(ids)),
-                                 np.fromiter(itertools.chain.from_iterable(ids), np.int32)))
+                out.append(_pack(*_planes(np.fromiter(map(len, ids), np.int64, len(ids))),
+                                 *_planes(np.fromiter(itertools.chain.from_iterable(ids), np.int64))))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], ["block", "bucket", "body"])
 
     together = words.repartition("bucket").sortWithinPartitions("bucket")
     return together.mapInArrow(work, "block long, bucket int, body binary")
 
 
-def _joined(parts: list[list[bytes]], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words in the order of their places, and the number of ids of each place."""
-    local = np.concatenate([np.cumsum(np.frombuffer(p[0], np.uint32).astype(np.int64)) for p in parts])
-    lengths = np.concatenate([np.frombuffer(p[1], np.uint32) for p in parts]).astype(np.int64)
-    ids = np.concatenate([np.frombuffer(p[2], np.int32) for p in parts])
+def _joined(parts: list[list[bytes]], of: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words in the order of their places, and the number of ids of each place; ``of`` are the words' buckets."""
+    lengths = np.concatenate([_whole(p[:4]) for p in parts])
+    ids = np.concatenate([_whole(p[4:]) for p in parts]).astype(np.int32)
+    local = np.argsort(of, kind="stable")  # the order in which the parts have the words
     start, size = np.empty(len(local), np.int64), np.empty(len(local), np.int64)
     start[local], size[local] = np.cumsum(lengths) - lengths, lengths
     each = size[place]
@@ -166,20 +181,26 @@ def _joined(parts: list[list[bytes]], place: np.ndarray) -> tuple[np.ndarray, np
     return ids[np.repeat(start[place] - (ends - each), each) + np.arange(ends[-1])], each
 
 
-def encode(docs: DataFrame, model: str, carry: tuple[str, ...] = ()) -> DataFrame:
+def encode(docs: DataFrame, model: str, carry: tuple[str, ...] = (), repeatable: bool = False) -> DataFrame:
     """(doc_id, carried columns, ids, decoded): what the library's encode makes of every whole text, and its decode of that.
 
     A null or empty text has no ids. Repeated rows and null ids are rows like any other. Texts of any length: one is split
     at its markers only, and a text longer than a block travels alone. Each task turns blocks of rows into places and
     distinct words; the words of all blocks meet by hash, are segmented once, and go back to their blocks, which are then
     put together by place. Every word of a block is one entry, however often it stands there.
+
+    The rows are read once for their words and once for their places, which spares writing either. So they must come in the
+    same order both times, as those of a table do: say so with ``repeatable``, else they are written first. Blocks whose
+    words do not return, because they came in another order after all, raise.
     """
     processor(model)  # fails early where words cannot be segmented apart
     names = ["doc_id", *[c for c in carry if c not in ("doc_id", "text")]]
     rows = pick(docs, "text", *names).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    if not repeatable:
+        rows = stored(rows, "texts")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = stored(_split(rows, max(BUCKETS, size // BUCKET)), "blocks")
-    ids = _segmented(blocks.where("bucket >= 0"), model)
+    buckets = max(BUCKETS, size // BUCKET)
+    ids = _segmented(_split(rows, buckets, words=True), model)
     schema = StructType([rows.schema[n] for n in names]
                         + [StructField(f.name, f.dataType) for f in StructType.fromDDL("ids array<int>, decoded string")])
     arrow = to_arrow_schema(schema)
@@ -188,10 +209,11 @@ def encode(docs: DataFrame, model: str, carry: tuple[str, ...] = ()) -> DataFram
         sp, head, parts, now = processor(model), None, [], None
 
         def whole() -> Iterator[pa.RecordBatch]:
-            others, per_row, *planes = _unpack(head)
-            place = sum(np.frombuffer(p, np.uint8).astype(np.int64) << (8 * i) for i, p in enumerate(planes))
-            per_row = np.frombuffer(per_row, np.int64)
-            ids, each = _joined(parts, place) if len(place) else (np.empty(0, np.int32), np.empty(0, np.int64))
+            others, *planes = _unpack(head)
+            per_row, of, place = (_whole(planes[i:i + 4]) for i in (0, 4, 8))
+            if sum(len(p[0]) for p in parts) != len(of):
+                raise RuntimeError(DIFFERS)
+            ids, each = _joined(parts, of, place) if len(place) else (np.empty(0, np.int32), np.empty(0, np.int64))
             bounds = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(per_row)])].tolist()
             kept = pa.ipc.open_stream(others).read_all().combine_chunks().to_batches()[0]
             for a in range(0, len(per_row), 512):
@@ -207,11 +229,13 @@ def encode(docs: DataFrame, model: str, carry: tuple[str, ...] = ()) -> DataFram
                 if block != now:
                     if now is not None:
                         yield from whole()
+                    if bucket != -1:
+                        raise RuntimeError(DIFFERS)
                     now, head, parts = block, body, []
                 else:
                     parts.append(_unpack(body))
         if now is not None:
             yield from whole()
 
-    by_block = blocks.where("bucket < 0").unionAll(ids).repartition("block").sortWithinPartitions("block", "bucket")
+    by_block = _split(rows, buckets, words=False).unionAll(ids).repartition("block").sortWithinPartitions("block", "bucket")
     return by_block.mapInArrow(work, schema)
