@@ -6,6 +6,7 @@ from tidemark.plans import (  # noqa: F401
     analytics_queries,
     backtest_queries,
     feature_queries,
+    insight_queries,
     market_queries,
     snapshot_queries,
     workbench_queries,
