@@ -353,3 +353,87 @@ def test_features_of_other_symbols_stay(spark, tmp_path):
     sinks.write_features(spark.createDataFrame([(day, "macro", "COMPOSITE", "v1", "x", 2.0), (day, "macro", "a", "v1", "x", 3.0)], schema), path)
     assert sorted(rows(sinks.read_features(spark, path).select("symbol_or_series", F.month("date"), "feature_value"))) == [
         ("COMPOSITE", 1, 2.0), ("a", 1, 3.0), ("a", 2, 4.0), ("b", 1, 1.0)]
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT '== Analyzed Logical Plan ==' AS a, x, y FROM secret_view",
+    "SELECT (SELECT max(x) FROM secret_view) AS a, '== Analyzed Logical Plan ==' FROM data",
+    "SELECT x AS `== Analyzed Logical Plan ==` FROM secret_view",
+    "SELECT * FROM values (1)",
+    "SELECT * FROM data WHERE x IN (SELECT x FROM secret_view)",
+    "SELECT * FROM data d WHERE EXISTS (SELECT 1 FROM secret_view s WHERE s.x = d.x)",
+    "SELECT * FROM (WITH q AS (SELECT * FROM secret_view) SELECT * FROM q)",
+    "SELECT * FROM data, LATERAL (SELECT * FROM secret_view)",
+    "SELECT x FROM data UNION ALL SELECT x FROM `secret_view`",
+    "SELECT * FROM IDENTIFIER('secret_view')",
+    "SELECT * FROM range(5)",
+    "SELECT * FROM parquet.`/tmp/x`",
+    "SELECT * FROM global_temp.data",
+])
+def test_guard_reads_the_parsed_plan(spark, sql):
+    spark.createDataFrame([(1, 2)], "x int, y int").createOrReplaceTempView("secret_view")
+    try:
+        with pytest.raises(ValueError):
+            adhoc.run_sql(spark.createDataFrame([(1, 2)], "x int, y int"), sql)
+    finally:
+        spark.catalog.dropTempView("secret_view")
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT x, sum(y) OVER (PARTITION BY x ORDER BY y) AS s FROM data",
+    "SELECT x, count(*) AS n FROM dataset GROUP BY x HAVING count(*) >= 1 ORDER BY n LIMIT 3",
+    "SELECT DISTINCT d.x FROM data d JOIN (SELECT max(x) AS m FROM tbl) t ON d.x = t.m",
+    "SELECT x, e FROM df LATERAL VIEW explode(array(y)) t AS e",
+    "SELECT x FROM data WHERE y = (SELECT max(y) FROM data) UNION SELECT y FROM `table`",
+])
+def test_guard_lets_queries_of_the_dataset_through(spark, sql):
+    assert adhoc.run_sql(spark.createDataFrame([(1, 2)], "x int, y int"), sql).count() >= 1
+
+
+@pytest.mark.parametrize("columns", [1, 2, 7])
+def test_correlations_in_one_pass(spark, columns):
+    import numpy as np
+    import pandas as pd
+
+    from tidemark.operators.market import pairwise_corr
+
+    rng = np.random.default_rng(columns)
+    x = rng.normal(0, 1, (400, columns)) * 10.0 ** np.arange(columns) + 1e6
+    x[:, -1] += x[:, 0]
+    x[rng.random(x.shape) < 0.2] = np.nan
+    frame = pd.DataFrame(x, columns=[f"c{i}" for i in range(columns)]).assign(const=7.3, empty=np.nan)
+    frame.loc[:3, "const"] = np.nan
+    names = list(frame.columns)
+    df = spark.createDataFrame([[None if v != v else float(v) for v in row] for row in frame.to_numpy().tolist()], ", ".join(f"`{c}` double" for c in names))
+    got = {(r["col1"], r["col2"]): r["corr"] for r in pairwise_corr(df.repartition(5), names).collect()}
+    assert len(got) == len(names) * (len(names) - 1) // 2
+    want = frame.corr()
+    for (a, b), c in got.items():
+        if "const" in (a, b) or "empty" in (a, b):
+            assert c is None
+        else:
+            assert c == pytest.approx(want.loc[a, b], abs=1e-9)
+    assert all(r["corr"] is None for r in pairwise_corr(df.where("false"), names).collect())
+
+
+def test_undated_rows_are_no_duplicates(spark):
+    import datetime as dt
+
+    from tidemark.operators.market import bar_quality, series_quality
+
+    d = dt.date(2024, 1, 1)
+    bars = spark.createDataFrame([("a", x, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0) for x in (d, d, None, None)],
+                                 "symbol string, trade_date date, open double, high double, low double, close double, adj_close double, volume double")
+    assert bar_quality(bars).first()["duplicate_rows"] == 1
+    series = spark.createDataFrame([("a", x, 1.0) for x in (d, d, d, None, None)], "series_id string, observation_date date, value double")
+    assert series_quality(series).first()["duplicate_rows"] == 2
+
+
+def test_top_values_as_json(spark):
+    import json
+
+    df = spark.createDataFrame([(x,) for x in ["b", "a", "a", 'q"uote', None, "b", "c"]], "x string")
+    facts = profile.column_facts(df)
+    got = profile.top_values_json(df, facts, 3).first()["top_values"]
+    assert list(json.loads(got).items()) == [("a", 2), ("b", 2), ("c", 1)]
+    assert profile.top_values_json(df.where("false"), profile.column_facts(df.where("false"))).collect() == []

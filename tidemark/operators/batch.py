@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.analytics import MODULES
-from tidemark.sources.sinks import write_analytics
+from tidemark.sources.sinks import partition_values, write_analytics
 
 logger = logging.getLogger(__name__)
 
@@ -42,6 +42,20 @@ def stored_modules(spark: SparkSession, root: str, modules: list[str] | None = N
     return {m: spark.read.parquet(os.path.join(root, m)) for m in modules or MODULES}
 
 
+def newest_modules(spark: SparkSession, root: str, market: str, modules: list[str] | None = None) -> dict[str, DataFrame]:
+    """The newest month of each stored module, known from the folders' names: a filter on constants, so nothing else is read.
+
+    Modules without a row of the market are left out. The newest date of a module lies in its newest month.
+    """
+    out = {}
+    for m in modules or MODULES:
+        path = os.path.join(root, m)
+        months = partition_values(spark, path, market=market)
+        if months:
+            out[m] = spark.read.parquet(path).where((F.col("market") == market) & (F.col("month") == months[-1]))
+    return out
+
+
 def run_log(spark: SparkSession, rows: dict[str, int], market: str, run_date: dt.date, run_id: str) -> DataFrame:
     """(run_date, run_id, market, module, rows), one row per module, to be appended to the run log."""
     return spark.createDataFrame(

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,26 +86,80 @@ def rebase_100(prices: DataFrame) -> DataFrame:
     return bars.select("ticker", "date", (F.try_divide(F.col("close"), first) * 100).alias("index"))
 
 
+@np.errstate(all="ignore")
+def _gram(x: np.ndarray) -> np.ndarray:
+    """Pairwise counts, means, squared deviations and co-deviations (4, k, k) of the rows of ``x``; NaN is missing.
+
+    Entry (i, j) of the means and squared deviations is that of column i over the rows that have both. Values are centred
+    first, by the first one and by the mean of what it leaves, so a constant column has exactly no deviation.
+    """
+    seen = ~np.isnan(x)
+    first = np.where(seen.any(axis=0), x[seen.argmax(axis=0), np.arange(x.shape[1])], 0.0)
+    x = np.where(seen, x - first, 0.0)
+    shift = x.sum(axis=0) / np.maximum(seen.sum(axis=0), 1)
+    x = np.where(seen, x - shift, 0.0)
+    has = seen.astype(np.float64)
+    n, total = has.T @ has, x.T @ has
+    size = np.maximum(n, 1)
+    return np.stack([n, (first + shift)[:, None] + total / size, (x * x).T @ has - total * total / size, x.T @ x - total * total.T / size])
+
+
+def _merged(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
+    """Two such blocks as one."""
+    if a is None:
+        return b
+    n = a[0] + b[0]
+    size = np.maximum(n, 1)
+    away = np.where((a[0] > 0) & (b[0] > 0), b[1] - a[1], 0.0)
+    weight = a[0] * b[0] / size
+    mean = np.where(a[0] > 0, np.where(b[0] > 0, a[1] + away * b[0] / size, a[1]), b[1])
+    return np.stack([n, mean, a[2] + b[2] + away * away * weight, a[3] + b[3] + away * away.T * weight])
+
+
+def _packed(blocks: Iterable[np.ndarray], group: int) -> Iterator[pa.RecordBatch]:
+    state = None
+    for block in blocks:
+        state = _merged(state, block)
+    if state is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([state.tobytes()], pa.binary())], ["part", "state"])
+
+
+MERGERS = 32  # blocks that reach the driver, at most
+
+
 def pairwise_corr(df: DataFrame, columns: list[str]) -> DataFrame:
     """(col1, col2, corr) for every pair of the given columns, over the rows where both hold a value.
 
-    Each row is repeated once per pair of columns and folded into one running aggregate per pair before any shuffle;
-    that stays compiled code however many columns there are. Null without spread (the built-in one raises).
+    One pass: each task folds its rows into one centred block of k x k numbers by matrix products, blocks merge in groups,
+    and at most ``MERGERS`` of them reach the driver; no row is repeated per pair. Null without spread; NaN where infinite
+    values leave none.
     """
     pairs = list(combinations(range(len(columns)), 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "col1 string, col2 string, corr double")
-    width = len(columns)
-    values = ", ".join(f"CASE WHEN NOT isnan(CAST(`{c}` AS DOUBLE)) THEN CAST(`{c}` AS DOUBLE) END" for c in columns)
-    codes = ", ".join(str(i * width + j) for i, j in pairs)
-    sums = (
-        df.selectExpr(f"array({values}) AS a", f"explode(array({codes})) AS k")
-        .selectExpr("k", f"a[k div {width}] AS x", f"a[k % {width}] AS y")
-        .selectExpr("k", "CASE WHEN y IS NOT NULL THEN x END AS x", "CASE WHEN x IS NOT NULL THEN y END AS y").groupBy("k")
-        .agg(F.expr("try_divide(covar_pop(x, y), stddev_pop(x) * stddev_pop(y))").alias("corr"))
-    )
-    names = "array(" + ", ".join(f"'{c}'" for c in columns) + ")"
-    return sums.selectExpr(f"{names}[k div {width}] AS col1", f"{names}[k % {width}] AS col2", "corr")
+    k = len(columns)
+    values = df.select(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))).alias(f"v{i}") for i, c in enumerate(columns)])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        rows = (np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1) for b in batches)
+        yield from _packed((_gram(x) for x in rows if len(x)), TaskContext.get().partitionId() % MERGERS)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _packed((np.frombuffer(s, np.float64).reshape(4, k, k) for b in batches for s in b.column("state").to_pylist()), 0)
+
+    schema = "part int, state binary"
+    states = values.mapInArrow(fold, schema).repartition(MERGERS, "part").mapInArrow(merge, schema).collect()
+    with np.errstate(all="ignore"):
+        state = None
+        for r in states:
+            state = _merged(state, np.frombuffer(r["state"], np.float64).reshape(4, k, k))
+        out = []
+        for i, j in pairs if state is not None else []:
+            spread = float(np.sqrt(state[2, i, j]) * np.sqrt(state[2, j, i])) if state[0, i, j] else 0.0
+            out.append((columns[i], columns[j], None if spread == 0 else float(state[3, i, j]) / spread))
+    return df.sparkSession.createDataFrame(out, "col1 string, col2 string, corr double")
 
 
 def symmetric(pairs: DataFrame, columns: list[str]) -> DataFrame:
@@ -125,30 +182,30 @@ def corr_matrix(prices: DataFrame, tickers: list[str]) -> DataFrame:
 
 
 def bar_quality(curated: DataFrame) -> DataFrame:
+    """Rows, missing values and dates per symbol. Dated rows that repeat a date are duplicates; undated ones are not."""
     values = [c for c in PRICE_COLUMNS if c != "volume"]
     missing = sum((F.when(F.col(c).isNull(), 1).otherwise(0) for c in values), F.lit(0))
     df = curated.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(missing).alias("_missing"),
-        F.countDistinct("trade_date").alias("_days"),
-        F.count(F.when(F.col("trade_date").isNull(), 1)).alias("_undated"),
+        F.countDistinct("trade_date").alias("_days"), F.count("trade_date").alias("_dated"),
         F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"),
     )
     share = F.col("_missing") / (F.col("rows") * len(values))
-    undated = F.when(F.col("_undated") > 0, 1).otherwise(0)
-    return df.withColumn("duplicate_rows", F.col("rows") - F.col("_days") - undated).select(
+    return df.withColumn("duplicate_rows", F.col("_dated") - F.col("_days")).select(
         "symbol", "rows", F.round(share, 4).alias("missing_pct"), "duplicate_rows", "first_date", "last_date",
         ((share < 0.05) & (F.col("duplicate_rows") == 0)).alias("passed"),
     )
 
 
 def series_quality(macro: DataFrame) -> DataFrame:
+    """The same per series."""
     df = macro.groupBy("series_id").agg(
         F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("value").isNull(), 1)).alias("_missing"),
-        F.countDistinct("observation_date").alias("_days"),
+        F.countDistinct("observation_date").alias("_days"), F.count("observation_date").alias("_dated"),
         F.min("observation_date").alias("first_date"), F.max("observation_date").alias("last_date"),
     )
     share = F.col("_missing") / F.col("rows")
-    return df.withColumn("duplicate_rows", F.col("rows") - F.col("_days")).select(
+    return df.withColumn("duplicate_rows", F.col("_dated") - F.col("_days")).select(
         "series_id", "rows", F.round(share, 4).alias("missing_pct"), "duplicate_rows", "first_date", "last_date",
         ((share < 0.1) & (F.col("duplicate_rows") == 0)).alias("passed"),
     )

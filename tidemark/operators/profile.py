@@ -197,6 +197,13 @@ def top_values(df: DataFrame, facts: Facts, k: int = 10) -> DataFrame:
     return counts.withColumn("place", place).where(F.col("place") <= k)
 
 
+def top_values_json(df: DataFrame, facts: Facts, k: int = 10) -> DataFrame:
+    """(column_name, top_values): the commonest values of each categorical column with their counts, as one JSON object."""
+    ranked = F.sort_array(F.collect_list(F.struct("place", "value", "n")))  # k entries a column
+    pairs = F.map_from_entries(F.transform(ranked, lambda e: F.struct(e["value"], e["n"])))
+    return top_values(df, facts, k).groupBy("column_name").agg(F.to_json(pairs).alias("top_values"))
+
+
 def null_profile(df: DataFrame, facts: Facts) -> DataFrame:
     """(column_name, null_count, null_pct, distinct_count, unique_pct, first_value, last_value)."""
     spark = df.sparkSession

@@ -12,6 +12,7 @@ from tidemark.operators import market as mk
 from tidemark.operators import prep
 from tidemark.operators import upsert as up
 from tidemark.operators.batch import append_log, run_analytics, run_log, runs_of, stored_modules
+from tidemark.operators.restate import restate
 from tidemark.plans.registry import query, rounded
 from tidemark.plans.sql import FRIDAY, block, changed, modules, r, rolled, statement
 from tidemark.schemas import HISTORY_COLUMNS, PRICE_COLUMNS
@@ -175,6 +176,43 @@ def _incremental(spark, sf_dir):
     return rounded(up.merge_incremental(kept, recent))
 
 
+# A later delivery corrects the closes of one brand in March 1999, takes bars of another back, and adds the newest months.
+_FIX = "ticker = 'Brand#7' AND date >= DATE '1999-03-01' AND date < DATE '1999-04-01'"
+_GONE = "ticker = 'Brand#3' AND date >= DATE '2000-05-01' AND date < DATE '2000-05-04'"
+block("fixed", ["bars"], f"SELECT * REPLACE (CASE WHEN {_FIX} THEN close * 1.1::DOUBLE ELSE close END AS close) FROM bars WHERE NOT ({_GONE})")
+_F = modules("fixed")
+_RESTATED = {"returns": ["ret_21d", "ret_252d"], "risk": ["vol_63d", "beta_252d", "max_dd_252d"], "momentum": ["mom_3m", "rs_vs_bench", "rank_universe"],
+             "zscore": ["z_ret_21d", "z_cs_ret_1d", "pct_mom_3m"], "technical": ["rsi_14", "macd_signal", "ma_50", "obv"]}
+_SHOWN = [c for cs in _RESTATED.values() for c in cs]
+
+
+def _restated(spark, sf_dir):
+    """(root, months rewritten): modules of the first delivery, brought up to the corrected one."""
+    bars, root = src.stored(src.bars(spark, sf_dir)), new_path(spark, "analytics")
+    restate(bars.where(F.col("date") < dt.date(2001, 6, 1)), "US_EQ", root)
+    fixed = bars.withColumn("close", F.when(F.expr(_FIX), F.col("close") * 1.1).otherwise(F.col("close"))).where(~F.expr(_GONE))
+    return root, restate(src.stored(fixed), "US_EQ", root)
+
+
+@query("s10_restated_history", statement(f"SELECT ticker, date, {r(*[c for c in _SHOWN if c != 'rank_universe'])}, rank_universe FROM {_F['returns']}"
+       + "".join(f" LEFT JOIN {_F[m]} USING (ticker, date)" for m in list(_RESTATED)[1:]), *_F.values()))
+def _restated_history(spark, sf_dir):
+    """All stored metrics after the correction: they equal those computed from scratch."""
+    root, _ = _restated(spark, sf_dir)
+    made = {m: df.select("ticker", "date", *_RESTATED[m]) for m, df in stored_modules(spark, root, list(_RESTATED)).items()}
+    out = made["returns"]
+    for m in list(_RESTATED)[1:]:
+        out = out.join(made[m], ["ticker", "date"], "left")
+    return rounded(out)
+
+
+@query("s10_months_rewritten", statement(" UNION ALL ".join(
+    f"SELECT DISTINCT '{m}' AS module, strftime(date, '%Y-%m') AS month FROM {_F[m]} WHERE date >= DATE '1999-03-01'" for m in _RESTATED), *_F.values()))
+def _months_rewritten(spark, sf_dir):
+    _, months = _restated(spark, sf_dir)
+    return spark.createDataFrame([(m, x) for m, xs in months.items() for x in xs], "module string, month string")
+
+
 @query("s11_upsert_prices", f"""WITH px AS (SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date,
   l_orderkey, l_extendedprice / l_quantity AS close, l_quantity AS volume, ROW(l_orderkey, l_linenumber, l_partkey,
   l_suppkey, l_extendedprice, l_quantity) AS k FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -428,13 +466,12 @@ def _resample_m(spark, sf_dir):
     return rounded(mk.resample_bars(src.bars(spark, sf_dir), "1mo"))
 
 
-_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL"]
+_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
 @query("a03_corr_matrix", statement(f"""SELECT a.ticker AS col1, b.ticker AS col2,
   round(CASE WHEN a.ticker = b.ticker THEN 1.0 ELSE corr(a.cs_ret, b.cs_ret) END + 1e-9, 6) AS corr
-  FROM dense_m_sig a JOIN dense_m_sig b USING (date) WHERE a.ticker <> 'STANDARD' AND b.ticker <> 'STANDARD'
-  GROUP BY 1, 2""", modules("dense")["zscore"]))
+  FROM dense_m_sig a JOIN dense_m_sig b USING (date) GROUP BY 1, 2""", modules("dense")["zscore"]))
 def _corr(spark, sf_dir):
     return rounded(mk.corr_matrix(src.dense_bars(spark, sf_dir), _TYPES))
 
@@ -514,9 +551,8 @@ def _pivot(spark, sf_dir):
 
 @query("r03_melt", statement(f"SELECT date, ticker, {r('close')} FROM dense", "dense"))
 def _melt(spark, sf_dir):
-    types = [*_TYPES, "STANDARD"]
-    wide = mk.pivot_prices(src.dense_bars(spark, sf_dir), types)
-    return rounded(wide.unpivot("date", types, "ticker", "close").where(F.col("close").isNotNull()))
+    wide = mk.pivot_prices(src.dense_bars(spark, sf_dir), _TYPES)
+    return rounded(wide.unpivot("date", _TYPES, "ticker", "close").where(F.col("close").isNotNull()))
 
 
 @query("a40_module_summary", statement("SELECT '2001-11-05'::DATE AS run_date, 'run-1' AS run_id, " + f"""

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import analytics as an
 from tidemark.operators import snapshot as sn
-from tidemark.operators.batch import run_analytics, stored_modules
+from tidemark.operators.batch import newest_modules, run_analytics
 from tidemark.plans.registry import query, rounded
 from tidemark.plans.sql import block, modules, r, statement
 from tidemark.schemas import SNAPSHOT_COLUMNS
@@ -35,12 +34,24 @@ def _snapshot_sql() -> str:
 block("snap", ["weekly", *_W.values()], _snapshot_sql())
 
 
+_WRITTEN: dict[tuple[str, str], tuple[str, str]] = {}  # of this application: where bars and modules of a folder were written
+
+
+def _modules(spark, sf_dir):
+    """(bars, root) of the weekly bars and their modules, computed by the first query that asks and then read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        path, root = new_path(spark, "market"), new_path(spark, "analytics")
+        src.weekly_bars(spark, sf_dir).write.parquet(path)
+        run_analytics(spark.read.parquet(path), "US_EQ", root)
+        _WRITTEN[key] = (path, root)
+    path, root = _WRITTEN[key]
+    return spark.read.parquet(path), root
+
+
 def _snapshot(spark, sf_dir, cap=None):
-    prices = src.stored(src.weekly_bars(spark, sf_dir))
-    root = new_path(spark, "analytics")
-    run_analytics(prices, "US_EQ", root)
-    made = stored_modules(spark, root)
-    return sn.snapshot(made, prices, cap)
+    prices, root = _modules(spark, sf_dir)
+    return sn.snapshot(newest_modules(spark, root, "US_EQ"), prices, cap)
 
 
 @query("j01_snapshot", statement(
@@ -60,16 +71,16 @@ def _last_price(spark, sf_dir):
     f"""SELECT ticker, date, {r('mom_1m', 'mom_12m')}, rank_universe FROM {_W['momentum']}
     WHERE date = (SELECT max(date) FROM {_W['momentum']})""", _W["momentum"]))
 def _latest(spark, sf_dir):
-    mom = an.momentum(src.stored(src.weekly_bars(spark, sf_dir)), "US_EQ")
+    _, root = _modules(spark, sf_dir)
+    mom = newest_modules(spark, root, "US_EQ", ["momentum"])["momentum"]
     return rounded(sn.latest_rows(mom).select("ticker", "date", "mom_1m", "mom_12m", "rank_universe"))
 
 
 @query("j04_cap_filter", statement(f"""SELECT ticker, as_of, {r(*SNAPSHOT_COLUMNS['returns'], 'last_price')} FROM snap
   WHERE ticker IN (SELECT ticker FROM weekly WHERE cap_category = 'MID')""", "snap"))
 def _cap(spark, sf_dir):
-    prices = src.stored(src.weekly_bars(spark, sf_dir))
-    df = sn.snapshot({"returns": an.returns(prices, "US_EQ")}, prices, "mid")
-    return rounded(df)
+    prices, root = _modules(spark, sf_dir)
+    return rounded(sn.snapshot(newest_modules(spark, root, "US_EQ", ["returns"]), prices, "mid"))
 
 
 def _preset_sql(name: str) -> str:

@@ -60,13 +60,16 @@ def get_ohlcv(prices: DataFrame, ticker: str, as_of: dt.date, days: int = 504) -
 
 
 def analytics_history(tables: dict[str, DataFrame], ticker: str, market: str, as_of: dt.date, days: int = 504) -> dict[str, DataFrame]:
-    """Metric history of one ticker, one frame per module with its fixed columns."""
-    return {
-        name: lookback(
-            tables[name].where((F.upper("ticker") == ticker.upper()) & (F.col("market") == market)), as_of, days
-        ).select("date", *columns).orderBy("date")
-        for name, columns in HISTORY_COLUMNS.items() if name in tables
-    }
+    """Metric history of one ticker, one frame per module with its fixed columns; of stored modules only the months asked for
+    are read."""
+    first = (as_of - dt.timedelta(days)).strftime("%Y-%m")
+    out = {}
+    for name, columns in HISTORY_COLUMNS.items():
+        if name in tables:
+            df = tables[name].where(F.col("month") >= first) if "month" in tables[name].columns else tables[name]
+            mine = df.where((F.upper("ticker") == ticker.upper()) & (F.col("market") == market))
+            out[name] = lookback(mine, as_of, days).select("date", *columns).orderBy("date")
+    return out
 
 
 def long_history(history: dict[str, DataFrame]) -> DataFrame:

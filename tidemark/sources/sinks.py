@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,8 +76,24 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_analytics(df: DataFrame, path: str) -> None:
-    df.hint("rebalance", "market", "ticker").sortWithinPartitions("market", "ticker", "date").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("market").parquet(path)
+    """Module rows by market and month; the months that ``df`` holds are replaced."""
+    rows = df.withColumn("month", F.date_format("date", "yyyy-MM"))
+    _write_parts(rows, path, ["market", "month"], ["ticker", "date"])
+
+
+def partition_values(spark: SparkSession, path: str, **parents: str) -> list[str]:
+    """Values of the next partition column below ``path`` and the given parents, sorted, from the listing of folders alone."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, value in parents.items():
+        names = [s.getPath() for s in files.listStatus(folder) if s.isDirectory()]
+        match = [p for p in names if unquote(p.getName()) == f"{name}={value}"]
+        if not match:
+            return []
+        folder = match[0]
+    found = [unquote(s.getPath().getName()).split("=", 1) for s in files.listStatus(folder) if s.isDirectory()]
+    return sorted(v[1] for v in found if len(v) == 2 and v[1] != "__HIVE_DEFAULT_PARTITION__")
 
 
 def write_market(df: DataFrame, path: str) -> None:
