@@ -185,6 +185,8 @@ def value_counts(df: DataFrame, facts: Facts, columns: list[str] | None = None)
         if facts.columns[f.name]["inferred_type"] not in ("categorical", "numeric", "boolean"):
             v = f"CASE WHEN length({v}) <= 64 THEN {v} ELSE concat('#', sha2({v}, 256)) END"
         entries.append(f"named_struct('column_name', '{f.name}', 'value', {v})")
+    if not entries:
+        return df.sparkSession.createDataFrame([], "column_name string, value string, n bigint")
     long = df.selectExpr(f"inline(array({', '.join(entries)}))").where("value IS NOT NULL")
     return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
