@@ -126,14 +126,54 @@ def test_secret_network_learns_what_secrets_look_like():
     secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(20, 40)))
     plain = lambda: "-".join(rng.choice(["alpha", "beta", "2024", "version", "42"]) for _ in range(4)) + "1a"
     made = [(s(), y) for _ in range(150) for s, y in ((secret, 1), (plain, 0))]
-    samples = [secrets.encode(f"see {x} here", 4, 4 + len(x), i % 2 == 0) for i, (x, _) in enumerate(made)]
+    one = lambda x, context: secrets.encode(secrets.symbols(f"see {x} here"), 4, 4 + len(x), context)
+    samples = [one(x, i % 2 == 0) for i, (x, _) in enumerate(made)]
     truth = np.array([y for _, y in made], float)
     model = secrets._train(samples[:200], truth[:200], 6, 1)
     secrets._calibrate(model, samples[200:], truth[200:], 0.95)
-    for x, want in (("9f8e7d6c5b4a39281706f5e4d3c2b1a0", True), ("alpha-42-version-beta1a", False)):
-        assert (model.probability(secrets.encode(f"the {x} is", 4, 4 + len(x))) >= model.threshold) == want
+    p = model.probabilities([one("9f8e7d6c5b4a39281706f5e4d3c2b1a0", True), one("alpha-42-version-beta1a", True)])
+    assert p[0] >= model.threshold > p[1]
     piece = "9f8e7d6c" * 3000
-    assert np.allclose(model.pooled(secrets.encode(piece, 0, len(piece)))[0][0], model.pooled(secrets.encode(piece[:9000], 0, 9000))[0][0])
+    best, where = model.pooled([one(piece, False), one(piece[:9000], False), one("ab", False)])
+    assert np.allclose(best[0], best[1]) and where.min() >= 0
+    alone = [model.pooled([x])[0][0] for x in (one(piece, False), one(piece[:9000], False), one("ab", False))]
+    assert np.allclose(best, np.stack(alone))  # lengths do not touch each other
+
+
+def test_candidates_are_all_strings_outside_base_spans():
+    text = 'see Xk29fQ7zLmA, wordword. "..abcdefgh.." token = "abcdefgh12" short =a/b+c_d-e='
+    base = secrets.base_spans(text)
+    assert [text[a:b] for a, b in secrets.candidates(text, base)] == ["Xk29fQ7zLmA", "wordword", "abcdefgh", "=a/b+c_d-e="]
+    assert [text[slice(*secrets.body_of(text, s))] for s in base] == ["abcdefgh12"]
+    codes = secrets.symbols("ab😀c")
+    assert codes[secrets.LEFT:-secrets.RIGHT].tolist() == [ord("a") - 31, ord("b") - 31, 0, ord("c") - 31]
+
+
+@pytest.mark.parametrize("sf, planted_recall", [("sf0.01", 0.6), ("sf0.1", 0.9)])
+def test_secret_network_on_held_back_documents(spark, sf, planted_recall):
+    """Trained on the given documents; secrets that no fixed pattern finds are planted into some it has not seen."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    held = docs.where("doc_id % 4 = 0")
+    model = secrets.fit(docs.where("doc_id % 4 <> 0"))
+    assert model.threshold < 1 and np.abs(model.kernel).sum() > 0
+    rng = random.Random(4)
+    shapes = ["Xk29fQ7zLmA", "".join(rng.choices("0123456789abcdef", k=28)), "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=20)),
+              "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=32)), "".join(rng.choices("0123456789abcdef", k=16))]
+    rows, want = [], {}
+    for r in held.orderBy("doc_id").limit(200).collect():
+        key = "".join(rng.sample(shapes[rng.randrange(5)], k=11)) if r["doc_id"] % 8 else rng.choice(shapes)
+        head = (r["text"] or "")[:300]
+        if any(c.isdigit() for c in key) and len(key) >= 10:
+            want[r["doc_id"]] = (len(head) + 1, len(head) + 1 + len(key))
+        rows.append((r["doc_id"], f"{head} {key} and so on"))
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    caught = sum(any((s["start"], s["stop"]) == want.get(r["doc_id"]) for s in r["spans"]) for r in found)
+    assert caught >= planted_recall * len(want)
+    spans = [(r["doc_id"], s) for r in secrets.scan(held, model).collect() for s in r["spans"]]
+    base = [s["score"] >= model.threshold for _, s in spans if s["kind"] != "learned"]
+    learned = [s for _, s in spans if s["kind"] == "learned"]
+    texts = sum(len(re.findall(r"[A-Za-z0-9+/_=.-]{8,}", r["text"] or "")) for r in held.collect())
+    assert np.mean(base) >= 0.9 and len(learned) <= 0.01 * texts
 
 
 def test_automaton_matches_all_words_within_the_distance():
