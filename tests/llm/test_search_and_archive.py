@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import SF
 from tidemark.llm import ann, warc
+from tidemark.session import new_path
 
 
 def brute_nearest(ids, x, queries, k):
@@ -139,3 +140,35 @@ def test_archives_are_plain_gzip(spark):
             data = f.read()
         assert len(data) == m["bytes"] == os.path.getsize(m["path"])
         assert gzip.open(io.BytesIO(data)).read().startswith(b"WARC/1.1\r\n")
+
+
+def test_one_reader_per_range(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"page {i} " * 50) for i in range(400)], "page_id long, url string, html string").repartition(4)
+    folder = f"file://{new_path(spark, 'warc')}"
+    manifest = warc.write_archives(warc.roles(pages, 0), folder, 4000)
+    want = sum(-(-r["bytes"] // 1000) for r in manifest.collect())
+    read = warc.read_archives(manifest, split_bytes=1000)
+    assert want > 20 and read.rdd.getNumPartitions() == want
+    assert sorted(r["page_id"] for r in read.collect()) == list(range(400))
+
+
+def test_large_records_over_many_chunks(spark, monkeypatch, tmp_path):
+    """A record longer than many chunks, and small ones around it, come back whole from any range."""
+    import os
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(warc, "CHUNK", 1 << 12)
+    monkeypatch.setattr(warc, "STEP", 100)
+    bodies = [warc.record(i, "http://x", os.urandom(n), None) for i, n in enumerate([10, 300_000, 0, 7, 50_000] + [20] * 200)]
+    data = b""
+    for b in bodies:
+        data += warc.member(b, b"k" * 16, len(data))
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(data)
+    for split in (10_000, 123_457, len(data)):
+        found = []
+        for start in range(0, len(data), split):
+            with pa.OSFile(str(path)) as handle:
+                found += list(warc.read_range(handle, len(data), start, min(start + split, len(data))))
+        assert found == bodies

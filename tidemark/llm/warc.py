@@ -20,6 +20,8 @@ from tidemark.sources.tables import stored
 MAGIC = b"\x1f\x8b\x08"
 HEAD = 1 << 16  # a record's header must begin within its first decoded bytes and end within so many
 CHUNK = 1 << 20
+STEP = 64 << 10  # bytes given to the decoder at once
+READERS = 100_000  # tasks, at most
 
 
 def digest(payload: bytes) -> str:
@@ -105,21 +107,29 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = 256 << 20)
 
 
 class _Window:
-    """Bytes of a file from some offset on, read a chunk at a time."""
+    """Bytes of a file from offset ``at`` on, read a chunk at a time. What lies behind is let go when the next chunk comes."""
 
     def __init__(self, handle: pa.NativeFile, size: int, at: int) -> None:
-        self.handle, self.size, self.at, self.data = handle, size, at, b""
+        self.handle, self.size, self.at, self.data, self.low = handle, size, at, bytearray(), 0
+
+    def left(self) -> int:
+        return len(self.data) - self.low
 
     def grow(self) -> bool:
-        have = self.at + len(self.data)
+        have = self.at + self.left()
         if have >= self.size:
             return False
+        del self.data[:self.low]
+        self.low = 0
         self.handle.seek(have)
         self.data += self.handle.read(min(CHUNK, self.size - have))
         return True
 
     def drop(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
+        self.low, self.at = self.low + n, self.at + n
+
+    def part(self, start: int, stop: int) -> bytes:
+        return bytes(self.data[self.low + start:self.low + stop])
 
 
 def _extra(data: bytes) -> tuple[bytes, int] | None:
@@ -131,23 +141,20 @@ def _extra(data: bytes) -> tuple[bytes, int] | None:
 
 def _decode(window: _Window) -> tuple[bytes, int] | None:
     """(record, packed length) of the member at the start of the window; None if it is not a whole WARC member."""
-    unpacker, body, used = zlib.decompressobj(31), [], 0
-    checked = False
+    unpacker, body, used, size = zlib.decompressobj(31), [], 0, 0
     while True:
+        if used == window.left() and not window.grow():
+            return None
+        piece = window.part(used, used + STEP)
         try:
-            body.append(unpacker.decompress(window.data[used:]))
+            body.append(unpacker.decompress(piece))
         except zlib.error:
             return None
-        used = len(window.data)
-        if not checked and sum(map(len, body)) >= 5:
-            body = [b"".join(body)]
-            if body[0][:5] != b"WARC/":
-                return None
-            checked = True
-        if unpacker.eof:
-            return b"".join(body), used - len(unpacker.unused_data)
-        if not window.grow():
+        used, before, size = used + len(piece), size, size + len(body[-1])
+        if before < 5 <= size and not b"".join(body).startswith(b"WARC/"):
             return None
+        if unpacker.eof:
+            return (b"".join(body), used - len(unpacker.unused_data)) if size >= 5 else None
 
 
 def read_range(path_handle: pa.NativeFile, size: int, start: int, stop: int) -> Iterator[bytes]:
@@ -158,20 +165,20 @@ def read_range(path_handle: pa.NativeFile, size: int, start: int, stop: int) ->
     """
     window = _Window(path_handle, size, start)
     while window.at < stop:
-        while len(window.data) < 64 and window.grow():
+        while window.left() < 64 and window.grow():
             pass
-        at = window.data.find(MAGIC)
+        at = window.data.find(MAGIC, window.low) - window.low
         if at < 0:
-            window.drop(max(0, len(window.data) - 2))
+            window.drop(max(0, window.left() - 2))
             if not window.grow():
                 return
             continue
         window.drop(at)
         if window.at >= stop:
             return
-        while len(window.data) < 64 and window.grow():
+        while window.left() < 64 and window.grow():
             pass
-        named = _extra(window.data)
+        named = _extra(window.part(0, 64))
         found = _decode(window) if named is None or named[1] == window.at else None
         if found is None:
             window.drop(1)
@@ -205,7 +212,9 @@ ARROW = pa.schema([("page_id", "int64"), ("url", "string"), ("record_type", "str
 def read_archives(manifest: DataFrame, split_bytes: int = 16 << 20, with_payload: bool = True) -> DataFrame:
     """All records of the manifest's archives, read by tasks of ``split_bytes``; payload is empty for revisits."""
     ranges = manifest.where("bytes > 0").select("path", "bytes", "uri", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes))).alias("start"))
-    dealt = ranges.repartition(F.col("path"), F.col("start"))
+    # As many tasks as ranges: rows that name a range are too small for their own size to tell what a task will read.
+    count = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 0
+    dealt = ranges.repartition(max(1, min(int(count), READERS)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system = None
