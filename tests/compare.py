@@ -35,6 +35,8 @@ def differences(spark_df: pd.DataFrame, sql_df: pd.DataFrame) -> str | None:
         return f"columns {sorted(spark_df.columns)} != {sorted(sql_df.columns)}"
     if len(spark_df) != len(sql_df):
         return f"rows {len(spark_df)} != {len(sql_df)}"
+    if not len(spark_df):
+        return None
     a, b = canonical(spark_df), canonical(sql_df)
     if a.equals(b):
         return None

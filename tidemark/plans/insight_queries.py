@@ -267,7 +267,7 @@ def _explain_customer(spark, sf_dir):
 
 # Text columns as they come in uploads: prices in three spellings, dates in two, with values that cannot be read.
 _TYPED = {
-    "price": """CASE WHEN o_orderkey % 97 = 0 THEN 'n/a' WHEN o_orderkey % 13 = 0 THEN concat('$', CAST(CAST(o_totalprice AS BIGINT) AS {t}))
+    "price": """CASE WHEN o_orderkey % 97 = 0 THEN 'n/a' WHEN o_orderkey % 13 = 0 THEN concat('$', CAST(CAST(floor(o_totalprice) AS BIGINT) AS {t}))
       ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS {t}) END""",
     "key": "CASE WHEN o_orderkey % 5 = 0 THEN concat('K', CAST(o_orderkey AS {t})) ELSE CAST(o_orderkey AS {t}) END",
     "day": """CASE WHEN o_orderkey % 101 = 0 THEN '31/02/1999' WHEN o_orderkey % 3 = 0 AND o_orderkey % 7 = 0 THEN concat(' ', {iso}, ' ')

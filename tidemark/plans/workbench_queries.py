@@ -168,7 +168,7 @@ def _categorical_ends(spark, sf_dir):
     return df.select("tbl", "column_name", "min_value", "max_value")
 
 
-@query("a07_top_values_json", statement("""SELECT tbl, column_name, '{' || string_agg('"' || value || '":' || n, ',' ORDER BY place) || '}' AS top_values
+@query("a07_top_values_json", statement("""SELECT tbl, column_name, '{' || string_agg(CAST(to_json(value) AS VARCHAR) || ':' || n, ',' ORDER BY place) || '}' AS top_values
   FROM top_vals WHERE place <= 10 GROUP BY tbl, column_name""", "top_vals"))
 def _top_json(spark, sf_dir):
     return _each(spark, sf_dir, lambda d, f: pf.top_values_json(d, f, 10), ["customer", "orders", "part", "events"])

@@ -72,10 +72,10 @@ def calm_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_bars(spark, sf_dir).withColumn("close", 100 + F.sqrt("close") / 30)
 
 
-def stored(df: DataFrame, name: str = "market") -> DataFrame:
+def stored(df: DataFrame, name: str = "market", compression: str = "snappy") -> DataFrame:
     """Write a derived table to the shared folder and read it back, for queries that use it more than once."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
