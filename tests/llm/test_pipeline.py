@@ -2,8 +2,9 @@
 
 import corpus_pipeline as pipe
 from tests.llm.conftest import SF
-from tests.llm.test_models import brute_components, brute_print, check_mix
+from tests.llm.test_models import check_mix
 from tests.llm.test_native import brute_hits, brute_lines
+from tests.llm.test_pipeline_rules import brute_kept
 from tidemark.llm import toxicity as tox
 from tidemark.sources.tables import stored
 
@@ -25,14 +26,13 @@ def test_stages_against_brute_force(spark, small):
     assert 0 < len(scores) - clean.count() < len(scores) / 3
 
     lines = go("line dedup", clean)
-    before = clean.collect()
-    want = dict(zip([r["doc_id"] for r in before], brute_lines([r["text"] for r in before], 10)))
+    before = sorted(clean.collect(), key=lambda r: r["doc_id"])
+    want = dict(zip([r["doc_id"] for r in before], brute_lines([r["text"] for r in before], 10, keep_first=True)))
     assert {r["doc_id"]: r["text"] for r in lines.collect()} == want
     assert all(r["n_chars"] == len(r["text"]) for r in lines.collect() if r["text"] != {b["doc_id"]: b["text"] for b in before}[r["doc_id"]])
 
     alone = go("near-duplicates", lines)
-    prints = [(r["doc_id"], brute_print(r["text"])) for r in lines.collect()]
-    assert {r["doc_id"] for r in alone.collect()} == set(brute_components(prints).values())
+    assert {r["doc_id"] for r in alone.collect()} == brute_kept([(r["doc_id"], r["text"]) for r in lines.collect()])[0]
 
     fair = go("decontamination", alone)
     items = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

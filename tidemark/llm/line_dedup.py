@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,27 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int = 1) -> DataFrame:
+@dataclass
+class Rows:
+    """Rows of documents, the columns that name one of them, and those that put them in order."""
+
+    docs: DataFrame
+    key: tuple[str, ...]
+    order: tuple[str, ...]
+
+
+def _by_content(docs: DataFrame, carry: tuple[str, ...] = ()) -> Rows:
+    """Rows named by id and text; rows equal in both have the same lines, so they may share a bitmap."""
+    return Rows(documents(docs, *carry), ("doc_id", "tk"), ("doc_id", "tk"))
+
+
+def _numbered(docs: DataFrame, carry: tuple[str, ...] = ()) -> Rows:
+    """Rows named by a number, also where id and text are equal; written, so that the numbers hold. Null ids come last."""
+    rows = documents(docs, *carry).withColumn("none", F.col("doc_id").isNull()).withColumn("row", F.monotonically_increasing_id())
+    return Rows(stored(rows, "numbered-rows"), ("row",), ("none", "doc_id", "row"))
+
+
+def repeated_lines(rows: Rows, min_docs: int, min_chars: int = 1) -> DataFrame:
     """(h1, h2, n_docs, first): line hashes found in at least ``min_docs`` documents and their first document.
 
     Each document gives a key once. Counts are combined per (hash, salt), so that the most common line leaves at most
@@ -32,10 +54,10 @@ def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int = 1) -> DataFr
     """
     keys = F.array_distinct(F.transform(_lines(F.col("text")), line_key))
     seen = (
-        documents(docs)
-        .select("doc_id", "tk", F.explode(keys).alias("key"))
+        rows.docs
+        .select(*rows.order, F.explode(keys).alias("key"))
         .where(F.length("key") >= min_chars)
-        .select(*_hashes(F.col("key")), F.struct("doc_id", "tk").alias("doc"))
+        .select(*_hashes(F.col("key")), F.struct(*rows.order).alias("doc"))
         .groupBy("h1", "h2", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"))
         .repartitionByRange("h1", "h2")
@@ -51,23 +73,22 @@ def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int = 1) -> DataFr
     )
 
 
-def drop_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
-    """(doc_id, tk, n_dropped, dropped): per document with dropped lines, bit i % 64 of block i / 64 stands for line i.
+def drop_bitmaps(rows: Rows, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
+    """(key columns, n_dropped, dropped): per document with dropped lines, bit i % 64 of block i / 64 stands for line i.
 
     Blocks without a dropped line are absent, which keeps the bitmaps of long documents short. With ``keep_first`` the
     first line of the first document that holds a key stays.
     """
-    repeated = stored(repeated_lines(docs, min_docs, min_chars), "repeated-lines")
-    lines = documents(docs).select("doc_id", "tk", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    hashed = lines.select("doc_id", "tk", "pos", *_hashes(line_key(F.col("line"))))
+    repeated = stored(repeated_lines(rows, min_docs, min_chars), "repeated-lines")
+    lines = rows.docs.select(*rows.key, F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    hashed = lines.select(*rows.key, "pos", *_hashes(line_key(F.col("line"))))
     hits = hashed.join(repeated, ["h1", "h2"])
     if keep_first:
-        here = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.tk") == F.col("tk"))
-        order = Window.partitionBy("doc_id", "tk", "h1", "h2").orderBy("pos")
-        hits = hits.withColumn("nth", F.row_number().over(order)).where(~here | (F.col("nth") > 1))
-    blocks = hits.groupBy("doc_id", "tk", F.expr("cast(pos div 64 as int)").alias("block")).agg(
+        order = Window.partitionBy("row", "h1", "h2").orderBy("pos")
+        hits = hits.withColumn("nth", F.row_number().over(order)).where((F.col("first.row") != F.col("row")) | (F.col("nth") > 1))
+    blocks = hits.groupBy(*rows.key, F.expr("cast(pos div 64 as int)").alias("block")).agg(
         F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
-    return blocks.groupBy("doc_id", "tk").agg(
+    return blocks.groupBy(*rows.key).agg(
         F.sum(F.bit_count("bits")).alias("n_dropped"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("block", "bits")))).alias("dropped"))
 
@@ -77,9 +98,16 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fir
     """(doc_id, text, carried columns, n_lines, n_dropped, dropped): every row of ``docs`` without its repeated lines.
 
     A null or empty text is one empty line. Each row counts as a document, repeated rows and null ids too. Keys are
-    compared by 128 bits of hash. ``dropped`` is null where nothing went.
+    compared by 128 bits of hash. ``dropped`` is null where nothing went. With ``keep_first`` a repeated line stays once:
+    in the row with the smallest id that has it, one of them if several rows have that id, a row without an id only if
+    there is no other. Empty tables give no rows; texts of any length are handled line by line.
     """
-    joined = join_rows(documents(docs, *carry), drop_bitmaps(docs, min_docs, min_chars, keep_first))
+    rows = _numbered(docs, carry) if keep_first else _by_content(docs, carry)
+    found = drop_bitmaps(rows, min_docs, min_chars, keep_first)
+    if keep_first:
+        joined = rows.docs.join(found, "row", "left")
+    else:
+        joined = join_rows(rows.docs, found)
     last = F.array_max(F.map_keys("dropped"))
     dense = F.when(F.col("dropped").isNotNull(), F.transform(
         F.sequence(F.lit(0), last), lambda b: F.coalesce(F.try_element_at(F.col("dropped"), b), F.lit(0).cast("bigint"))))
