@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,30 +84,38 @@ def restate(prices: DataFrame, market: str, root: str, modules: list[str] | None
     prices = prices.where("ticker IS NOT NULL AND date IS NOT NULL")
     book = os.path.join(root, "digests")
     new = stored(digests(prices), "digests")
-    out: dict[str, list[str]] = {m: [] for m in names}
+
+    def each(one: Callable[[str], list[str]]) -> dict[str, list[str]]:
+        """The modules are independent jobs over a stored market table, so they are submitted together."""
+        with ThreadPoolExecutor(max_workers=len(names)) as pool:
+            return dict(zip(names, pool.map(one, names)))
+
+    def written(m: str) -> list[str]:
+        write_analytics(MODULES[m](prices, market), os.path.join(root, m))
+        return partition_values(spark, os.path.join(root, m), market=market)
+
     if not exists(spark, book):
-        for m in names:
-            write_analytics(MODULES[m](prices, market), os.path.join(root, m))
-            out[m] = partition_values(spark, os.path.join(root, m), market=market)
+        out = each(written)
         new.write.mode("overwrite").parquet(book)
         return out
     changed = stored(changed_since(spark.read.parquet(book), new), "changed")
     since = changed.agg(F.min("since")).first()[0]
     if since is None:
-        return out
+        return {m: [] for m in names}
     start = F.to_date(F.lit(f"{since}-01"))
     mine = prices.join(changed.select("ticker"), "ticker", "left_semi")
     everyone = prices.select("ticker").distinct().withColumn("since", F.lit(since))
     gone = changed.select("ticker", F.lit(since).alias("since"))
     near = stored(prices.where(F.col("date") >= F.lit(_reach(prices, since)).cast("date")), "restated-bars")
-    for m in names:
+
+    def rewritten(m: str) -> list[str]:
         path = os.path.join(root, m)
         if m in OWN:
             rows = MODULES[m](mine if m in ENDLESS else near.join(changed.select("ticker"), "ticker", "left_semi"), market)
-            rows = rows.join(changed, "ticker").where(month_of() >= F.col("since")).drop("since")
-            out[m] = _rewritten(rows, path, market, changed, since)
-        else:
-            rows = MODULES[m](near, market).where(F.col("date") >= start)
-            out[m] = _rewritten(rows, path, market, everyone.unionByName(gone).distinct(), since)
+            return _rewritten(rows.join(changed, "ticker").where(month_of() >= F.col("since")).drop("since"), path, market, changed, since)
+        rows = MODULES[m](near, market).where(F.col("date") >= start)
+        return _rewritten(rows, path, market, everyone.unionByName(gone).distinct(), since)
+
+    out = each(rewritten)
     new.write.mode("overwrite").parquet(book)
     return out

@@ -186,12 +186,19 @@ _RESTATED = {"returns": ["ret_21d", "ret_252d"], "risk": ["vol_63d", "beta_252d"
 _SHOWN = [c for cs in _RESTATED.values() for c in cs]
 
 
+_DONE: dict[tuple[str, str], tuple[str, dict[str, list[str]]]] = {}  # of this application
+
+
 def _restated(spark, sf_dir):
-    """(root, months rewritten): modules of the first delivery, brought up to the corrected one."""
+    """(root, months rewritten): modules of the first delivery, brought up to the corrected one; done once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _DONE:
+        return _DONE[key]
     bars, root = src.stored(src.bars(spark, sf_dir)), new_path(spark, "analytics")
     restate(bars.where(F.col("date") < dt.date(2001, 6, 1)), "US_EQ", root)
     fixed = bars.withColumn("close", F.when(F.expr(_FIX), F.col("close") * 1.1).otherwise(F.col("close"))).where(~F.expr(_GONE))
-    return root, restate(src.stored(fixed), "US_EQ", root)
+    _DONE[key] = root, restate(src.stored(fixed), "US_EQ", root)
+    return _DONE[key]
 
 
 @query("s10_restated_history", statement(f"SELECT ticker, date, {r(*[c for c in _SHOWN if c != 'rank_universe'])}, rank_universe FROM {_F['returns']}"
