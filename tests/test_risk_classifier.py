@@ -1,7 +1,7 @@
 """The risk classifier scores every customer, out of sample."""
 
 from tidemark.operators import advisory as ad
-from tidemark.plans import catalog
+from tidemark.plans import backtest_queries, catalog
 from tidemark.sources import tables as src
 
 SF = "/root/testdata/sf0.001"
@@ -22,3 +22,19 @@ def test_validation_gives_accuracy_and_importance(spark):
     assert len(accuracy) == 1 and 0.4 < accuracy[0] <= 1
     weights = {r["name"]: r["value"] for r in rows if r["measure"] == "importance"}
     assert set(weights) == {*ad.NUMERIC_FEATURES, *ad.TEXT_FEATURES} and abs(sum(weights.values()) - 1) < 1e-9
+
+
+def test_forests_learn_from_rows_spread_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ad, "ROWS_A_PART", 20)
+    labelled = backtest_queries._labelled(spark, SF)
+    whole = ad.risk_points(src.investors(spark, SF)).drop("points")
+    assert labelled.rdd.getNumPartitions() == -(-whole.count() // 20) > 1  # one file was one task before
+    assert sorted(map(tuple, labelled.collect())) == sorted(map(tuple, whole.collect()))
+    assert [r.c_custkey for r in labelled.collect()] == [r.c_custkey for r in backtest_queries._labelled(spark, SF).collect()]
+
+
+def test_validation_takes_the_forest_of_all_rows_from_the_validator(spark):
+    labelled = backtest_queries._labelled(spark, SF)
+    accuracy, forest = ad.cross_validated(labelled, trees=5)
+    assert accuracy == ad.cross_validated_accuracy(labelled, trees=5)
+    assert ad.feature_importance(forest) == ad.feature_importance(ad.risk_classifier(trees=5).fit(labelled))

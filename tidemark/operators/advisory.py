@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import exact_quantiles
+from tidemark.session import pin
+
+if TYPE_CHECKING:
+    from pyspark.ml import Model
 
 # Funds as (id, lowest and highest fitting risk score, expected return), in order of preference.
 FUNDS = [
@@ -46,10 +54,22 @@ def _label(score: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in RISK_LABELS.items() for x in pair])[score]
 
 
+FITS = 2  # forests fitted at once; each keeps its own rows in memory
+ROWS_A_PART = 20_000  # of a table that forests learn from
+
 NUMERIC_FEATURES = ["age", "annual_income", "dependents", "investment_horizon", "loss_tolerance_pct", "investment_experience"]
 TEXT_FEATURES = ["marital_status", "employment_type"]
 
 
+def spread(labelled: DataFrame) -> DataFrame:
+    """The same rows in partitions of about ``ROWS_A_PART``, in a fixed order, as a forest goes over them once a level.
+
+    A table in one file is one partition otherwise, and one task does all the work. What fits one partition stays as it is.
+    """
+    parts = -(-labelled.count() // ROWS_A_PART)
+    return labelled if parts < 2 else pin(labelled.repartition(parts).sortWithinPartitions(*labelled.columns))
+
+
 def risk_classifier(trees: int = 200, depth: int = 5, seed: int = 42):
     """Untrained pipeline: index the text attributes, assemble, random forest (Spark's boosted trees are binary)."""
     from pyspark.ml import Pipeline
@@ -64,14 +84,20 @@ def risk_classifier(trees: int = 200, depth: int = 5, seed: int = 42):
     ])
 
 
-def cross_validated_accuracy(labelled: DataFrame, folds: int = 5, **params) -> float:
+def cross_validated(labelled: DataFrame, folds: int = 5, **params) -> tuple[float, Model]:
+    """Mean accuracy over the folds, and the forest of all rows, which the validator fits at its end anyway."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
     judge = MulticlassClassificationEvaluator(labelCol="risk_profile", metricName="accuracy")
     cv = CrossValidator(estimator=risk_classifier(**params), estimatorParamMaps=ParamGridBuilder().build(),
-                        evaluator=judge, numFolds=folds, seed=42, parallelism=2)
-    return float(cv.fit(labelled).avgMetrics[0])
+                        evaluator=judge, numFolds=folds, seed=42, parallelism=FITS)
+    fitted = cv.fit(labelled)
+    return float(fitted.avgMetrics[0]), fitted.bestModel
+
+
+def cross_validated_accuracy(labelled: DataFrame, folds: int = 5, **params) -> float:
+    return cross_validated(labelled, folds, **params)[0]
 
 
 def feature_importance(model) -> list[tuple[str, float]]:
@@ -95,11 +121,9 @@ def predict_risk(model, investors: DataFrame) -> DataFrame:
 def cross_fitted(labelled: DataFrame, key: str, folds: int = 5, **params) -> DataFrame:
     """Every row as ``predict_risk`` gives it, scored by a forest that learned from the other folds (key modulo folds)."""
     fold = F.coalesce(F.pmod(F.col(key), F.lit(folds)), F.lit(0))
-    scored = None
-    for k in range(folds):
-        part = predict_risk(risk_classifier(**params).fit(labelled.where(fold != k)), labelled.where(fold == k))
-        scored = part if scored is None else scored.unionAll(part)
-    return scored
+    with ThreadPoolExecutor(max_workers=FITS) as pool:  # forests are independent; one fills the gaps of another
+        models = list(pool.map(lambda k: risk_classifier(**params).fit(labelled.where(fold != k)), range(folds)))
+    return reduce(DataFrame.unionAll, [predict_risk(m, labelled.where(fold == k)) for k, m in enumerate(models)])
 
 
 def recommend_funds(df: DataFrame, score: str, funds: list[tuple] = FUNDS) -> DataFrame:

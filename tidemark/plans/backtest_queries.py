@@ -298,21 +298,21 @@ def _points(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir):
-    return ad.risk_points(src.investors(spark, sf_dir)).drop("points")
+    return ad.spread(src.stored(ad.risk_points(src.investors(spark, sf_dir)).drop("points"), "labelled"))
 
 
 @query("a43_risk_classifier")
 def _classifier(spark, sf_dir):
-    scored = ad.cross_fitted(src.stored(_labelled(spark, sf_dir), "labelled"), "c_custkey")
+    scored = ad.cross_fitted(_labelled(spark, sf_dir), "c_custkey")
     return scored.select("c_custkey", "risk_profile", "label", "confidence", *[f"p_{k}" for k in ad.RISK_LABELS])
 
 
 @query("a43_risk_validation")
 def _classifier_validation(spark, sf_dir):
     """Cross-validated accuracy, and the importance of each feature to a forest of all customers."""
-    labelled = src.stored(_labelled(spark, sf_dir), "labelled")
-    rows = [("accuracy", "cross-validated", ad.cross_validated_accuracy(labelled))]
-    rows += [("importance", name, value) for name, value in ad.feature_importance(ad.risk_classifier().fit(labelled))]
+    labelled = _labelled(spark, sf_dir)
+    accuracy, forest = ad.cross_validated(labelled)
+    rows = [("accuracy", "cross-validated", accuracy), *[("importance", *pair) for pair in ad.feature_importance(forest)]]
     return spark.createDataFrame(rows, "measure string, name string, value double")
 
 
@@ -320,7 +320,7 @@ def _classifier_validation(spark, sf_dir):
   FROM customer""")
 def _classifier_quality(spark, sf_dir):
     """Checks over all customers, each scored by a forest that has not seen it: it has to beat naming the commonest profile."""
-    labelled = src.stored(_labelled(spark, sf_dir), "labelled")
+    labelled = _labelled(spark, sf_dir)
     shares = labelled.groupBy("risk_profile").agg(F.count(F.lit(1)).alias("n"))
     commonest = shares.agg(F.try_divide(F.max("n"), F.sum("n"))).first()[0] or 0.0
     scored = ad.cross_fitted(labelled, "c_custkey")
