@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline as pipe
 from tests.llm.test_native import brute_lines
-from tidemark.llm import similar
+from tidemark.llm import similar, simhash
 from tidemark.sources.tables import stored
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -155,3 +155,24 @@ def test_maps_never_forbid_similar_texts(spark):
                 if len(a & b) >= least * len(a | b):
                     assert (i, j) in kept
         assert len(kept) < 60 * 59 / 2
+
+
+def test_candidates_come_through_simhash_before_prefixes(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(400)]
+    texts = [" ".join(base), " ".join(base[:-1]), " ".join(base[:200] + ["new"] * 30 + base[200:]), " ".join(base[::-1]), ""]
+    linked = []
+
+    def links(prints):
+        linked.append({r["fp"] for r in prints.collect()})
+        return simhash.links(prints)
+
+    monkeypatch.setattr(similar, "links", links)
+    got = {r["doc_id"] for r in pipe.drop_near_duplicates(spark, corpus(spark, texts), "").collect()}
+    assert linked == [{simhash.fingerprint(t, 5) for t in texts}]
+    assert got == brute_kept(enumerate(texts))[0] == {0, 3, 4}
+
+
+def test_simhash_pairs_rows_of_equal_and_of_linked_fingerprints(spark):
+    classes = spark.createDataFrame([(1, 0b1000), (2, 0b1000), (3, 0b1011), (4, -1), (5, 0b1000)], "row long, fp long")
+    assert {(max(p), min(p)) for p in similar._near_prints(classes).collect()} == {(2, 1), (5, 1), (3, 1)}

@@ -1,4 +1,4 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, with candidates from prefixes of the ordered shingles."""
+"""Near-duplicates by exact Jaccard similarity of word shingles: candidates from SimHash, then what prefixes of the ordered shingles add."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import add_columns, pick
 from tidemark.llm.components import components
-from tidemark.llm.simhash import FOLD
+from tidemark.llm.simhash import FOLD, fingerprint, links
 from tidemark.sources.tables import stored
 
 SAMPLED = 4  # one shingle in so many (by hash, a power of two) is counted everywhere
@@ -175,10 +175,20 @@ def _maps_allow(n: Column, a: Column, m: Column, b: Column, least: Fraction) ->
     return F.least(n - alone(a, b), m - alone(b, a)) * (least.numerator + least.denominator) >= (n + m) * least.numerator
 
 
+def _near_prints(classes: DataFrame) -> DataFrame:
+    """(u, v): rows of ``classes`` that SimHash links. The first row of each fingerprint meets its other rows and those of linked ones."""
+    heads = stored(classes.groupBy("fp").agg(F.min("row").alias("head")), "heads")
+    within = classes.join(heads, "fp").where("row <> head").select(F.col("row").alias("u"), F.col("head").alias("v"))
+    side = lambda fp, head: heads.select(F.col("fp").alias(fp), F.col("head").alias(head))
+    across = links(heads.select("fp")).join(side("u", "hu"), "u").join(side("v", "hv"), "v")
+    return within.unionAll(across.select(F.col("hu").alias("u"), F.col("hv").alias("v")))
+
+
 def _links(texts: DataFrame, classes: DataFrame, shingle: int, least: Fraction) -> DataFrame:
     """(id, root) of the rows of ``classes`` that have a similar text: components exactly as all similar pairs give them.
 
-    Rows that share a shingle of their prefixes form a bucket, which is never gathered: its least and greatest label and one
+    Pairs that SimHash links are compared first and merge labels; similar texts whose fingerprints lie further apart are found
+    by prefixes. Rows that share a shingle of their prefixes form a bucket, which is never gathered: its least and greatest label and one
     leader are aggregates that join back. Members first meet the leader, another one each round; buckets of one label are
     done. Pairs are bounded by number of shingles, place and map before any text is read. In what stays apart after the last
     round, pairs that these bounds allow are compared.
@@ -203,6 +213,11 @@ def _links(texts: DataFrame, classes: DataFrame, shingle: int, least: Fraction)
         to = moved.select(F.col("id").alias("_from"), F.col("root").alias("_to"))
         return df.join(to, df[label] == F.col("_from"), "left").withColumn(label, F.coalesce("_to", label)).drop("_from", "_to")
 
+    near = _near_prints(classes)
+    moved = merged(near.select("u", "v", F.col("u").alias("lu"), F.col("v").alias("lv")))
+    if moved is not None:
+        moved = stored(moved, "moved")
+        now, roots = stored(named(now, "label", moved), "apart"), stored(named(roots, "root", moved), "roots")
     for turn in range(LEADERS + 1):
         lead = F.min(F.struct(F.xxhash64(F.lit(turn), F.col("row")).alias("key"), "row", "n", "pos", "label")).alias("f")
         heads = now.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), lead).where("lo < hi")
@@ -241,15 +256,16 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0
     def start():
         def one(text: str) -> tuple:
             d = xxhash.xxh3_128_intdigest(b" ".join(text.encode("utf-8", "replace").translate(FOLD).split()))
-            return tuple(np.array([d >> 64, d & (1 << 64) - 1], np.uint64).view(np.int64).tolist())
+            halves = np.array([d >> 64, d & (1 << 64) - 1], np.uint64).view(np.int64).tolist()
+            return (*halves, fingerprint(text, shingle))
 
         return one
 
     rows = pick(docs, "doc_id", "text", *[c for c in carry if c not in ("doc_id", "text")])
-    numbered = add_columns(rows, "d1 long, d2 long", start, keep_text=True).withColumn("row", F.monotonically_increasing_id())
+    numbered = add_columns(rows, "d1 long, d2 long, fp long", start, keep_text=True).withColumn("row", F.monotonically_increasing_id())
     rows = stored(numbered, "digests", "zstd")  # written, so the row numbers hold
     order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
-    classes = stored(rows.groupBy("d1", "d2").agg(order).withColumn("row", F.col("least.row")), "classes")
+    classes = stored(rows.groupBy("d1", "d2").agg(order, F.min("fp").alias("fp")).withColumn("row", F.col("least.row")), "classes")
     roots = _links(rows.select("row", "text"), classes, shingle, least)
     named = classes.join(roots, classes["row"] == roots["id"], "left").select("d1", "d2", F.coalesce("root", "row").alias("root"), "least")
     kept = named.groupBy("root").agg(F.min("least").alias("first"))
