@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -176,6 +177,70 @@ def test_secret_network_on_held_back_documents(spark, sf, planted_recall):
     assert np.mean(base) >= 0.9 and len(learned) <= 0.01 * texts
 
 
+def test_joined_texts_have_the_candidates_of_each():
+    rng = random.Random(5)
+    bits = ["token=abcdefgh12", "Paſſword: x", "AKIA" + "Z" * 14, "0af3" * 9, "..----..", "-", ".", "a" * 7, "Qw-" * 4, " ", "\n", "é", "\x7f", "😀", "=+/_", "secret: '", "İapi_key=12345678"]
+    texts = ["", *["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(400)], "abcdefgh", "....", "\x00abcdefghi"]
+    got = secrets._Texts.of(texts)
+    for i, text in enumerate(texts):
+        base = [(a, secrets.KINDS.index(kind), b) for a, kind, b in got.base[i]]
+        assert base == brute_secrets(text)
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=.-]{8,}", text):
+            a, b = m.end() - len(m.group().lstrip(".-")), m.start() + len(m.group().rstrip(".-"))
+            if b - a >= 8 and not any(x < b and a < y for x, _, y in base):
+                want.append((a, b))
+        mine = got.owner == i
+        assert list(zip(got.starts[mine] - got.begins[i], got.stops[mine] - got.begins[i])) == want
+        if want:
+            codes, lengths = secrets._cut_out(got.codes, got.starts[mine], got.stops[mine], np.arange(len(want)) % 2 == 0)
+            for k, (a, b) in enumerate(want):
+                assert np.array_equal(codes[:lengths[k], k], secrets.encode(secrets.symbols(text), a, b, k % 2 == 0)) and not codes[lengths[k]:, k].any()
+
+
+def test_secret_network_learns_from_every_finding(spark, monkeypatch):
+    """No document and no candidate is left out, and tasks that learn apart agree on one model, however the rows lie."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(8, 12))) for _ in range(500)]
+    rows = [(i if i % 9 else None, " ".join(rng.choices(words, k=10)) + (f" password = {rng.getrandbits(60):x}00" if i % 5 == 0 else "")) for i in range(2000)]
+    parts = np.zeros((2, 2), int)  # others and secrets; held back and learned from
+    for _, text in rows:
+        base, turn = secrets.base_spans(text), zlib.crc32(text.encode())
+        for y, n in enumerate((len(secrets.candidates(text, base)), len(base))):
+            for i in range(n):
+                parts[y, int((turn + i) % 3 > 0)] += 1
+    assert parts[0].sum() == 20_000 and parts[1].sum() == 400
+    seen, averaged, settle = {"rounds": []}, secrets._averaged, secrets._settle
+
+    def spy_round(*args):
+        out = averaged(*args)
+        seen["rounds"].append((args[3], out[1]))
+        return out
+
+    def spy_settle(model, bins, found, others, recall):
+        seen["held"] = (others.sum(), found.sum())
+        settle(model, bins, found, others, recall)
+
+    monkeypatch.setattr(secrets, "_averaged", spy_round)
+    monkeypatch.setattr(secrets, "_settle", spy_settle)
+    monkeypatch.setattr(secrets, "TASK", 40_000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = secrets.fit(docs, epochs=1)
+    assert len(seen["rounds"]) > 3
+    assert {t for t, _ in seen["rounds"]} == {(parts[0, 1], parts[1, 1])}
+    assert sum(n for _, n in seen["rounds"]) == parts[1, 1]
+    assert seen["held"] == (parts[0, 0], 9 * parts[1, 0])
+    assert np.array_equal(model.kernel, secrets.fit(docs.repartition(5), epochs=1).kernel)
+    assert model.threshold < 1
+
+
+def test_one_secret_serves_for_both_parts(spark):
+    rows = [(i, f"ordinary{i} sentences without anything") for i in range(50)] + [(99, 'api_key="q8Zk2LmN0pRt"')]
+    model = secrets.fit(spark.createDataFrame(rows, "doc_id long, text string"), epochs=1)
+    assert model.threshold < 1 and np.abs(model.kernel).sum() > 0
+    assert secrets.fit(spark.createDataFrame(rows[:50], "doc_id long, text string")).threshold > 1  # nothing to learn
+
+
 def test_automaton_matches_all_words_within_the_distance():
     terms, stems = {"idiot": 1.0, "worthless": 1.0, "disgusting": 1.0, "scum": 1.0}, {"lowei": 1.0, "pathetica": 1.0}
     a = tox.Automaton(tox.Lexicon(terms, stems))
