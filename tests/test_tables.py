@@ -6,6 +6,7 @@ import hashlib
 import datetime as dt
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +82,27 @@ def test_inventory_hashes_every_file(spark, tmp_path):
     assert got == [("a.bin", 3, hashlib.sha256(b"abc").hexdigest()), ("b.bin", 50, hashlib.sha256(b"x" * 50).hexdigest())]
 
 
+def test_inventory_of_big_files_goes_block_by_block(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    made = {"a b%20[1].bin": rng.randbytes(300_000), "end.bin": rng.randbytes(150_000) + b"\n", "two.bin": rng.randbytes(150_000) + b"\n\n", "cr.txt": b"x\r\n\r" * 40_000,
+            "one.bin": b"\0" * 200_000, "lines.bin": b"\n" * 90_000, "mark.csv": b"\xef\xbb\xbf" + b"a,b\n" * 30_000, "p.gz": rng.randbytes(80_000), "small": b"abc"}
+    (tmp_path / "sub").mkdir()
+    for i, (name, data) in enumerate(made.items()):
+        (tmp_path / ("sub" if i % 2 else ".") / name).write_bytes(data)
+    turns, advance = [], files._advance
+    monkeypatch.setattr(files, "_advance", lambda lines, states: turns.append(len(states)) or advance(lines, states))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 40_000)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1_000)
+        got = rows(files.file_inventory(spark, str(tmp_path), whole_bytes=60_000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert sorted(got) == sorted((n, len(d), hashlib.sha256(d).hexdigest()) for n, d in made.items())
+    assert len(turns) >= 7 and max(turns) >= 5  # blocks in turn, files beside each other
+
+
 def test_scan_turns_nan_into_null(spark, tmp_path):
     path = str(tmp_path / "m")
     spark.createDataFrame([("A", D(2024, 1, 1), float("nan")), ("A", D(2024, 1, 2), 2.0)], "ticker string, date date, close double").write.parquet(path)

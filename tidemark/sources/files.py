@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import csv
+import ctypes
+import ctypes.util
+import hashlib
 import os
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +24,8 @@ from tidemark.schemas import PRICE_COLUMNS
 # Price CSV headings and their column names.
 CSV_HEADINGS = {"Date": "date", "Ticker": "ticker", "Open": "open", "High": "high", "Low": "low", "Close": "close",
                 "Adj Close": "adj_close", "Volume": "volume"}
+STATE = 256  # bytes set aside for a SHA-256 state, which needs 112
+PACKED = r"(?i)\.(gz|gzip|bz2|deflate|lz4|snappy|zst|zstd|xz|lzo|passthrough)$"  # names whose bytes Hadoop's codecs would unpack
 
 
 def _header_groups(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
@@ -64,11 +73,102 @@ def scan_user_file(spark: SparkSession, path: str, fmt: str | None = None, schem
     raise ValueError(f"unsupported upload format: {fmt}")
 
 
-def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Name, size and SHA-256 of every file. A file that one row cannot hold (2 GB) makes the query fail."""
+def _openssl() -> ctypes.CDLL | None:
+    """The library behind hashlib. Its SHA-256 state is plain bytes that another task can go on from; None where that does not work."""
+    name = ctypes.util.find_library("crypto")
+    lib = ctypes.CDLL(name) if name else None
+    if not hasattr(lib, "SHA256_Init"):
+        return None
+    trial = _fed(lib, _fed(lib, b"", b"ab"), b"c")
+    return lib if _digest(lib, trial) == hashlib.sha256(b"abc").hexdigest() else None
+
+
+def _fed(lib: ctypes.CDLL, state: bytes, data: bytes) -> bytes:
+    """The state after ``data``; an empty one is that of no bytes."""
+    held = ctypes.create_string_buffer(state, STATE)
+    if not state:
+        lib.SHA256_Init(held)
+    lib.SHA256_Update(held, data, ctypes.c_size_t(len(data)))
+    return held.raw
+
+
+def _digest(lib: ctypes.CDLL, state: bytes) -> str:
+    out = ctypes.create_string_buffer(32)
+    lib.SHA256_Final(out, ctypes.create_string_buffer(state, STATE))
+    return out.raw.hex()
+
+
+def _advance(lines: DataFrame, states: dict[str, tuple[bytes, int]]) -> DataFrame:
+    """(file, state, fed) for each named file of a partition, after its lines there. ``fed`` bytes came before, -1 none."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lib, mine = _openssl(), {}
+        for b in batches:
+            names, some = b.column("file").to_pylist(), b.column("line").to_pylist()
+            for name, run in groupby(range(len(names)), names.__getitem__):
+                if name in states:
+                    state, fed = mine.get(name, states[name])
+                    data = (b"" if fed < 0 else b"\n") + b"\n".join([some[i] for i in run])
+                    mine[name] = _fed(lib, state, data), max(fed, 0) + len(data)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(mine), pa.string()), pa.array([m[0] for m in mine.values()], pa.binary()), pa.array([m[1] for m in mine.values()], pa.int64())],
+            names=["file", "state", "fed"])
+
+    return lines.select("file", "line").mapInArrow(work, "file string, state binary, fed long")
+
+
+def _hashed_in_turn(spark: SparkSession, path: str, sizes: dict[str, int], whole_bytes: int) -> dict[str, str]:
+    """SHA-256 of big files, block by block: the task of a block goes on from the state that the one before it left.
+
+    The text source cuts files into blocks at line ends and gives the bytes of lines as they are. A round takes the next block
+    of every file. A file whose lines do not add up to its size is left out.
+    """
+    lib = _openssl()
+    if lib is None or not sizes:
+        return {}
+    lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path).where(
+        (F.col("_metadata.file_size") > whole_bytes) & ~F.col("_metadata.file_path").rlike(PACKED)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value").cast("binary").alias("line"))
+    pieces = lines.groupBy(F.spark_partition_id().alias("part"), "file", "at").agg(F.sum(F.length("line") + 1).alias("bytes")).collect()
+    left, total, parts = defaultdict(list), Counter(), defaultdict(list)
+    for r in sorted(pieces, key=lambda r: (r["file"], r["at"])):
+        total[r["file"]] += r["bytes"]
+        if r["file"] in sizes:
+            left[r["file"]].append(r["at"])
+    left = {f: at for f, at in left.items() if total[f] - sizes[f] in (0, 1)}  # the last line may end without a line end
+    for r in pieces:
+        if r["file"] in left:
+            parts[r["part"]].append((r["file"], r["at"]))
+    states = {f: (b"", -1) for f in left}
+    while ready := [p for p, mine in parts.items() if all(left[f][:1] == [at] for f, at in mine)]:
+        now = {f for p in ready for f, _ in parts.pop(p)}
+        reached = _advance(lines, {f: states[f] for f in now}).rdd
+        for r in spark.sparkContext.runJob(reached, list, ready):
+            states[r["file"]] = bytes(r["state"]), r["fed"]
+            left[r["file"]].pop(0)
+    out = {}
+    for f, (state, fed) in states.items():
+        if not left[f] and sizes[f] - fed in (0, 1):
+            out[f] = _digest(lib, _fed(lib, state, b"\n" * (sizes[f] - fed)))
+    return out
+
+
+def file_inventory(spark: SparkSession, path: str, whole_bytes: int = 128 << 20) -> DataFrame:
+    """Name, size and SHA-256 of every file. Files beyond ``whole_bytes`` go through many tasks, a block each.
+
+    Only those that the text source would unpack, or whose lines do not add up to their size, are read in one row even so; of
+    them a file that one row cannot hold (2 GB) makes the query fail.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("file_name"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    name = F.element_at(F.split("path", "/"), -1).alias("file_name")
+    file = F.col("_metadata.file_path")
+    big = files.where((F.col("length") > whole_bytes) & ~file.rlike(PACKED)).select(name, "length", file.alias("file")).collect()
+    done = _hashed_in_turn(spark, path, {r["file"]: r["length"] for r in big}, whole_bytes)
+    rest = files.where(~file.isin(list(done))) if done else files
+    rest = rest.select(name, F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    if not done:
+        return rest
+    known = [(r["file_name"], r["length"], done[r["file"]]) for r in big if r["file"] in done]
+    return rest.unionAll(spark.createDataFrame(known, rest.schema))
 
 
 def seeded_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
