@@ -8,7 +8,7 @@ import ctypes.util
 import hashlib
 import os
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import groupby
 from urllib.parse import unquote
@@ -73,42 +73,49 @@ def scan_user_file(spark: SparkSession, path: str, fmt: str | None = None, schem
     raise ValueError(f"unsupported upload format: {fmt}")
 
 
-def _openssl() -> ctypes.CDLL | None:
-    """The library behind hashlib. Its SHA-256 state is plain bytes that another task can go on from; None where that does not work."""
-    name = ctypes.util.find_library("crypto")
-    lib = ctypes.CDLL(name) if name else None
-    if not hasattr(lib, "SHA256_Init"):
-        return None
-    trial = _fed(lib, _fed(lib, b"", b"ab"), b"c")
-    return lib if _digest(lib, trial) == hashlib.sha256(b"abc").hexdigest() else None
+def _sha256() -> tuple[Callable, Callable, Callable]:
+    """SHA-256 in steps: (opened, fed, digest). They are made here so that tasks get them without this package.
 
-
-def _fed(lib: ctypes.CDLL, state: bytes, data: bytes) -> bytes:
-    """The state after ``data``; an empty one is that of no bytes."""
-    held = ctypes.create_string_buffer(state, STATE)
-    if not state:
-        lib.SHA256_Init(held)
-    lib.SHA256_Update(held, data, ctypes.c_size_t(len(data)))
-    return held.raw
-
-
-def _digest(lib: ctypes.CDLL, state: bytes) -> str:
-    out = ctypes.create_string_buffer(32)
-    lib.SHA256_Final(out, ctypes.create_string_buffer(state, STATE))
-    return out.raw.hex()
+    The library behind hashlib has a state of plain bytes that another task can go on from.
+    """
+    def opened() -> ctypes.CDLL | None:
+        """None where that does not work."""
+        name = ctypes.util.find_library("crypto")
+        lib = ctypes.CDLL(name) if name else None
+        if not hasattr(lib, "SHA256_Init"):
+            return None
+        trial = fed(lib, fed(lib, b"", b"ab"), b"c")
+        return lib if digest(lib, trial) == hashlib.sha256(b"abc").hexdigest() else None
+
+    def fed(lib: ctypes.CDLL, state: bytes, data: bytes) -> bytes:
+        """The state after ``data``; an empty one is that of no bytes."""
+        held = ctypes.create_string_buffer(state, STATE)
+        if not state:
+            lib.SHA256_Init(held)
+        lib.SHA256_Update(held, data, ctypes.c_size_t(len(data)))
+        return held.raw
+
+    def digest(lib: ctypes.CDLL, state: bytes) -> str:
+        out = ctypes.create_string_buffer(32)
+        lib.SHA256_Final(out, ctypes.create_string_buffer(state, STATE))
+        return out.raw.hex()
+
+    return opened, fed, digest
 
 
 def _advance(lines: DataFrame, states: dict[str, tuple[bytes, int]]) -> DataFrame:
     """(file, state, fed) for each named file of a partition, after its lines there. ``fed`` bytes came before, -1 none."""
+    opened, fed_with, _ = _sha256()
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib, mine = _openssl(), {}
+        lib, mine = opened(), {}
         for b in batches:
             names, some = b.column("file").to_pylist(), b.column("line").to_pylist()
             for name, run in groupby(range(len(names)), names.__getitem__):
                 if name in states:
                     state, fed = mine.get(name, states[name])
                     data = (b"" if fed < 0 else b"\n") + b"\n".join([some[i] for i in run])
-                    mine[name] = _fed(lib, state, data), max(fed, 0) + len(data)
+                    mine[name] = fed_with(lib, state, data), max(fed, 0) + len(data)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(mine), pa.string()), pa.array([m[0] for m in mine.values()], pa.binary()), pa.array([m[1] for m in mine.values()], pa.int64())],
             names=["file", "state", "fed"])
@@ -122,7 +129,8 @@ def _hashed_in_turn(spark: SparkSession, path: str, sizes: dict[str, int], whole
     The text source cuts files into blocks at line ends and gives the bytes of lines as they are. A round takes the next block
     of every file. A file whose lines do not add up to its size is left out.
     """
-    lib = _openssl()
+    opened, fed_with, digest = _sha256()
+    lib = opened()
     if lib is None or not sizes:
         return {}
     lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path).where(
@@ -148,7 +156,7 @@ def _hashed_in_turn(spark: SparkSession, path: str, sizes: dict[str, int], whole
     out = {}
     for f, (state, fed) in states.items():
         if not left[f] and sizes[f] - fed in (0, 1):
-            out[f] = _digest(lib, _fed(lib, state, b"\n" * (sizes[f] - fed)))
+            out[f] = digest(lib, fed_with(lib, state, b"\n" * (sizes[f] - fed)))
     return out
 
 
